@@ -77,3 +77,42 @@ def string_bytes(column: pa.Array) -> tuple["object", "object"]:
     data = column.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[off[0] : off[-1]], off - off[0]
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict]:
+    """Runs of rows with equal (integer) keys, as numpy arrays by column; the rows of a key must follow each other."""
+    import numpy as np
+
+    held: dict = {}
+    for batch in batches:
+        new = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        held = {n: np.concatenate([held[n], new[n]]) for n in new} if held else new
+        size = len(held[keys[0]])
+        if not size:
+            continue
+        change = np.zeros(size - 1, bool)
+        for k in keys:
+            change |= held[k][1:] != held[k][:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield {n: v[a:b] for n, v in held.items()}
+        held = {n: v[cuts[-1] :] for n, v in held.items()}
+    if held and len(held[keys[0]]):
+        yield held
+
+
+def grouped(df: DataFrame, keys: list[str], fn: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
+    """``fn`` on every group of equal keys: rows are dealt by key, sorted, and read group by group. For groups of bounded size."""
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for group in groups(batches, keys):
+            rows += fn(group)
+            if len(rows) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+
+    return map_batches(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from tessera.llm.bpe import op8_bpe
 
+from tessera.llm.simhash import op10_simhash
+
 QUERIES = {
     "op8_bpe": op8_bpe,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
