@@ -6,7 +6,12 @@ from tessera.llm.bpe import op8_bpe
 
 from tessera.llm.simhash import op10_simhash
 
+from tessera.llm.langid import op7_language
+from tessera.llm.secretscan import op4_secrets
+
 QUERIES = {
+    "op4_secrets": op4_secrets,
+    "op7_language": op7_language,
     "op8_bpe": op8_bpe,
     "op10_simhash": op10_simhash,
 }
