@@ -9,7 +9,10 @@ from tessera.llm.simhash import op10_simhash
 from tessera.llm.langid import op7_language
 from tessera.llm.secretscan import op4_secrets
 
+from tessera.llm.ngramlm import op9_lm
+
 QUERIES = {
+    "op9_lm": op9_lm,
     "op4_secrets": op4_secrets,
     "op7_language": op7_language,
     "op8_bpe": op8_bpe,
