@@ -11,7 +11,10 @@ from tessera.llm.secretscan import op4_secrets
 
 from tessera.llm.ngramlm import op9_lm
 
+from tessera.llm.decontaminate import op2_decontaminate
+
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op9_lm": op9_lm,
     "op4_secrets": op4_secrets,
     "op7_language": op7_language,
