@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op8_bpe
-
-from tessera.llm.simhash import op10_simhash
-
+from tessera.llm.decontaminate import op2_decontaminate
 from tessera.llm.langid import op7_language
-from tessera.llm.secretscan import op4_secrets
-
+from tessera.llm.linededup import OP6_SQL, op6_lines
 from tessera.llm.ngramlm import op9_lm
-
-from tessera.llm.decontaminate import op2_decontaminate
+from tessera.llm.secretscan import op4_secrets
+from tessera.llm.simhash import op10_simhash
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
-    "op9_lm": op9_lm,
     "op4_secrets": op4_secrets,
+    "op6_lines": op6_lines,
     "op7_language": op7_language,
     "op8_bpe": op8_bpe,
+    "op9_lm": op9_lm,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_lines": OP6_SQL,
+}
