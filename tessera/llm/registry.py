@@ -7,10 +7,12 @@ from tessera.llm.decontaminate import op2_decontaminate
 from tessera.llm.langid import op7_language
 from tessera.llm.linededup import OP6_SQL, op6_lines
 from tessera.llm.ngramlm import op9_lm
+from tessera.llm.repeats import op1_repeats
 from tessera.llm.secretscan import op4_secrets
 from tessera.llm.simhash import op10_simhash
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_decontaminate": op2_decontaminate,
     "op4_secrets": op4_secrets,
     "op6_lines": op6_lines,
