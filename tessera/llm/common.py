@@ -34,14 +34,15 @@ def scratch_root(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables in the shared folder, which cut lineage and can be dropped once they are superseded."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, compression: str = "none"):
+        # hashes, ids and packed blocks don't compress; codecs hold memory outside the heap in every writer
+        self.spark, self.root, self.compression = spark, f"{scratch_root(spark)}/{uuid.uuid4().hex}", compression
         self._n = 0
 
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", self.compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
