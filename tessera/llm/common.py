@@ -124,3 +124,15 @@ def grouped(df: DataFrame, keys: list[str], fn: Callable[[dict], list[tuple]], s
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
     return map_batches(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
+
+
+def filter_batches(docs: DataFrame, keep: Callable[[], Callable[[pa.RecordBatch], "object"]]) -> DataFrame:
+    """The rows of which ``keep()`` (made once a task) says so, with all their columns; needs no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = keep()
+        for batch in batches:
+            yield batch.filter(pa.array(good(batch), pa.bool_()))
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return docs.mapInArrow(run, docs.schema)

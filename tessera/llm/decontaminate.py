@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, string_bytes, table, texts
+from tessera.llm.common import filter_batches, map_batches, string_bytes, table, texts
 
 #: Production parameters: q, edits as a share of the item's bytes, shortest item, longest pattern, benchmark bytes in one pass, text bytes worked on at once.
 Q, EDITS, LEAST, SEGMENT, BLOCK_BYTES, CHUNK = 10, 0.08, 32, 512, 16 << 20, 4 << 20
@@ -173,33 +173,61 @@ class Benchmark:
                     yield d, int(self.item[p]), int(origin[lo + s] - offsets[d]), int(origin[lo + e - 1] + 1 - offsets[d]), edits
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDITS, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, start, end (bytes of the text) and edits, a row for each occurrence of a benchmark item."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, in blocks of about ``block_bytes``; the size is measured first."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    for k in range(blocks):
+        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        yield [tuple(r) for r in own.orderBy("item_id", "text").collect()]
+
+
+def _search(index: Benchmark, batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item id, start, end, edits) of a batch's texts, some CHUNK bytes at a time."""
+    raw, offsets = string_bytes(batch.column("text"))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, side="right")) - 1)
+        for d, *rest in index.find(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+            yield (a + d, *rest)
+        a = b
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDITS, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, start, end (bytes of the text) and edits, a row for each occurrence of a benchmark item."""
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Benchmark(block, q, share, least)
             for batch in batches:
-                raw, offsets = string_bytes(batch.column("text"))
                 ids = batch.column("doc_id").to_pylist()
-                rows, a = [], 0
-                while a < len(ids):
-                    b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, side="right")) - 1)
-                    rows += [(ids[a + d], *rest) for d, *rest in index.find(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
-                    a = b
+                rows = [(ids[d], *rest) for d, *rest in _search(index, batch)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.int32()])], names=["doc_id", "item_id", "start", "end", "edits"])
 
         return map_batches(texts(docs), run, "doc_id long, item_id long, start long, end long, edits int")
 
-    def part(k: int) -> list[tuple[int, str]]:
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        return [tuple(r) for r in own.orderBy("item_id", "text").collect()]  # about block_bytes at most
+    return reduce(DataFrame.unionAll, [search(block) for block in _blocks(benchmark, block_bytes)])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDITS, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, whole rows, in which no benchmark item occurs."""
+
+    def clean(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        def keep():
+            index = Benchmark(block, q, share, least)
+
+            def good(batch: pa.RecordBatch) -> np.ndarray:
+                out = np.ones(batch.num_rows, bool)
+                out[[d for d, *_ in _search(index, batch)]] = False
+                return out
+
+            return good
+
+        return filter_batches(docs, keep)
 
-    return reduce(DataFrame.unionAll, [search(part(k)) for k in range(blocks)])
+    return reduce(clean, _blocks(benchmark, block_bytes), docs)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

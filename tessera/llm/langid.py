@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, table, texts
+from tessera.llm.common import filter_batches, map_batches, table, texts
 
 #: Production parameters. TRAIN_ROWS bounds what the fit collects, whatever the corpus; TRAIN_CHARS bounds each text of the sample.
 NGRAMS, BUCKETS, TRAIN_ROWS, TRAIN_CHARS, FOLDS, HELD_OUT = (1, 2, 3), 1 << 15, 3000, 4000, 5, 0
@@ -193,6 +193,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(texts(docs), run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The documents, whole rows, whose language is known and at least so sure."""
+
+    def keep():
+        def good(batch: pa.RecordBatch) -> list[bool]:
+            lang, score = model.predict(batch.column("text").to_pylist())
+            return [x != "und" and s >= least for x, s in zip(lang, score.tolist())]
+
+        return good
+
+    return filter_batches(docs, keep)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
