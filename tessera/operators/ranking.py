@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import analysis, vectors
-from tessera.plans.project import words
+from tessera.plans.project import IDENTITY, words
 from tessera.plans.schema import FullTextIndex, HybridIndex, QueryError, VectorIndex
 
 
@@ -32,7 +32,7 @@ def text_stats(rows: DataFrame, spec: FullTextIndex | HybridIndex, names: list[s
 
 def term_stats(rows: DataFrame, names: list[str]) -> DataFrame:
     """(field, token, tf, df) of the whole index."""
-    each = [rows.select(F.lit(n).alias("field"), F.monotonically_increasing_id().alias("doc"), F.explode(_flat(n)).alias("token")) for n in names]
+    each = [rows.select(F.lit(n).alias("field"), F.struct(*IDENTITY).alias("doc"), F.explode(_flat(n)).alias("token")) for n in names]
     out = each[0]
     for e in each[1:]:
         out = out.unionByName(e)
