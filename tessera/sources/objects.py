@@ -112,6 +112,6 @@ def zip_records(spark: SparkSession, where: str, most_bytes: int = 16 << 20) ->
     return files.mapInPandas(read, "archive string, entry string, payload string, problem string")
 
 
-def write_shards(records: DataFrame, where: str, by: str = "partition", rows_per_file: int = 100_000) -> None:
-    """NDJSON shards, zstd, a folder for each partition, rolled over by rows."""
-    records.write.mode("overwrite").partitionBy(by).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).json(where)
+def write_shards(records: DataFrame, where: str, by: str = "partition", rows_per_file: int = 100_000, codec: str = "gzip") -> None:
+    """NDJSON shards, compressed (zstd where the cluster has its codec), a folder for each partition, rolled over by rows."""
+    records.write.mode("overwrite").partitionBy(by).option("compression", codec).option("maxRecordsPerFile", rows_per_file).json(where)
