@@ -24,19 +24,27 @@ def to_json(spec: S.IndexSpec) -> dict:
             return {f.name: plain(getattr(x, f.name)) for f in dataclasses.fields(x)}
         if isinstance(x, tuple | list):
             return [plain(y) for y in x]
+        if isinstance(x, S.Expr):
+            return {"expr": str(x)}
         if x is None or isinstance(x, str | int | float | bool):
             return x
-        raise S.DefinitionError("only JSON pointers can be persisted as sources")
+        raise S.DefinitionError("only JSON pointers and expressions can be persisted as sources")
 
     return {"kind": type(spec).__name__} | {f.name: plain(getattr(spec, f.name)) for f in dataclasses.fields(spec)}
 
 
+def _source(x):
+    return S.Expr(x["expr"]) if isinstance(x, dict) else x
+
+
 def from_json(d: dict) -> S.IndexSpec:
     kind = KINDS[d["kind"]]
     more = {k: v for k, v in d.items() if k != "kind"}
     more["scope"] = S.Scope(**more["scope"])
     if "declared" in more:
-        more["declared"] = tuple(S.Field(**f | {"type": S.FieldType(f["type"]), "capabilities": tuple(map(S.Capability, f["capabilities"]))}) for f in more["declared"])
+        more["declared"] = tuple(S.Field(**f | {"source": _source(f["source"]), "type": S.FieldType(f["type"]), "capabilities": tuple(map(S.Capability, f["capabilities"]))}) for f in more["declared"])
+    if "source" in more:
+        more["source"] = _source(more["source"])
     if "physical_order" in more:
         more["physical_order"] = tuple(map(tuple, more["physical_order"]))
     if "metric" in more:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import analysis, paths, vectors
-from tessera.plans.schema import SYSTEM_SEGMENT, DefinitionError, Field, FieldType, FullTextIndex, GitIndex, HybridIndex, IndexSpec, MetadataIndex, PathIndex, TensorIndex, TypedJsonIndex, VectorIndex
+from tessera.plans.schema import SYSTEM_SEGMENT, DefinitionError, Expr, Field, FieldType, FullTextIndex, GitIndex, HybridIndex, IndexSpec, MetadataIndex, PathIndex, TensorIndex, TypedJsonIndex, VectorIndex
 
 IDENTITY = ["result_path", "result_version", "source_path", "source_version", "source_record"]
 LIVE, GONE = "live", "gone"
@@ -91,12 +91,20 @@ def _json_cell(f: Field, doc: Column) -> dict[str, Column]:
     return {f.name: F.when(there, F.coalesce(values, F.array().cast(f"array<{f.type.spark}>"))), present(f.name): F.coalesce(there, F.lit(False)), null_mark(f.name): F.coalesce(there & any_null, F.lit(False))}
 
 
+def _is_pointer(source: object) -> bool:
+    return isinstance(source, str) and not isinstance(source, Expr)
+
+
+def _column(source: Expr | Column) -> Column:
+    return F.expr(str(source)) if isinstance(source, Expr) else source
+
+
 def cell(f: Field, doc: Column | None = None) -> dict[str, Column]:
     """Value, presence and (multi-valued) null mark of a field. A Column source is present wherever the object is."""
-    if isinstance(f.source, str):
+    if _is_pointer(f.source):
         out = _json_cell(f, doc)
     else:
-        value = f.source if f.source is not None else F.col(f.name)
+        value = F.col(f.name) if f.source is None else _column(f.source)
         if not f.multi:
             # the column itself, so that filters on it reach the scan; ``checked`` looks at its values when rows are stored
             out = {f.name: value.cast(f.type.spark), present(f.name): F.lit(True)}
@@ -145,12 +153,12 @@ def project(spec: IndexSpec, objects: DataFrame) -> DataFrame:
             cells |= {f.name: value.get(f.name, lambda f=f: F.col(f.name))().cast(f.type.spark), present(f.name): F.lit(True)}
         return own.select(*[c.alias(n) for n, c in {**ids, **cells}.items()])
     doc = None
-    if any(isinstance(f.source, str) for f in spec.fields) or isinstance(spec, VectorIndex) and isinstance(spec.source, str):
+    if any(_is_pointer(f.source) for f in spec.fields) or isinstance(spec, VectorIndex) and _is_pointer(spec.source):
         own = own.withColumn("_doc", F.try_parse_json("payload")).filter(F.col("_doc").isNotNull())  # malformed sources leave no row
         doc = F.col("_doc")
     cells = {n: c for f in spec.fields for n, c in cell(f, doc).items()}
     if isinstance(spec, VectorIndex):
-        cells["vector"] = F.try_variant_get(doc, pointer_path(spec.source), "array<float>") if isinstance(spec.source, str) else spec.source.cast("array<float>")
+        cells["vector"] = F.try_variant_get(doc, pointer_path(spec.source), "array<float>") if _is_pointer(spec.source) else _column(spec.source).cast("array<float>")
     rows = own.select(*[c.alias(n) for n, c in {**ids, **cells}.items()])
     if isinstance(spec, VectorIndex):
         rows = rows.filter(vectors.valid(F.col("vector"), spec.dims))

@@ -61,9 +61,13 @@ LEGAL: dict[FieldType, frozenset[Capability]] = {
 }
 
 
+class Expr(str):
+    """A SQL expression over the source table, as a field's source."""
+
+
 @dataclass(frozen=True)
 class Field:
-    """A typed field. source: a JSON pointer into the payload, or a Column over the source table."""
+    """A typed field. source: a JSON pointer into the payload, or an Expr or Column over the source table."""
 
     name: str
     type: FieldType

@@ -44,32 +44,31 @@ def _path(prefix: str, key: str) -> str:
     return f"'{prefix}/' || lpad(CAST({key} AS VARCHAR), 12, '0')"
 
 
-_DAY = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+_DAY = S.Expr("datediff(CAST(o_orderdate AS DATE), DATE'1970-01-01')")
 _SQL_DAY = "date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))"
 
 ORDERS = S.TypedJsonIndex(
     "orders",
     declared=(
-        S.keyword("status", C.EXACT, C.PREFIX, C.FACET, C.ORDER, source=F.col("o_orderstatus")),
-        S.keyword("priority", C.EXACT, C.PREFIX, C.RANGE, C.FACET, C.ORDER, source=F.col("o_orderpriority")),
+        S.keyword("status", C.EXACT, C.PREFIX, C.FACET, C.ORDER, source=S.Expr("o_orderstatus")),
+        S.keyword("priority", C.EXACT, C.PREFIX, C.RANGE, C.FACET, C.ORDER, source=S.Expr("o_orderpriority")),
         S.signed("day", C.EXACT, C.RANGE, C.ORDER, C.FACET, C.AGGREGATE, source=_DAY),
-        S.unsigned("key", C.EXACT, C.RANGE, C.ORDER, C.AGGREGATE, source=F.col("o_orderkey")),
-        S.signed("customer", C.EXACT, C.RANGE, C.ORDER, C.FACET, C.AGGREGATE, source=F.col("o_custkey")),
-        S.double("total", C.EXACT, C.RANGE, C.ORDER, C.AGGREGATE, source=F.col("o_totalprice")),
+        S.unsigned("key", C.EXACT, C.RANGE, C.ORDER, C.AGGREGATE, source=S.Expr("o_orderkey")),
+        S.signed("customer", C.EXACT, C.RANGE, C.ORDER, C.FACET, C.AGGREGATE, source=S.Expr("o_custkey")),
+        S.double("total", C.EXACT, C.RANGE, C.ORDER, C.AGGREGATE, source=S.Expr("o_totalprice")),
     ),
 )
 PARTS = S.TypedJsonIndex(
     "parts",
     declared=(
-        S.keyword("name", C.EXACT, C.PREFIX, C.RANGE, C.ORDER, source=F.col("p_name")),
-        S.keyword("brand", C.EXACT, C.PREFIX, C.RANGE, C.FACET, C.ORDER, source=F.col("p_brand")),
-        S.keyword("type", C.EXACT, C.PREFIX, C.FACET, source=F.col("p_type")),
-        S.signed("size", C.EXACT, C.RANGE, C.ORDER, C.FACET, C.AGGREGATE, source=F.col("p_size")),
-        S.double("price", C.RANGE, C.ORDER, C.AGGREGATE, source=F.col("p_retailprice")),
+        S.keyword("name", C.EXACT, C.PREFIX, C.RANGE, C.ORDER, source=S.Expr("p_name")),
+        S.keyword("brand", C.EXACT, C.PREFIX, C.RANGE, C.FACET, C.ORDER, source=S.Expr("p_brand")),
+        S.keyword("type", C.EXACT, C.PREFIX, C.FACET, source=S.Expr("p_type")),
+        S.signed("size", C.EXACT, C.RANGE, C.ORDER, C.FACET, C.AGGREGATE, source=S.Expr("p_size")),
+        S.double("price", C.RANGE, C.ORDER, C.AGGREGATE, source=S.Expr("p_retailprice")),
     ),
 )
 # events, with an explicit null for errors' values and no value at all for sign-ups
-_KIND = F.col("event_type")
 EVENTS = S.TypedJsonIndex(
     "events",
     declared=(
@@ -81,13 +80,17 @@ EVENTS = S.TypedJsonIndex(
 LINES = S.TypedJsonIndex(
     "lines",
     declared=(
-        S.keyword("flags", C.EXACT, C.FACET, source=F.col("flags"), multi=True),
-        S.signed("quantities", C.EXACT, C.RANGE, C.FACET, C.AGGREGATE, source=F.col("quantities"), multi=True),
-        S.double("prices", C.AGGREGATE, source=F.col("prices"), multi=True),
+        S.keyword("flags", C.EXACT, C.FACET, source=S.Expr("flags"), multi=True),
+        S.signed("quantities", C.EXACT, C.RANGE, C.FACET, C.AGGREGATE, source=S.Expr("quantities"), multi=True),
+        S.double("prices", C.AGGREGATE, source=S.Expr("prices"), multi=True),
     ),
 )
 
 
+def _kind():
+    return F.col("event_type")
+
+
 def orders(spark, sf):
     return project(ORDERS, objects.as_objects(load(spark, sf, "orders"), _padded("orders", "o_orderkey")))
 
@@ -97,9 +100,9 @@ def parts(spark, sf):
 
 
 def events(spark, sf):
-    value = F.when(_KIND == "error", F.lit("null")).otherwise(F.round("value", 2).cast("string"))
-    pair = F.when(_KIND == "signup", F.lit("")).otherwise(F.concat(F.lit(', "value": '), value))
-    payload = F.concat(F.lit('{"kind": "'), _KIND, F.lit('"'), pair, F.lit(', "props": '), F.col("props"), F.lit("}"))
+    value = F.when(_kind() == "error", F.lit("null")).otherwise(F.round("value", 2).cast("string"))
+    pair = F.when(_kind() == "signup", F.lit("")).otherwise(F.concat(F.lit(', "value": '), value))
+    payload = F.concat(F.lit('{"kind": "'), _kind(), F.lit('"'), pair, F.lit(', "props": '), F.col("props"), F.lit("}"))
     df = load(spark, sf, "events").select("event_id", "event_type", "props", "value", payload.alias("_p"))
     return project(EVENTS, objects.as_objects(df.drop("value"), _padded("events", "event_id"), payload=F.col("_p")))
 
@@ -156,12 +159,17 @@ def json_pointer_cells(spark, sf):
 
 # paths and metadata ----------------------------------------------------------------------------------------------
 
-_DOC_PATH = F.concat(F.lit("docs/"), F.col("lang"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+
+
+def _doc_path():
+    return F.concat(F.lit("docs/"), F.col("lang"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
+
+
 _DOC = "'docs/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0')"
 
 
 def documents(spark, sf, *more):
-    return objects.as_objects(load(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", *more), _DOC_PATH)
+    return objects.as_objects(load(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", *more), _doc_path())
 
 
 @query(f"SELECT {_DOC} AS path FROM documents WHERE starts_with({_DOC}, 'docs/d') ORDER BY 1 LIMIT 100")
@@ -360,7 +368,7 @@ def latency_nearest_rank(spark, sf):
 
 _TOKENS = "list_filter(list_transform(regexp_split_to_array({0}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)), lambda x: x <> '')"
 _DOC_TOKENS = f"(SELECT doc_id, {_DOC} AS path, {_TOKENS.format('text')} AS t FROM documents)"
-BODY = S.FullTextIndex("body", declared=(S.text("body", source=F.col("text")),))
+BODY = S.FullTextIndex("body", declared=(S.text("body", source=S.Expr("text")),))
 
 
 def bodies(spark, sf):
@@ -396,22 +404,23 @@ s AS (SELECT tf.path, sum(ln(1 + greatest(n.n - df.df + 0.5, 0) / (df.df + 0.5))
 SELECT path, round(CAST(CAST(score AS FLOAT) AS DOUBLE), 4) AS score FROM s ORDER BY CAST(score AS FLOAT) DESC, path LIMIT {limit}"""
 
 
-_rounded = F.round(F.col("score").cast("double"), 4).alias("score")
+def _rounded():
+    return F.round(F.col("score").cast("double"), 4).alias("score")
 
 
 @query(_bm25_sql(["the", "of", "and"], "", 10, f"SELECT path, 'body' AS field, t FROM {_DOC_TOKENS}"))
 def text_bm25_top10(spark, sf):
-    return search(BODY, bodies(spark, sf), IndexQuery(text="the of and", limit=10)).hits.select("path", _rounded)
+    return search(BODY, bodies(spark, sf), IndexQuery(text="the of and", limit=10)).hits.select("path", _rounded())
 
 
-TALK = S.FullTextIndex("talk", declared=(S.text("said", source=F.col("text")), S.text("who", source=F.col("role"))))
+TALK = S.FullTextIndex("talk", declared=(S.text("said", source=S.Expr("text")), S.text("who", source=S.Expr("role"))))
 _TALK = "'talk/' || lpad(CAST(conv_id AS VARCHAR), 12, '0') || '/' || CAST(turn AS VARCHAR)"
 
 
 @query(_bm25_sql(["the", "user"], "", 25, f"SELECT {_TALK} AS path, 'said' AS field, {_TOKENS.format('text')} AS t FROM conversations UNION ALL SELECT {_TALK}, 'who', {_TOKENS.format('role')} FROM conversations"))
 def text_bm25_multifield(spark, sf):
     own = objects.as_objects(load(spark, sf, "conversations"), F.concat(_padded("talk", "conv_id"), F.lit("/"), F.col("turn").cast("string")))
-    return search(TALK, project(TALK, own), IndexQuery(text="the USER", limit=25)).hits.select("path", _rounded)
+    return search(TALK, project(TALK, own), IndexQuery(text="the USER", limit=25)).hits.select("path", _rounded())
 
 
 @query(f"SELECT w AS token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS w FROM {_DOC_TOKENS}) GROUP BY 1")
@@ -428,14 +437,14 @@ def text_tokens(spark, sf):
 
 _Q = [((i * 37) % 64 - 32) / 32.0 for i in range(64)]
 _SQL_Q = "list_transform(range(64), lambda i: CAST((i * 37) % 64 - 32 AS DOUBLE) / 32)"
-_VEC, _SQL_VEC = _padded("vec", "vec_id"), _path("vec", "vec_id")
+_SQL_VEC = _path("vec", "vec_id")
 _SQL_V = "CAST(embedding AS DOUBLE[])"
 
 
 def _vector(spark, sf, metric, normalize=False, limit=10):
-    spec = S.VectorIndex("vec", source=F.col("embedding"), dims=64, metric=metric, normalize=normalize)
-    rows = project(spec, objects.as_objects(load(spark, sf, "embeddings"), _VEC))
-    return search(spec, rows, IndexQuery(vector=tuple(_Q), limit=limit)).hits.select("path", _rounded)
+    spec = S.VectorIndex("vec", source=S.Expr("embedding"), dims=64, metric=metric, normalize=normalize)
+    rows = project(spec, objects.as_objects(load(spark, sf, "embeddings"), _padded("vec", "vec_id")))
+    return search(spec, rows, IndexQuery(vector=tuple(_Q), limit=limit)).hits.select("path", _rounded())
 
 
 def _vector_sql(score: str) -> str:
@@ -463,10 +472,10 @@ def vector_l2_normalized(spark, sf):
 
 
 def _hybrid(spark, sf, fusion):
-    spec = S.HybridIndex("hybrid", source=F.col("embedding"), dims=64, metric=S.Metric.COSINE, declared=(S.text("body", source=F.col("text")),), text_weight=0.5)
+    spec = S.HybridIndex("hybrid", source=S.Expr("embedding"), dims=64, metric=S.Metric.COSINE, declared=(S.text("body", source=S.Expr("text")),), text_weight=0.5)
     own = load(spark, sf, "documents").join(load(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id")).select("doc_id", "lang", "text", "embedding")
-    rows = project(spec, objects.as_objects(own, _DOC_PATH))
-    return search(spec, rows, IndexQuery(text="the from", vector=tuple(_Q), fusion=fusion, limit=20)).hits.select("path", _rounded)
+    rows = project(spec, objects.as_objects(own, _doc_path()))
+    return search(spec, rows, IndexQuery(text="the from", vector=tuple(_Q), fusion=fusion, limit=20)).hits.select("path", _rounded())
 
 
 def _hybrid_sql(union: bool) -> str:
@@ -513,7 +522,7 @@ def tensor_lookup(spark, sf):
 
 
 def _user_versions(spark, sf):
-    return load(spark, sf, "events").select(F.concat(F.lit("users/"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("version"), (_KIND == "error").alias("deleted"), F.round(F.col("value") * 100).cast("long").alias("length"))
+    return load(spark, sf, "events").select(F.concat(F.lit("users/"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("version"), (_kind() == "error").alias("deleted"), F.round(F.col("value") * 100).cast("long").alias("length"))
 
 
 @query("SELECT 'users/' || CAST(user_id AS VARCHAR) AS path, max(event_id) AS version FROM events GROUP BY user_id")
@@ -527,7 +536,7 @@ def tombstone_subtract(spark, sf):
 
 
 def _mutations(spark, sf):
-    mode = F.when(_KIND == "error", "delete").when(_KIND.isin("view", "signup"), "put_if_absent").otherwise("put")
+    mode = F.when(_kind() == "error", "delete").when(_kind().isin("view", "signup"), "put_if_absent").otherwise("put")
     return load(spark, sf, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("command_id"), F.concat(F.lit("users/"), F.col("user_id").cast("string")).alias("path"), mode.alias("mode"), F.lit(None).cast("long").alias("expected"), F.col("props").alias("content_hash"))
 
 
@@ -541,7 +550,7 @@ def mutation_fold_cas(spark, sf):
 
 @query("SELECT event_id AS seq, CASE WHEN row_number() OVER w = 1 THEN 'first' WHEN event_type = first(event_type) OVER w THEN 'replay' ELSE 'conflict' END AS receipt FROM events WINDOW w AS (PARTITION BY user_id % 50, user_id ORDER BY event_id)")
 def mutation_receipts(spark, sf):
-    own = load(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("command_id"), _KIND.alias("fingerprint"))
+    own = load(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("command_id"), _kind().alias("fingerprint"))
     return store.receipts(own).select("seq", "receipt")
 
 
