@@ -8,8 +8,9 @@ counted before the shuffle and travel once, with their number.
 
 A shard's windows are concatenated and suffix-sorted by external induction (``suffixarray``); the common prefixes tell
 which starts share ``length`` bytes. Shards are cut between minimisers at about SHARD_BYTES. A minimiser with more
-than WINDOWS distinct windows (a passage that very many different texts surround) is dealt anew by the 128-bit hashes
-of its strings, which are counted like the windows; this costs a row for each start but is spread over all tasks.
+than WINDOWS distinct windows (a passage that very many different texts surround) would be more than one shard; the
+128-bit hashes of its strings are counted instead. Blocks of texts sum their own hashes, send them by hash range to
+the parts that add them up, and are told which stand more than once, so no string is a row and no part is hot.
 
 Defined results: strings are judged on UTF-8 bytes of the input; null texts are empty; matches never cross texts;
 texts shorter than ``length`` lose nothing; a row that repeats another (same id and text) is one more copy of it.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, groups, map_batches, string_bytes, table, texts
 from tessera.llm.suffixarray import Sorter
 
-#: Production parameters: bytes of a repeated string, bytes hashed for minimisers, distinct windows of a minimiser in one shard, shard bytes, starts of a window, bytes worked on at once.
-LENGTH, GRAM, WINDOWS, SHARD_BYTES, STARTS, CHUNK = 400, 64, 512, 2 << 20, 2048, 2 << 20
+#: Production parameters: bytes of a repeated string, bytes hashed for minimisers, distinct windows of a minimiser in one shard, shard bytes, starts of a window, bytes worked on at once, strings of a wide minimiser counted in one part.
+LENGTH, GRAM, WINDOWS, SHARD_BYTES, STARTS, CHUNK, PART_STRINGS = 400, 64, 512, 2 << 20, 2048, 2 << 20, 1 << 20
 
 _SYMBOL = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = [np.uint64(x) for x in np.random.default_rng(8).integers(1, 1 << 62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)]
@@ -165,7 +166,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limi
     wanted = scratch.save(sent.union(spread).groupBy("doc_id", "th").agg(F.collect_list("s").alias("s")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "w", "c", "window", "doc_id", "th", "a"]
+        names = ["h", "w", "c", "window", "strings"]
+        wide = Strings()
         for batch in batches:
             ids, hashes = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
             for k, (text, parts) in enumerate(zip(batch.column("text").to_pylist(), batch.column("s").to_pylist())):
@@ -173,21 +175,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limi
                 fixed = [p for p in parts if p["c"]]
                 if fixed:
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array([p[c] for p in fixed], pa.int64()) for c in "hwc"), pa.array([data[p["a"] : p["a"] + p["n"] + length - 1] for p in fixed], pa.binary()), *(pa.nulls(len(fixed), t) for t in (pa.int64(), pa.int64(), pa.int32()))], names=names
+                        [*(pa.array([p[c] for p in fixed], pa.int64()) for c in "hwc"), pa.array([data[p["a"] : p["a"] + p["n"] + length - 1] for p in fixed], pa.binary()), pa.nulls(len(fixed), pa.binary())], names=names
                     )
                 for p in parts:
                     if not p["c"]:
-                        raw = np.frombuffer(data, np.uint8)[p["a"] : p["a"] + p["n"] + length - 1]
-                        one, two = rolling(raw, length, 2).view(np.int64), rolling(raw, length, 3).view(np.int64)
-                        n = len(one)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(one), pa.array(two), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary()), pa.array([ids[k]] * n, pa.int64()), pa.array([hashes[k]] * n, pa.int64()), pa.array((p["a"] + np.arange(n)).astype(np.int32))], names=names
-                        )
+                        wide.add(ids[k], hashes[k], p["a"], np.frombuffer(data, np.uint8)[p["a"] : p["a"] + p["n"] + length - 1], length)
+            if len(wide):
+                yield wide.row(names)
+                wide = Strings()
 
     # null-safe on the id; equal rows would multiply, so one of them stands for all
     same = (F.col("o.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("o.th") == F.col("m.th"))
     found = own.alias("o").join(wanted.alias("m"), same).select("o.doc_id", "o.th", "o.text", "m.s")
-    pieces = scratch.save(map_batches(found, cut, "h long, w long, c long, window binary, doc_id long, th long, a int"))
+    pieces = scratch.save(map_batches(found, cut, "h long, w long, c long, window binary, strings binary"))
     scratch.release()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +211,116 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limi
     shards = pieces.filter("window is not null").select("h", "w", "c", "window").repartition("h").sortWithinPartitions("h")
     marks = scratch.save(map_batches(shards, mark, "h long, w long, from int, to int"))
     spans = alive.join(marks, ["h", "w"]).select("doc_id", "th", (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("to")).alias("b"))
-    single = pieces.filter("window is null").select("h", "w", "doc_id", "th", "a")
-    # starts of one row's text stand once however many rows repeat it, so the copies' windows are counted by row before
-    twice = scratch.save(single.groupBy("h", "w").agg(F.count("*").alias("c")).filter("c > 1").select("h", "w"))
-    spans = spans.union(single.join(twice, ["h", "w"]).select("doc_id", "th", "a", (F.col("a") + length).alias("b")))
+    blocks = pieces.filter("strings is not null").select(F.col("h").alias("block"), "strings")
+    starts = int(spread.agg(F.sum("s.n")).first()[0] or 0)
+    if starts:
+        spans = spans.union(_count_strings(blocks, max(12, -(-starts // PART_STRINGS)), length, scratch))
     return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
+class Strings:
+    """Hashes of strings with their places, packed; by them blocks ask whether a string stands more than once."""
+
+    def __init__(self, packed: bytes | None = None):
+        self.rows: list[tuple] = []
+        self.one, self.two, self.owner, self.at = [], [], [], []
+        if packed is not None:
+            n, m = np.frombuffer(packed, np.int64, 2)
+            flat = np.frombuffer(packed, np.int64, 4 * n + 3 * m, 16)
+            self.one, self.two = flat[:n].view(np.uint64), flat[n : 2 * n].view(np.uint64)
+            self.owner, self.at = flat[2 * n : 3 * n], flat[3 * n : 4 * n]
+            some, ids, th = flat[4 * n :].reshape(3, m)
+            self.rows = [(int(i) if s else None, int(t)) for s, i, t in zip(some, ids, th)]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def add(self, doc_id: int | None, th: int, a: int, raw: np.ndarray, length: int) -> None:
+        if not self.rows or self.rows[-1] != (doc_id, th):
+            self.rows.append((doc_id, th))
+        n = len(raw) - length + 1
+        self.one.append(rolling(raw, length, 2))
+        self.two.append(rolling(raw, length, 3))
+        self.owner.append(np.full(n, len(self.rows) - 1))
+        self.at.append(a + np.arange(n))
+
+    def row(self, names: list[str]) -> pa.RecordBatch:
+        import uuid
+
+        columns = [np.concatenate(x).astype(np.uint64).view(np.int64) for x in (self.one, self.two, self.owner, self.at)]
+        told = np.array([[i is not None, i or 0, t] for i, t in self.rows], np.int64).T
+        packed = np.concatenate([[len(columns[0]), len(self.rows)], *columns, told.ravel()]).astype(np.int64).tobytes()
+        values = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())]
+        return pa.RecordBatch.from_arrays(values, names=names)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct hashes (both halves), their counts, and the row of each string among them."""
+        order = np.lexsort((self.two, self.one))
+        one, two = self.one[order], self.two[order]
+        new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        first = np.flatnonzero(new)
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        return one[first], two[first], np.diff(np.append(first, len(order))), inverse
+
+
+def _count_strings(blocks: DataFrame, parts: int, length: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, th, a, b) of the blocks' strings that stand more than once, neighbours joined."""
+    ends = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("strings").to_pylist()):
+                one, two, n, _ = Strings(packed).distinct()
+                cuts = [0, *np.searchsorted(one, ends).tolist(), len(one)]
+                rows = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                columns = [[p for p, *_ in rows], [block] * len(rows), *([x[a:b].tobytes() for _, a, b in rows] for x in (one, two, n.astype(np.int64)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "block", "one", "two", "n"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["part"]):
+            sizes = [len(b) // 8 for b in g["one"]]
+            one, two, n = (np.concatenate([np.frombuffer(b, t) for b in g[c]]) for c, t in (("one", np.uint64), ("two", np.uint64), ("n", np.int64)))
+            order = np.lexsort((two, one))
+            new = np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)])
+            total = np.add.reduceat(n[order], np.flatnonzero(new))
+            twice = np.empty(len(order), bool)
+            twice[order] = (total > 1)[np.cumsum(new) - 1]
+            told = [t.tobytes() for t in np.split(twice, np.cumsum(sizes)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(g["block"], pa.int64()), pa.array(g["part"], pa.int32()), pa.array(told, pa.binary())], names=["block", "part", "twice"])
+
+    asked = map_batches(blocks, ask, "part int, block long, one binary, two binary, n binary").repartition(parts, "part").sortWithinPartitions("part")
+    answers = map_batches(asked, answer, "block long, part int, twice binary")
+    both = blocks.select("block", F.lit(-1).alias("part"), "strings", F.lit(None).cast("binary").alias("twice")).unionByName(answers, allowMissingColumns=True)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(packed: bytes, told: list[bytes]) -> pa.RecordBatch:
+            own = Strings(packed)
+            hit = np.frombuffer(b"".join(told), bool)[own.distinct()[3]]
+            at, owner = own.at[hit], own.owner[hit]
+            order = np.lexsort((at, owner))
+            at, owner = at[order], owner[order]
+            new = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(at) > length)])[: len(at)]
+            first = np.flatnonzero(new)
+            last = (np.append(first[1:], len(at)) - 1)[: len(first)]
+            who = [own.rows[k] for k in owner[first].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in who], pa.int64()), pa.array([t for _, t in who], pa.int64()), pa.array(at[first].astype(np.int32)), pa.array((at[last] + length).astype(np.int32))], names=["doc_id", "th", "a", "b"])
+
+        packed, told = None, []
+        for batch in batches:
+            for part, strings, twice in zip(batch.column("part").to_pylist(), batch.column("strings").to_pylist(), batch.column("twice").to_pylist()):
+                if part == -1:
+                    if packed is not None:
+                        yield done(packed, told)
+                    packed, told = strings, []
+                else:
+                    told.append(twice)
+        if packed is not None:
+            yield done(packed, told)
+
+    return map_batches(both.repartition("block").sortWithinPartitions("block", "part"), mark, "doc_id long, th long, a int, b int")
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes; touching spans are one run."""
     out: list[tuple[int, int]] = []
