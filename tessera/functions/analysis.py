@@ -39,10 +39,16 @@ def has_phrase(words: Column, phrase: list[str]) -> Column:
 
 
 def has_all(words: Column, wanted: list[str]) -> Column:
-    """Whether every token stands in the array; no token at all never matches."""
+    """Whether every token stands in the array; no token at all never matches. The array is evaluated once."""
     if not wanted:
         return F.lit(False)
-    out = F.array_contains(words, wanted[0])
-    for t in wanted[1:]:
-        out = out & F.array_contains(words, t)
+    return F.size(F.array_except(F.array(*map(F.lit, dict.fromkeys(wanted))), words)) == 0
+
+
+def may_hold(text: Column, wanted: list[str]) -> Column:
+    """A cheap necessary condition for all tokens to stand in a text, before it is split."""
+    low = F.lower(F.translate(text, "Σ", "σ"))
+    out = F.lit(True)
+    for t in dict.fromkeys(wanted):
+        out = out & low.contains(t)
     return out

@@ -226,7 +226,8 @@ def _compile(p: Predicate, spec: IndexSpec) -> Column:
         wanted = analysis.query_tokens(p.text)
         if not wanted:
             raise QueryError("the text holds no token")
+        maybe = F.lit(True) if f.multi else analysis.may_hold(F.col(f.name), wanted)
         if isinstance(p, Phrase):
-            return F.exists(words(f.name), lambda w: analysis.has_phrase(w, wanted))
-        return analysis.has_all(F.flatten(words(f.name)), wanted)
+            return maybe & F.exists(words(f.name), lambda w: analysis.has_phrase(w, wanted))
+        return maybe & analysis.has_all(F.flatten(words(f.name)), wanted)
     raise QueryError(f"unknown predicate {p!r}")

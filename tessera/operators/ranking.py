@@ -42,16 +42,11 @@ def term_stats(rows: DataFrame, names: list[str]) -> DataFrame:
 
 def matches(names: list[str], wanted: list[str], phrase: bool) -> Column:
     """Every token in some field; a phrase within one field."""
-    out = F.lit(False) if phrase else F.lit(True)
-    if phrase:
-        for n in names:
-            out = out | F.exists(words(n), lambda w: analysis.has_phrase(w, wanted))
-        return out
-    for t in dict.fromkeys(wanted):
-        hit = F.lit(False)
-        for n in names:
-            hit = hit | F.array_contains(_flat(n), t)
-        out = out & hit
+    if not phrase:
+        return analysis.has_all(F.concat(*map(_flat, names)), wanted)
+    out = F.lit(False)
+    for n in names:
+        out = out | F.exists(words(n), lambda w: analysis.has_phrase(w, wanted))
     return out
 
 
@@ -77,7 +72,10 @@ def search_text(rows: DataFrame, spec: FullTextIndex | HybridIndex, text: str, p
     if not wanted:
         raise QueryError("the text holds no token")
     stats = text_stats(rows, spec, names, wanted)
-    found = rows.filter(F.coalesce(matches(names, wanted, phrase), F.lit(False)))
+    hit = matches(names, wanted, phrase)
+    if len(names) == 1 and not spec.field(names[0]).multi:
+        hit = analysis.may_hold(F.col(names[0]), wanted) & hit
+    found = rows.filter(F.coalesce(hit, F.lit(False)))
     return found.withColumn("score", bm25(names, wanted, stats, spec.k1, spec.b).cast("float"))
 
 
