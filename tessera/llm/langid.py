@@ -177,8 +177,12 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) ->
     """A model from a bounded sample of the labelled documents outside the held-out fold."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    order = F.xxhash64(F.col("doc_id"), F.lit(7))
-    sample = known.select(order.alias("o"), "doc_id", F.substring("text", 1, chars).alias("text"), "lang").orderBy("o", "doc_id", "lang", "text").limit(rows).collect()
+    known = known.withColumn("o", F.xxhash64(F.col("doc_id"), F.lit(7)))
+    # a bound on the hash first, so that no task sends more than its share of the sample
+    n = known.select("o").agg(F.count("*")).first()[0]
+    share = min(1.0, 1.5 * rows / n) if n else 1.0
+    known = known.filter(F.col("o") <= int((share - 0.5) * 2.0**64) if share < 1 else F.lit(True))
+    sample = known.select("o", "doc_id", F.substring("text", 1, chars).alias("text"), "lang").orderBy("o", "doc_id", "lang", "text").limit(rows).collect()
     return fit([r.text for r in sample], [r.lang for r in sample])
 
 
