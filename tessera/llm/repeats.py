@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,17 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, as far as a part reaches."""
+    base, out = 0x9E3779B97F4A7C15, []
+    for b in (base, pow(base, -1, 1 << 64)):
+        x = np.full(CHUNK + (1 << 16), np.uint64(b))
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return tuple(out)
+
+
 def rolling(raw: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Hashes of the ``size`` bytes from each place, by doubling: a hash of 2n bytes joins two of n."""
     now = _SYMBOL[raw] + np.uint64(salt)
@@ -88,9 +100,11 @@ def windows(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
             if n.max() > starts:
                 first = np.concatenate([np.arange(f, f + k, starts) for f, k in zip(first.tolist(), n.tolist())])
                 n = np.diff(np.append(first, len(least)))
-            # a window's content: the hashes of its strings, each mixed with its place in the window, summed
-            place = np.arange(len(least), dtype=np.uint64) - np.repeat(first, n).astype(np.uint64)
-            content = np.add.reduceat(_finish(rolling(part, length, 1) + place * _FACTORS[1]), first) + n.astype(np.uint64)
+            # a window's content: a polynomial over its bytes, from sums over the part
+            power, inverse = _powers()
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_SYMBOL[part] * power[: len(part)], out=sums[1:])
+            content = _finish((sums[first + n + length - 1] - sums[first]) * inverse[first] + n.astype(np.uint64))
             yield least[first], content, first, n, _times(hashes, least[first], seen), d, low - a
 
 

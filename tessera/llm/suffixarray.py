@@ -71,11 +71,15 @@ class _Minima:
     def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Least value in (start, end], for start < end."""
         size = end - start
-        level = np.floor(np.log2(size)).astype(np.int64)
-        out = np.empty(len(start), self.levels[0].dtype)
-        for k in np.unique(level):
-            m, v = level == k, self.levels[k]
-            out[m] = np.minimum(v[start[m] + 1], v[end[m] - (1 << int(k)) + 1])
+        out = self.levels[0][end]
+        more = np.flatnonzero(size > 1)
+        for k, v in enumerate(self.levels):
+            if not len(more):
+                break
+            a, b = start[more], end[more]
+            now = size[more] < 2 << k
+            out[more[now]] = np.minimum(v[a[now] + 1], v[b[now] - (1 << k) + 1])
+            more = more[~now]
         return out
 
 
@@ -86,21 +90,26 @@ class Sorter:
     """
 
     def __init__(self, text: np.ndarray, limit: int, memory: int = 64 << 20):
+        # symbols that are there, renumbered in order: a byte each, nearly always
+        used = np.bincount(text) > 0
+        self.symbols = int(used.sum())
+        text = (np.cumsum(used) - 1).astype(np.uint8 if self.symbols < 256 else np.uint16)[text]
         self.text, self.limit, self.memory = text, limit, memory
-        self.symbols = int(text.max()) + 1
         n = len(text)
         # S: smaller than the next suffix. A run of equal symbols has the type of its last one.
-        step = np.ones(n, np.int8)
-        step[:-1] = np.sign(text[1:].astype(np.int32) - text[:-1].astype(np.int32))
-        known = np.flatnonzero(step)
-        self.is_s = step[known[np.searchsorted(known, np.arange(n))]] > 0 if n else np.zeros(0, bool)
+        up = np.ones(n, bool)
+        up[:-1] = text[1:] > text[:-1]
+        tells = np.ones(n, bool)
+        tells[:-1] = text[1:] != text[:-1]
+        at = np.where(tells, np.arange(n, dtype=np.int32), np.int32(n))
+        self.is_s = up[np.minimum.accumulate(at[::-1])[::-1]] if n else np.zeros(0, bool)
         self.is_lms = self.is_s.copy()
         if n:
             self.is_lms[0] = False
             self.is_lms[1:] &= ~self.is_s[:-1]
 
-    def _push(self, spool: Spool, since: np.ndarray, place: np.ndarray, prefix: np.ndarray, want_s: bool) -> None:
-        """Induce from a scanned batch: entries before ``place`` of the wanted type go to the queues of their symbols."""
+    def _push(self, spool: Spool, since: np.ndarray | None, place: np.ndarray, prefix: np.ndarray, want_s: bool) -> None:
+        """Induce from a scanned batch: entries before ``place`` of the wanted type go to the queues of their symbols. since: None if prefixes don't matter."""
         cap = self.limit
         ok = place > 0
         before = np.where(ok, place - 1, 0)
@@ -114,6 +123,11 @@ class Sorter:
             new = np.concatenate([[True], symbol[1:] != symbol[:-1]])
             first = np.flatnonzero(new)
             value = np.zeros(len(at), np.uint16)
+            if since is None:
+                cuts = np.append(first, len(at)).tolist()
+                for s, a, b in zip(symbol[first].tolist(), cuts[:-1], cuts[1:]):
+                    spool.put(s, before[a:b], value[a:b])
+                return
             rest = np.flatnonzero(~new)
             if len(rest):
                 gap = at[rest] - at[rest - 1]
@@ -129,7 +143,7 @@ class Sorter:
             since[own] = after[at[cuts[1:] - 1]]
             for s, a, b in zip(own.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
                 spool.put(s, before[a:b], value[a:b])
-        else:
+        elif since is not None:
             since[:] = np.minimum(since, prefix.min())
 
     def compare(self, a: int, b: int) -> int:
@@ -145,7 +159,7 @@ class Sorter:
         compare = self.compare if exact else lambda a, b: 0
         spool = Spool(self.symbols, self.memory)
         # since[c]: least common prefix scanned since the last entry of queue c; 0 at first, as that entry has none before it
-        since = np.zeros(self.symbols, np.uint16)
+        since = np.zeros(self.symbols, np.uint16) if exact else None
         larger: list[tuple[np.ndarray, np.ndarray] | None] = []
         for c in range(self.symbols):
             done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -164,7 +178,7 @@ class Sorter:
             larger.append(tuple(np.concatenate(x) for x in zip(*done)) if done else None)
         # S suffixes, from the largest down; an entry's value is its common prefix with the entry above it
         spool = Spool(self.symbols, self.memory)
-        since = np.zeros(self.symbols, np.uint16)
+        since = np.zeros(self.symbols, np.uint16) if exact else None
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for c in range(self.symbols - 1, -1, -1):
             done = []
@@ -225,19 +239,21 @@ class Sorter:
         n = len(self.text)
         if n == 1:
             return np.zeros(1, np.int64), np.zeros(1, np.uint16)
-        lms = np.flatnonzero(self.is_lms)
+        lms = np.flatnonzero(self.is_lms).astype(np.int32 if n < 1 << 31 else np.int64)
         name, count = self.names(lms)
-        rank = _order_names(name, count, self.limit)
-        ordered = lms[np.argsort(rank, kind="stable")]
-        return self.induce(ordered, self.prefixes(ordered), True)
+        rank = _order_names(name, count, lms, self.limit)
+        by = np.argsort(rank, kind="stable")
+        ordered, rank = lms[by], rank[by]
+        return self.induce(ordered, self.prefixes(ordered, rank[1:] == rank[:-1]), True)
 
-    def prefixes(self, order: np.ndarray) -> np.ndarray:
-        """Common prefixes of neighbours, eight symbols at a time while they agree."""
+    def prefixes(self, order: np.ndarray, equal: np.ndarray) -> np.ndarray:
+        """Common prefixes of neighbours, eight bytes at a time while they agree. equal: those known to agree up to the limit."""
         out = np.zeros(len(order), np.uint16)
         padded = np.concatenate([self.text, np.full(self.limit + 8, self.symbols, self.text.dtype)])
         words = _words(padded, self.limit + 8)
         a, b = order[:-1], order[1:]
-        live, k = np.arange(len(a)), 0
+        out[1:][equal] = self.limit
+        live, k = np.flatnonzero(~equal), 0
         width = 8 // self.text.dtype.itemsize
         while len(live) and k < self.limit:
             differ = words[a[live] + k] ^ words[b[live] + k]
@@ -256,15 +272,23 @@ def _words(padded: np.ndarray, margin: int) -> np.ndarray:
     return np.ndarray((len(padded) - 8 // padded.dtype.itemsize,), "<u8", np.ascontiguousarray(padded), strides=(padded.dtype.itemsize,))
 
 
-def _order_names(name: np.ndarray, count: int, limit: int) -> np.ndarray:
-    """Ranks of the suffixes of the reduced string, by recursion on pairs of names: each level doubles the symbols that a name stands for."""
+def _order_names(name: np.ndarray, count: int, lms: np.ndarray, limit: int) -> np.ndarray:
+    """Ranks of the suffixes of the reduced string, by recursion on pairs of names: each level doubles the names that one stands for.
+
+    It ends when all ranks differ, or when equal ranks stand for ``limit`` symbols of the text at least.
+    """
     step = 1
-    while count < len(name) and step <= limit:  # a name holds at least one symbol of the text
+    while count < len(name):
+        shared = np.bincount(name, minlength=count)[name] > 1
+        ahead = np.minimum(np.arange(len(lms)) + step, len(lms) - 1)
+        if (lms[ahead] - lms)[shared].min() >= limit:
+            break
         second = np.zeros(len(name), np.int64)
         second[:-step] = name[step:] + 1
         pair = name * (count + 1) + second
-        order = np.argsort(pair, kind="stable")
-        new = np.concatenate([[0], np.cumsum(pair[order][1:] != pair[order][:-1])])
+        order = np.argsort(pair)
+        pair = pair[order]
+        new = np.concatenate([[0], np.cumsum(pair[1:] != pair[:-1])])
         name = np.empty_like(name)
         name[order] = new
         count = int(new[-1]) + 1
