@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, langid, linededup, simhash
+from tessera.llm import bpe, decontaminate, langid, linededup, nearcopies
 from tessera.llm.common import Scratch, table
 
 #: A document is rejected if it has no letter, or if its language is less sure than this.
@@ -34,9 +34,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of texts whose five-word shingles have Jaccard 0.8 or more: the one with the smallest id."""
     scratch = Scratch(spark)
-    groups = scratch.save(simhash.near_duplicates(docs, scratch=scratch))
+    groups = scratch.save(nearcopies.near_copies(docs, scratch))
     others = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
     return docs.join(others, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
 
