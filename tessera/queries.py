@@ -687,6 +687,16 @@ def placement_rank(spark, sf):
     return placement.rank(load(spark, sf, "customer").filter("c_custkey <= 200").select(F.col("c_custkey").alias("key")), nodes)
 
 
+@query("""
+WITH n AS (SELECT n_name AS node, 1 + n_regionkey AS weight FROM nation), k AS (SELECT c_custkey AS key FROM customer),
+s AS (SELECT key, node, weight / -log2((CAST(('0x' || left(sha256(CAST(key AS VARCHAR) || '|' || node), 13)) AS BIGINT) + 0.5) / 4503599627370496) AS score FROM k, n)
+SELECT key, rank, node FROM (SELECT key, node, CAST(row_number() OVER (PARTITION BY key ORDER BY score DESC, node) AS INTEGER) AS rank FROM s) WHERE rank <= 3""")
+def placement_rank_all(spark, sf):
+    """placement_rank over every customer; that one ends at key 200, as its SQL does."""
+    nodes = load(spark, sf, "nation").select(F.col("n_name").alias("node"), (F.col("n_regionkey") + 1).alias("weight"))
+    return placement.rank(load(spark, sf, "customer").select(F.col("c_custkey").alias("key")), nodes)
+
+
 # extensions ------------------------------------------------------------------------------------------------------
 
 
