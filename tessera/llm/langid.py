@@ -4,7 +4,8 @@ A text is reduced to its letters (lower-cased) with one space between words. Cha
 hashed into BUCKETS; a feature is the n-gram's share of the text's n-grams times its inverse document frequency.
 The model is fitted by follow-the-regularised-leader with elastic-net penalties (per-coordinate steps, weights of
 exactly zero), on at most ``train_rows`` labelled training documents: those with the smallest hash of their id,
-so the sample is the same however the table is dealt. A share of the sample is kept for temperature calibration.
+so the sample is the same however the table is dealt. Each sampled text, whole, is reduced to its n-gram counts
+(at most BUCKETS) in the tasks, and only those are collected. A share of the sample is kept for temperature calibration.
 Prediction reads every whole text, in batches, and needs no shuffle.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; ties between classes go to the
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import filter_batches, map_batches, table, texts
 
-#: Production parameters. TRAIN_ROWS bounds what the fit collects, whatever the corpus; TRAIN_CHARS bounds each text of the sample.
-NGRAMS, BUCKETS, TRAIN_ROWS, TRAIN_CHARS, FOLDS, HELD_OUT = (1, 2, 3), 1 << 15, 3000, 4000, 5, 0
+#: Production parameters. TRAIN_ROWS bounds what the fit collects, whatever the corpus.
+NGRAMS, BUCKETS, TRAIN_ROWS, FOLDS, HELD_OUT = (1, 2, 3), 1 << 15, 3000, 5, 0
 ALPHA, BETA, L1, L2, EPOCHS, BATCH = 0.5, 1.0, 1e-4, 1e-4, 4, 16
 
 
@@ -127,21 +128,29 @@ class Ftrl:
         self.n[rows] += gradient**2
 
 
+def counts(many: list[str], orders: tuple[int, ...] = NGRAMS, buckets: int = BUCKETS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The buckets of each text's n-grams, and how many fall into each."""
+    parts = [np.split(rows, np.cumsum(k)[:-1]) for rows, k in grams(many, orders, buckets)] if many else []
+    return [np.unique(np.concatenate(own), return_counts=True) for own in zip(*parts)]
+
+
 def fit(many: list[str], labels: list[str], orders: tuple[int, ...] = NGRAMS, buckets: int = BUCKETS, epochs: int = EPOCHS) -> Model:
-    """Texts and their labels to a calibrated model; every fifth text serves calibration alone."""
+    """Texts and their labels to a calibrated model."""
+    return fit_counts(counts(many, orders, buckets), labels, orders, buckets, epochs)
+
+
+def fit_counts(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], orders: tuple[int, ...] = NGRAMS, buckets: int = BUCKETS, epochs: int = EPOCHS) -> Model:
+    """``counts`` of texts and their labels to a calibrated model; every fifth text serves calibration alone."""
     classes = sorted(set(labels))
     if not classes:
         return Model([], np.zeros((buckets, 0)), np.zeros(0), 1.0, orders)
     y = np.array([classes.index(x) for x in labels])
-    found = grams(many, orders, buckets)
-    n = sum(k for _, k in found)
-    parts = [np.split(rows, np.cumsum(k)[:-1]) for rows, k in found]
-    rows = [np.unique(np.concatenate(own), return_counts=True) for own in zip(*parts)]
+    n = np.array([c.sum() for _, c in rows], np.int64)
     df = np.bincount(np.concatenate([r for r, _ in rows]) if rows else [], minlength=buckets)
-    idf = np.log((1 + len(many)) / (1 + df)) + 1
+    idf = np.log((1 + len(rows)) / (1 + df)) + 1
     scale = 10.0  # shares of n-grams are small; weights stay near 1
     feats = [(r, c / max(k, 1) * idf[r] * scale) for (r, c), k in zip(rows, n)]
-    held = np.arange(len(many)) % 5 == 4
+    held = np.arange(len(rows)) % 5 == 4
     train = np.flatnonzero(~held & (n > 0))
     model = Ftrl(buckets + 1, len(classes), ALPHA, BETA, L1, L2)
     rng = np.random.default_rng(42)
@@ -161,7 +170,7 @@ def fit(many: list[str], labels: list[str], orders: tuple[int, ...] = NGRAMS, bu
     out = Model(classes, np.asfortranarray((w[:-1] * (idf * scale)[:, None]).astype(np.float32)), w[-1], 1.0, orders)
     keep = np.flatnonzero(held & (n > 0))
     if len(keep):
-        z = out.logits([many[i] for i in keep])[0]
+        z = np.array([out.weights[rows[i][0]].T.astype(np.float64) @ rows[i][1] / n[i] for i in keep]) + out.bias
         grid = np.geomspace(0.05, 20, 121)
         loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(keep)), y[keep]], 1e-12)).mean() for t in grid]
         out.temperature = float(grid[int(np.argmin(loss))])
@@ -173,7 +182,7 @@ def held_out(folds: int = FOLDS, fold: int = HELD_OUT):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model from a bounded sample of the labelled documents outside the held-out fold."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
@@ -182,8 +191,15 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) ->
     n = known.select("o").agg(F.count("*")).first()[0]
     share = min(1.0, 1.5 * rows / n) if n else 1.0
     known = known.filter(F.col("o") <= int((share - 0.5) * 2.0**64) if share < 1 else F.lit(True))
-    sample = known.select("o", "doc_id", F.substring("text", 1, chars).alias("text"), "lang").orderBy("o", "doc_id", "lang", "text").limit(rows).collect()
-    return fit([r.text for r in sample], [r.lang for r in sample])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counts([t])[0] for t in batch.column("text").to_pylist()]
+            cols = [pa.array([x.astype(np.int32).tobytes() for x in part], pa.binary()) for part in zip(*found)] or [pa.array([], pa.binary())] * 2
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("o", "doc_id", "lang")), *cols], names=["o", "doc_id", "lang", "buckets", "times"])
+
+    sample = map_batches(known.select("o", "doc_id", "lang", "text"), run, "o long, doc_id long, lang string, buckets binary, times binary").orderBy("o", "doc_id", "lang", "buckets", "times").limit(rows).collect()
+    return fit_counts([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.times, np.int32)) for r in sample], [r.lang for r in sample])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -44,3 +44,12 @@ def test_weights_are_sparse_and_no_labels_mean_und(spark):
     docs = spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in L.identify(docs, L.train(docs)).collect()] == [(1, "und", 0.0)]
     assert L.identify(docs.limit(0), m).collect() == []
+
+
+def test_training_reads_texts_past_a_long_opening(spark):
+    rng = random.Random(3)
+    opening = text("aa", rng, 1500)  # the same in every text, whatever its label
+    assert len(opening) > 4000
+    docs = spark.createDataFrame([(k, f"{opening} {text(lang, rng, 1500)}", lang) for k in range(150) for lang in [("bb", "cc")[k % 2]]], "doc_id long, text string, lang string")
+    m = L.train(docs)
+    assert sum(m.predict([f"{opening} {text(lang, rng, 1500)}"])[0] == [lang] for lang in ("bb", "cc") for _ in range(20)) >= 38
