@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch handed to Python. Texts are of very different length, so the bound is on rows and small.
-ARROW_ROWS = 256
+#: Rows per Arrow batch handed to Python, and bytes of the rows that an operator works on at once (a longer row is worked on alone).
+ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,18 @@ def scratch_root(spark: SparkSession) -> str:
     if not where:
         opt = sc._jsc.sc().getCheckpointDir()
         if not opt.isDefined():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
             opt = sc._jsc.sc().getCheckpointDir()
         where = opt.get()
     return f"{where.rstrip('/')}/tessera-{sc.applicationId}"
 
 
+#: Shuffle files of a query go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Parquet tables in the shared folder, which cut lineage and can be dropped once they are superseded."""
 
@@ -41,19 +47,16 @@ class Scratch:
 
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
-        path = f"{self.root}/{self._n}"
-        df.write.option("compression", self.compression).parquet(path)
+        path, before = f"{self.root}/{self._n}", self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", self.compression).parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Let Spark remove the shuffle files of steps that are over: it does so when their plans are collected as garbage."""
-        import gc
-
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *dfs: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in dfs:
@@ -61,10 +64,27 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], most: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows, in batches of at most ``most`` bytes of strings, or of one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if any(f(column.type) for f in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, a = np.cumsum(size), 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with small batches."""
+    """``mapInArrow`` with batches bounded in rows and bytes."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(bounded(batches)), schema)
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -72,6 +92,17 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of the table needs to clash with it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def string_bytes(column: pa.Array) -> tuple["object", "object"]:
     """A string array as (uint8 buffer, int64 offsets), nulls as empty texts."""
     import numpy as np
@@ -131,7 +162,7 @@ def filter_batches(docs: DataFrame, keep: Callable[[], Callable[[pa.RecordBatch]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = keep()
-        for batch in batches:
+        for batch in bounded(batches):
             yield batch.filter(pa.array(good(batch), pa.bool_()))
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

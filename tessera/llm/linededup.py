@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is removed if an earlier one (by doc_id, then by its place in the text) is equal to it, or within one edit
+A line is removed if an earlier one (by doc_id, hash of the text, place in the text) is equal to it, or within one edit
 (insertion, deletion or substitution of a character) where both have at least LEAST characters. Equal lines meet by
 a 128-bit hash and are one row from then on. For the rest, hashed keys of deletion variants are joined:
 
@@ -13,9 +13,12 @@ lies in one block of a fixed grid, outside of which both agree. Only lines that
 then of the second go on, and only with the variants inside the shared block. A key's group is summed up by its
 earliest line, never by its pairs; the lines found are then compared with that witness by edit distance.
 
+Every text is split once for each use of its lines, and work is linear in the number of lines.
+
 Defined results: blank lines stay and are never compared; a null text or id stays as it is; a document that has
-nothing left keeps its row with an empty text; rows with the same doc_id stand at the same place and keep the same
-lines; empty tables give empty tables. Other columns pass through.
+nothing left keeps its row with an empty text; a row is told by its doc_id and text, so rows with both equal keep the
+same lines, and of rows with one doc_id and different texts the one with the least hash of the text comes first;
+empty tables give empty tables. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, table
+from tessera.llm.common import Scratch, fresh, table
 
 #: Production parameters: fewest characters for a near match, and the edit bound (1; 0 compares for equality alone).
 LEAST, EDITS = 16, 1
@@ -51,10 +54,21 @@ def _grid(n: Column) -> Column:
     return _power(F.floor(n / 8))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text) and text: what tells rows apart, and their lines."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+
+
+def _split_once(rows: DataFrame) -> DataFrame:
+    """The rows with their ``lines`` in place of the text. The generator keeps the optimiser from splitting again at every use."""
+    others = [c for c in rows.columns if c != "text"]
+    return rows.select(*others, F.explode(F.array(_split(F.col("text")))).alias("lines"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line for every line that isn't blank."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(_split(F.col("text").cast("string"))).alias("pos", "line"))
-    return own.filter(F.col("doc_id").isNotNull() & ~_blank(F.col("line")))
+    """doc_id, th, pos, line for every line that isn't blank."""
+    own = _rows(docs).filter("doc_id is not null").select("doc_id", "th", F.posexplode(_split(F.col("text"))).alias("pos", "line"))
+    return own.filter(~_blank(F.col("line")))
 
 
 def _id(line: Column) -> list[Column]:
@@ -93,26 +107,26 @@ def _shared(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
 
 def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(h1, h2) of the distinct lines that an earlier one is within one edit of."""
-    keyed = firsts.select("h1", "h2", "doc_id", "pos", F.explode("sieve").alias("key"))
-    met = _shared(keyed, "key", scratch).select("doc_id", "pos").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    line = own.join(met, "doc_id").select("doc_id", F.explode("at").alias("pos"), "text").withColumn("line", F.element_at(_split(F.col("text")), F.col("pos") + 1)).drop("text")
-    line = line.filter(F.col("line").isNotNull()).withColumn("n", F.length("line"))
-    # rows with the same doc_id share their places; of their lines the one that is first stays
-    known = scratch.save(line.select(*_id(F.col("line")), "doc_id", "pos", "line", "n").join(firsts.select("h1", "h2", "doc_id", "pos"), ["h1", "h2", "doc_id", "pos"], "left_semi"))
+    keyed = firsts.select("doc_id", "th", "pos", F.explode("sieve").alias("key"))
+    met = _shared(keyed, "key", scratch).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("at"))
+    own = _split_once(_rows(docs).filter("doc_id is not null").join(met, ["doc_id", "th"]))
+    wanted = F.explode(F.transform("at", lambda k: F.struct(k.alias("pos"), F.try_element_at(F.col("lines"), k + 1).alias("line"))))
+    line = own.select("doc_id", "th", wanted.alias("x")).select("doc_id", "th", "x.pos", "x.line").filter("line is not null")
+    # rows that repeat an id and a text tell the same lines again
+    known = scratch.save(line.select(*_id(F.col("line")), "doc_id", "th", "pos", "line", F.length("line").alias("n")).dropDuplicates(["h1", "h2"]))
 
     text, n = F.col("line"), F.col("n")
     both = F.concat(_blocks(text, n, n), _blocks(text, n, n - 1))
     coarse = known.select("h1", "h2", F.explode(both).alias("k")).select("h1", "h2", "k.base", "k.b", "k.key")
     blocks = scratch.save(_shared(coarse, "key", scratch).select("h1", "h2", "base", "b").distinct())
-    fine = known.join(blocks, ["h1", "h2"]).select("h1", "h2", "doc_id", "pos", F.explode(_variants(text, n, F.col("base"), F.col("b"))).alias("v"))
-    fine = scratch.save(fine.select("h1", "h2", "doc_id", "pos", "v.role", "v.key").distinct())
+    fine = known.join(blocks, ["h1", "h2"]).select("h1", "h2", "doc_id", "th", "pos", F.explode(_variants(text, n, F.col("base"), F.col("b"))).alias("v"))
+    fine = scratch.save(fine.select("h1", "h2", "doc_id", "th", "pos", "v.role", "v.key").distinct())
 
-    me = F.struct("doc_id", "pos", "h1", "h2")
+    me = F.struct("doc_id", "th", "pos", "h1", "h2")
     of = lambda role: F.min(F.when(F.col("role") == role, me)).alias(f"first_{role}")
     least = scratch.save(fine.groupBy("key").agg(of("same"), of("self"), of("longer")).filter("first_same is not null or (first_self is not null and first_longer is not null)"))
     witness = F.when(F.col("role") == "same", F.col("first_same")).when(F.col("role") == "self", F.col("first_longer")).otherwise(F.col("first_self"))
-    pairs = fine.join(least, "key").withColumn("w", witness).filter(F.col("w").isNotNull() & (F.struct("w.doc_id", "w.pos") < F.struct("doc_id", "pos")))
+    pairs = fine.join(least, "key").withColumn("w", witness).filter(F.col("w").isNotNull() & (F.struct("w.doc_id", "w.th", "w.pos") < F.struct("doc_id", "th", "pos")))
     pairs = pairs.select("h1", "h2", F.col("w.h1").alias("g1"), F.col("w.h2").alias("g2")).distinct()
     other = known.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("earlier"))
     checked = pairs.join(known.select("h1", "h2", "line"), ["h1", "h2"]).join(other, ["g1", "g2"])
@@ -120,17 +134,17 @@ def near_lines(firsts: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFram
 
 
 def kept_lines(docs: DataFrame, edits: int = EDITS, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id and the places (from 0) of the lines that stay, blank ones left out; documents without such a line have no row."""
+    """doc_id, th and the places (from 0) of the lines that stay, blank ones left out; rows without such a line are not in it."""
     if edits not in (0, 1):
         raise ValueError("the edit bound is 0 or 1")
     scratch = scratch or Scratch(docs.sparkSession)
     line = F.col("line")
-    keyed = _lines(docs).select(*_id(line), "doc_id", "pos", _sieve(line, F.length(line)).alias("sieve"))
+    keyed = _lines(docs).select(*_id(line), "doc_id", "th", "pos", _sieve(line, F.length(line)).alias("sieve"))
     # the sieve's keys follow from the line, so any row's will do
-    firsts = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.first("sieve").alias("sieve"))
-    firsts = scratch.save(firsts.select("h1", "h2", "f.doc_id", "f.pos", "sieve"))
+    firsts = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("f"), F.first("sieve").alias("sieve"))
+    firsts = scratch.save(firsts.select("h1", "h2", "f.doc_id", "f.th", "f.pos", "sieve"))
     stay = firsts.join(scratch.save(near_lines(firsts, docs, scratch)), ["h1", "h2"], "left_anti") if edits else firsts
-    return stay.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
+    return stay.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("kept"))
 
 
 def _places(lines: Column, keep) -> Column:
@@ -140,22 +154,25 @@ def _places(lines: Column, keep) -> Column:
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, scratch: Scratch | None = None) -> DataFrame:
     """The documents with the lines that stay; all columns as they were but text."""
-    kept = kept_lines(docs, edits, scratch).select(F.col("doc_id").alias("_doc"), F.col("kept").alias("_kept"))
-    lines = _split(F.col("text").cast("string"))
-    stay = F.array_sort(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), _places(lines, _blank)))
-    text = F.array_join(F.transform(stay, lambda k: F.element_at(lines, k + 1)), "\n")
-    out = docs.join(kept, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    changed = F.when(F.col("doc_id").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text)
-    return out.select(*[changed.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    i, h, k, ls = fresh(docs, "doc", "hash", "kept", "lines")
+    kept = kept_lines(docs, edits, scratch).select(F.col("doc_id").alias(i), F.col("th").alias(h), F.col("kept").alias(k))
+    text = F.col("text").cast("string")
+    joined = docs.join(kept, (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(h)), "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], k, F.explode(F.array(_split(text))).alias(ls))
+    stay = F.array_sort(F.concat(F.coalesce(F.col(k), F.array().cast("array<int>")), _places(F.col(ls), _blank)))
+    changed = F.array_join(F.transform(stay, lambda x: F.try_element_at(F.col(ls), x + 1)), "\n")
+    changed = F.when(F.col("doc_id").isNull() | F.col("text").isNull(), text).otherwise(changed)
+    return joined.select(*[changed.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed and removed, the places of the removed lines (array<int>), for every document."""
-    lines = _split(F.col("text").cast("string"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), _places(F.coalesce(lines, F.array().cast("array<string>")), lambda x: ~_blank(x)).alias("some"))
-    own = own.withColumn("n_lines", F.greatest("n_lines", F.lit(0)).cast("long"))
-    out = own.join(kept_lines(docs, edits, scratch), "doc_id", "left")
-    gone = F.when(F.col("doc_id").isNull(), F.array().cast("array<int>")).otherwise(F.array_except("some", F.coalesce("kept", F.array().cast("array<int>"))))
+    none = F.array().cast("array<int>")
+    lines = F.col("lines")
+    own = _split_once(_rows(docs))
+    own = own.select("doc_id", "th", F.greatest(F.coalesce(F.size(lines), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(_places(lines, lambda x: ~_blank(x)), none).alias("some"))
+    out = own.join(kept_lines(docs, edits, scratch), ["doc_id", "th"], "left")
+    gone = F.when(F.col("doc_id").isNull(), none).otherwise(F.array_except("some", F.coalesce("kept", none)))
     return out.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
 
 

@@ -1,17 +1,20 @@
-"""Near copies: every pair of texts whose sets of word shingles have a Jaccard similarity of at least 0.8, grouped.
+"""Near copies by SimHash: texts whose sets of word shingles have a Jaccard similarity of at least 0.8, grouped.
 
-The search is exact up to 64-bit hashes. Shingles are ranked, rare ones first; two sets of that similarity share one
-of the first n / 5 + 1 shingles of each (prefix filter), so pairs are looked for among the sets that share such a key.
-Ranks come from a bounded sample of documents: any one order for all sets is lossless, a good one only saves work.
-Before a pair is sent on, three bounds that no such pair can fail are put to it: the sizes, the places of the shared
-key, and the bits in which the parity sketches differ, which are at most the shingles that only one set holds. What
-is left is compared shingle by shingle.
+The shards of the BK-trees are chosen by shingles here, not by blocks of bits, as RADIUS bits leave no equal blocks:
+shingles are ranked, rare ones first, and two sets of that similarity share one of the first n / 5 + 1 shingles of each
+(prefix filter), so the sets that share such a key are a shard. Ranks come from a bounded sample of documents: any one
+order for all sets is lossless, a good one only saves work. In a shard, BK-trees of the fingerprints (``simhash``) give
+the pairs within RADIUS bits. Two sets of Jaccard 0.8 differ in some 10 of 64 bits on average, in 12 if they are tiny;
+of such pairs 28 bits lose about one in a million, and none that is nearer by much. What passes the bounds of size and
+place that no similar pair can fail is compared shingle by shingle, so there are no false links.
 
-A group of n near copies is not compared n * n times: each key first links its sets to one of them, and only sets
-that are still in different components are paired with each other.
+A group of n near copies is not compared n * n times: each key first links its sets to one of them, and only sets that
+are still in different components look for each other. A key of more than SHARD sets is cut into salts, each with its
+own tree, and every pair of salts is a shard.
 
 Defined results: as in ``simhash``, texts are compared after lower-casing A-Z; a text under WORDS words is one
-shingle; texts with equal sets, blank ones too, are copies.
+shingle; texts with equal sets, blank ones too, are copies; rows are told apart by doc_id and text, and rows without
+an id are left out.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, map_batches, texts
-from tessera.llm.simhash import components
+from tessera.llm.common import Scratch, grouped, map_batches, texts
+from tessera.llm.simhash import SHARD, BKTree, bits, components
 
-#: Similarity is NUM / DEN. SAMPLE documents, about, give the ranks of at most COMMON shingles.
-WORDS, NUM, DEN, SAMPLE, COMMON = 5, 4, 5, 4000, 1 << 16
+#: Similarity is NUM / DEN, and RADIUS the bits in which fingerprints may differ. SAMPLE documents, about, give the ranks of at most COMMON shingles.
+WORDS, NUM, DEN, RADIUS, SAMPLE, COMMON = 5, 4, 5, 28, 4000, 1 << 16
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -56,23 +59,6 @@ def prefix(own: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray
     return own[: len(own) - -(-NUM * len(own) // DEN) + 1]
 
 
-def sketch(own: np.ndarray) -> bytes:
-    """The parity of the shingles in each of 2^k buckets, 2^k the first power from the size up."""
-    bits = max(64, 1 << max(0, len(own) - 1).bit_length())
-    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
-    return np.packbits(odd, bitorder="little").tobytes()
-
-
-def may_match(a: bytes, b: bytes, total: int) -> bool:
-    """False only if two sets of that many shingles together are not similar."""
-    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
-    small = min(len(a), len(b)) * 8
-    for _ in range(max(len(a), len(b)) * 8 // small - 1):  # the larger one is folded
-        x = (x & ((1 << small) - 1)) ^ (x >> small) if x >> small else x
-        y = (y & ((1 << small) - 1)) ^ (y >> small) if y >> small else y
-    return (DEN + NUM) * (x ^ y).bit_count() <= (DEN - NUM) * total
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return DEN * both >= NUM * (len(a) + len(b) - both)
@@ -96,68 +82,55 @@ def ranks(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(docs: DataFrame, common: np.ndarray, times: np.ndarray) -> DataFrame:
-    """doc_id, its set's identity, size, sketch and prefix."""
+    """doc_id, th (hash of the text), its set's identity, size, fingerprint and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t) for t in batch.column("text").to_pylist()]
-            cols = [batch.column("doc_id"), pa.array([identity(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int32()), pa.array([sketch(s) for s in own], pa.binary()), pa.array([prefix(s, common, times).view(np.int64) for s in own], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "sid", "n", "sketch", "keys"])
-
-    return map_batches(texts(docs), run, "doc_id long, sid long, n int, sketch binary, keys array<long>")
-
-
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Rows sorted by key, in tables that hold whole keys, with the bounds of the keys."""
-    held = None
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        held = now if held is None else pa.concat_tables([held, now])
-        key = held.column("key").to_numpy()
-        if not len(key) or key[0] == key[-1]:
-            continue
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        yield held.slice(0, cuts[-1]), np.concatenate([[0], cuts])
-        held = held.slice(cuts[-1])
-    if held is not None and len(held):
-        yield held, np.array([0, len(held)])
-
-
-def shared(rows: DataFrame) -> DataFrame:
-    """The rows (key, sid, n, pos) whose key has more than one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, cuts in runs(batches):
-            size = np.diff(cuts)
-            if (size > 1).any():
-                yield from held.filter(pa.array(np.repeat(size > 1, size))).combine_chunks().to_batches()
-
-    return map_batches(rows.repartition("key").sortWithinPartitions("key"), run, "key long, sid long, n int, pos int")
-
-
-def pairs(rows: DataFrame, first: bool) -> DataFrame:
-    """(a, b) of sets that share a key and may be similar: with the least set of the key, or all of unequal label."""
-
-    def of_key(sid, n, pos, label, sketches) -> Iterator[tuple[int, int]]:
-        for i in range(len(sid) - 1):
-            j = np.arange(i + 1, len(sid))
-            j = j[(DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])) & (label[i] != label[j])]
-            j = j[(DEN + NUM) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= NUM * (n[i] + n[j])]
-            for k in j.tolist():
-                if may_match(sketches[i], sketches[k], int(n[i] + n[k])):
-                    yield int(sid[i]), int(sid[k])
-            if first:
-                return
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, cuts in runs(batches):
-            sid, n, pos, label = (held.column(c).to_numpy().astype(np.int64) for c in ("sid", "n", "pos", "label"))
-            sketches = held.column("sketch").to_pylist()
-            out = {p for a, b in zip(cuts, cuts[1:]) for p in of_key(sid[a:b], n[a:b], pos[a:b], label[a:b], sketches[a:b])}
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-
-    return map_batches(rows.repartition("key").sortWithinPartitions("key", "sid"), run, "a long, b long").distinct()
+            fps = np.array([bits(s) for s in own], np.uint64).view(np.int64)
+            cols = [batch.column("doc_id"), batch.column("th"), pa.array([identity(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int32()), pa.array(fps, pa.int64()), pa.array([prefix(s, common, times).view(np.int64) for s in own], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "sid", "n", "fp", "keys"])
+
+    return map_batches(texts(docs).withColumn("th", F.xxhash64("text")), run, "doc_id long, th long, sid long, n int, fp long, keys array<long>")
+
+
+def to_one(rows: DataFrame) -> DataFrame:
+    """(a, b): each set with the least set of its key, where they may be similar."""
+    least = rows.groupBy("key").agg(F.min(F.struct("sid", "n", "pos", "fp")).alias("z"))
+    n, m = F.col("n"), F.col("z.n")
+    fits = (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & ((DEN + NUM) * F.least(n - F.col("pos"), m - F.col("z.pos")) >= NUM * (n + m))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("z.fp"))) <= RADIUS
+    return rows.join(least, "key").filter((F.col("z.sid") < F.col("sid")) & fits & near).select(F.col("z.sid").alias("a"), F.col("sid").alias("b")).distinct()
+
+
+def in_shards(rows: DataFrame, scratch: Scratch, shard: int = SHARD) -> DataFrame:
+    """(a, b): the pairs of a key with unequal labels that may be similar, by BK-trees."""
+    sizes = scratch.save(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key", F.ceil(F.col("m") / F.lit(shard)).cast("int").alias("salts")))
+    met = rows.join(sizes, "key").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    met = met.select("key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "sid", "n", "pos", "fp", "label")
+
+    def run(g: dict) -> list[tuple[int, int]]:
+        n, pos, label, sid = (g[c].astype(np.int64) for c in ("n", "pos", "label", "sid"))
+        fps, i, j = g["fp"].view(np.uint64), g["i"][0], g["j"][0]
+        kept, asked = np.flatnonzero(g["salt"] == i), np.flatnonzero(g["salt"] == j)
+        values, inverse = np.unique(fps[kept], return_inverse=True)
+        by_value = kept[np.argsort(inverse, kind="stable")]
+        first = np.searchsorted(np.sort(inverse), np.arange(len(values) + 1))
+        tree, out = BKTree(values), set()
+        place = np.searchsorted(values, tree.value)  # of a node's value
+        for q, node in tree.search(fps[asked], RADIUS):
+            at = place[node]
+            many = first[at + 1] - first[at]
+            a = asked[np.repeat(q, many)]
+            b = by_value[np.repeat(first[at], many) + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)]
+            ok = (sid[a] < sid[b]) | (i != j)
+            ok &= (label[a] != label[b]) & (DEN * np.minimum(n[a], n[b]) >= NUM * np.maximum(n[a], n[b]))
+            ok &= (DEN + NUM) * np.minimum(n[a] - pos[a], n[b] - pos[b]) >= NUM * (n[a] + n[b])
+            out.update((int(min(x, y)), int(max(x, y))) for x, y in zip(sid[a[ok]], sid[b[ok]]))
+        return sorted(out)
+
+    return grouped(met, ["key", "i", "j"], run, "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
@@ -181,21 +154,24 @@ def verified(docs: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id that links of similar texts reach."""
+    """doc_id, th (hash of the text), component_id (the smallest doc_id that links of similar texts reach) and first (whether the row, or one that repeats it, stands for its component)."""
     scratch = scratch or Scratch(docs.sparkSession)
     found = scratch.save(sets(docs.filter("doc_id is not null"), *ranks(docs)))
-    once = scratch.save(found.groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
-    first = once.select("sid", "first")
-    rows = shared(once.select("sid", "n", F.posexplode("keys").alias("pos", "key")).select("key", "sid", "n", "pos"))
-    rows = scratch.save(rows.join(once.select("sid", "sketch"), "sid"))
-    edges = scratch.save(verified(docs, first, scratch.save(pairs(rows.withColumn("label", F.col("sid")), True))))
+    me = F.struct("doc_id", "th")
+    once = scratch.save(found.groupBy("sid").agg(F.min(me).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    first = once.select("sid", F.col("first.doc_id").alias("first"))
+    keyed = once.select("sid", "n", "fp", F.posexplode("keys").alias("pos", "key"))
+    twice = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"))
+    rows = scratch.save(keyed.join(twice, "key", "left_semi"))
+    edges = scratch.save(verified(docs, first, scratch.save(to_one(rows))))
     tree = scratch.save(components(edges, scratch))
-    labelled = rows.join(tree.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root")
-    more = scratch.save(verified(docs, first, scratch.save(pairs(labelled, False))))
+    labelled = scratch.save(rows.join(tree.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root"))
+    more = scratch.save(verified(docs, first, scratch.save(in_shards(labelled, scratch))))
     if not more.isEmpty():
         tree = components(edges.union(more), scratch)
-    # the smallest document of each component; one document alone needs no row
+    # the smallest row of each component; one document alone needs no row
     rooted = once.select("sid", "first", "copies").join(tree.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = scratch.save(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("docs")).filter("docs > 1"))
-    whole = scratch.save(rooted.join(least, "root").select("sid", "component_id"))
-    return found.join(whole, "sid", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = scratch.save(rooted.groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("docs")).filter("docs > 1"))
+    whole = scratch.save(rooted.join(least, "root").select("sid", "least"))
+    stands = F.col("least").isNull() | (F.col("least") == me)
+    return found.join(whole, "sid", "left").select("doc_id", "th", F.coalesce("least.doc_id", "doc_id").alias("component_id"), stands.alias("first"))

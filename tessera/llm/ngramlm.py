@@ -282,7 +282,6 @@ def score(docs: DataFrame, partitions: int | None = None, scratch: Scratch | Non
     if partitions is None:  # some 64 MB of text a part
         partitions = max(12, -(-int(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // (24 << 20)))
     answers, total, distinct = counts(blocks, partitions, scratch)
-    scratch.release()
     uniform = 1.0 / (distinct + 1)
     replies = answers.select("block", "part", "n")
     joined = blocks.select("block", F.lit(-1).alias("part"), "ids", "sizes", "texts", "n_bytes", F.lit(None).cast("binary").alias("n"))
@@ -321,7 +320,6 @@ def score(docs: DataFrame, partitions: int | None = None, scratch: Scratch | Non
     histogram = np.zeros(BUCKETS * BINS * BINS)
     for r in map_batches(joined, observe, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a fixed number of cells
         histogram[r["cell"]] = r["n"]
-    scratch.release()
     weights = learn(histogram.reshape(BUCKETS, BINS, BINS), uniform)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

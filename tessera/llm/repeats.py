@@ -170,7 +170,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limi
     hot = scratch.save(runs.groupBy("h").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c")).filter("c > 1").select("h"))
     alive = scratch.save(runs.join(hot, "h", "left_semi").withColumn("rid", F.xxhash64("doc_id", "th", "a")))
     scratch.drop(runs, hot)
-    scratch.release()
     # equal windows travel once; the occurrence with the least rid stands for them
     kinds = scratch.save(alive.groupBy("h", "w").agg(F.count("*").alias("c"), F.min("rid").alias("rid")))
     wide = scratch.save(kinds.groupBy("h").agg(F.count("*").alias("d")).withColumn("wide", F.col("d") > limit).select("h", "wide"))
@@ -202,7 +201,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limi
     same = (F.col("o.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("o.th") == F.col("m.th"))
     found = own.alias("o").join(wanted.alias("m"), same).select("o.doc_id", "o.th", "o.text", "m.s")
     pieces = scratch.save(map_batches(found, cut, "h long, w long, c long, window binary, strings binary"))
-    scratch.release()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
@@ -350,7 +348,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False,
     """doc_id, n_bytes, n_removed, n_spans and either (spans, kept) or kept_sha256. kept is binary: a removed run may cut a character."""
     scratch = scratch or Scratch(docs.sparkSession)
     spans = scratch.save(repeated_spans(docs, length, limit=limit, scratch=scratch))
-    scratch.release()
     own = texts(docs).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = (F.col("o.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("o.th") == F.col("m.th"))
     joined = own.alias("o").join(spans.alias("m"), same, "left").select("o.doc_id", "o.text", "m.spans")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import duckdb
@@ -84,3 +85,21 @@ def test_edge_tables(spark):
     assert D.dedup_lines(spark.createDataFrame([], schema)).collect() == []
     rows = spark.createDataFrame([(1, "one line that is long enough"), (1, "one line that is long enough"), (None, "one line that is long enough"), (2, "one line that is long enough")], schema)
     assert sorted((str(r.doc_id), r.text) for r in D.dedup_lines(rows).collect()) == sorted([("1", "one line that is long enough")] * 2 + [("None", "one line that is long enough"), ("2", "")])
+
+
+def test_rows_with_one_id_and_different_texts(spark):
+    schema = "doc_id long, text string, _doc long, _kept string, doc long, kept string, lines long, hash long"
+    rows = [(5, t, 1, "x", 2, "y", 3, 4) for t in ("alpha line of some length", "beta line of some length", "first of two lines here\nsecond of two lines here", "", None)]
+    df = spark.createDataFrame(rows, schema)
+    got = D.dedup_lines(df).collect()
+    assert sorted(str(r.text) for r in got) == sorted(str(r[1]) for r in rows) and all(tuple(r)[2:] == (1, "x", 2, "y", 3, 4) for r in got)
+    assert sorted((r.n_lines, r.removed) for r in D.removed_lines(df).collect()) == [(0, []), (1, []), (1, []), (1, []), (2, [])]
+    same = spark.createDataFrame([(5, "shared line of some length\nown line of the first"), (5, "shared line of some length\nown part of the second one")], "doc_id long, text string")
+    assert sorted(r.text.count("shared") for r in D.dedup_lines(same).collect()) == [0, 1]
+
+
+def test_a_text_of_very_many_lines_takes_linear_work(spark):
+    many = "\n".join(f"{hashlib.md5(b'%d' % k).hexdigest()} of a long table" for k in range(100_000))
+    df = spark.createDataFrame([(1, many), (2, many + "\nand one more line at the end")], "doc_id long, text string")
+    got = {r.doc_id: r for r in D.removed_lines(df).collect()}
+    assert got[2].n_lines == 100_001 and got[2].n_removed == 100_000

@@ -3,6 +3,7 @@ import random
 import corpus_pipeline as P
 import numpy as np
 from tessera.llm import nearcopies as N
+from tessera.llm.simhash import bits
 
 
 def jaccard(a, b):
@@ -61,7 +62,7 @@ def test_bounds_lose_no_similar_pair():
             common = np.sort(rng.choice(a, n // 2, replace=False))
             times = rng.integers(2, 9, len(common))
             if N.similar(a, b):
-                assert N.may_match(N.sketch(a), N.sketch(b), len(a) + len(b))
+                assert (bits(a) ^ bits(b)).bit_count() <= N.RADIUS
                 assert {*N.prefix(a, common, times).tolist()} & {*N.prefix(b, common, times).tolist()}
 
 
@@ -69,3 +70,23 @@ def test_blank_equal_and_short_texts(spark):
     rows = [(1, None), (2, " "), (3, "One two"), (4, "one  TWO"), (5, "one three"), (None, "one two")]
     got = {r["doc_id"]: r["component_id"] for r in N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_salted_shards_give_the_same_links(spark):
+    from tessera.llm.common import Scratch
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    own = [np.unique(np.concatenate([base[k % 30 :], rng.integers(0, 1 << 63, k % 20).astype(np.uint64)])) for k in range(60)]
+    rows = [(7, k, len(s), 0, int(np.uint64(bits(s)).view(np.int64)), k) for k, s in enumerate(own)]
+    df = spark.createDataFrame(rows, "key long, sid long, n int, pos int, fp long, label long")
+    want = {(a, b) for b in range(60) for a in range(b) if (bits(own[a]) ^ bits(own[b])).bit_count() <= N.RADIUS and 5 * min(len(own[a]), len(own[b])) >= 4 * max(len(own[a]), len(own[b]))}
+    for shard in (7, 4096):
+        got = {(r["a"], r["b"]) for r in N.in_shards(df, Scratch(spark), shard).collect()}
+        assert got <= want and {p for p in want if N.similar(own[p[0]], own[p[1]])} <= got
+
+
+def test_rows_with_one_id_and_different_texts(spark):
+    a, b = "one two three four five six", "quite another text of some more words"
+    df = spark.createDataFrame([(3, a, 1, 2), (5, a, 1, 2), (5, b, 1, 2), (5, b, 1, 2), (None, a, 1, 2)], "doc_id long, text string, doc int, hash int")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in P.near_duplicates(spark, df, "").collect()) == sorted([("3", a), ("5", b), ("5", b), ("None", a)])

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tessera.llm import simhash as S
 
 
@@ -25,10 +27,25 @@ def test_tree_finds_all_within_radius():
     rng = random.Random(3)
     values = [rng.getrandbits(64) for _ in range(50)]
     values += [v ^ (1 << rng.randrange(64)) for v in values] + [v ^ (3 << rng.randrange(62)) for v in values]
-    tree = S.BKTree(values)
-    for q in values + [rng.getrandbits(64)]:
-        for r in (0, 1, 2, 3):
-            assert {values[k] for k in tree.search(q, r)} == {v for v in values if (v ^ q).bit_count() <= r}
+    values = np.array(sorted({*values}), np.uint64)
+    queries = np.array([*values.tolist(), rng.getrandbits(64), 0], np.uint64)
+    for tree in (S.BKTree(values), S.BKTree.unpack(S.BKTree(values).pack())):
+        for r in (0, 1, 2, 3, 28, 64):
+            for most in (1, 1 << 20):
+                got = {(int(queries[a]), int(tree.value[b])) for q, node in tree.search(queries, r, most) for a, b in zip(q, node)}
+                assert got == {(int(q), int(v)) for q in queries for v in values if (int(v) ^ int(q)).bit_count() <= r}
+    assert [*S.BKTree(values[:0]).search(queries, 2)] == [] and len(S.BKTree(values[:1]).pack()) == S.NODE_BYTES
+
+
+def test_hot_groups_are_dealt_anew_until_they_fit(spark):
+    # 12 bits vary in one block: all agree on the other three
+    values = [(0xABC << 40) | k for k in range(1 << 12)]
+    placed, n = S.shards(spark.createDataFrame([(v,) for v in values], "fp long"), shard=512)
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert max(sizes) <= 512 * 4 and n < len(values) * 6 * 3**3  # a shard holds whole groups, some 512 rows in all
+    assert {r["fp"] for r in placed.select("fp").distinct().collect()} == {*values}
+    tree = {r["node"]: r["root"] for r in S.components(S.links(spark.createDataFrame([(v,) for v in values], "fp long"), shard=512)).collect()}
+    assert {*tree.values()} == {min(values)} and len(tree) == len(values)
 
 
 def test_links_keep_all_components_with_small_shards(spark):
@@ -42,12 +59,13 @@ def test_links_keep_all_components_with_small_shards(spark):
     as_long = lambda v: v - (1 << 64) if v >> 63 else v
     docs = {k: v for k, v in enumerate(sorted(values))}
     distinct = spark.createDataFrame([(as_long(v),) for v in values], "fp long")
-    tree = {r["node"]: r["root"] for r in S.components(S.links(distinct, shard=3)).collect()}
     want = brute(docs)
-    got = {}
-    for d, v in docs.items():
-        got.setdefault(tree.get(as_long(v), as_long(v)), []).append(d)
-    assert {min(m): sorted(m) for m in got.values()} == {r: sorted(d for d in want if want[d] == r) for r in set(want.values())}
+    for shard, broadcast in ((3, 0), (3, 1 << 20), (4096, 0), (4096, 1 << 20)):
+        tree = {r["node"]: r["root"] for r in S.components(S.links(distinct, shard=shard, broadcast_bytes=broadcast)).collect()}
+        got = {}
+        for d, v in docs.items():
+            got.setdefault(tree.get(as_long(v), as_long(v)), []).append(d)
+        assert {min(m): sorted(m) for m in got.values()} == {r: sorted(d for d in want if want[d] == r) for r in set(want.values())}
 
 
 def test_query_matches_brute_force_and_edge_cases(spark):
