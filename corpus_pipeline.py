@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 stages are written as Parquet and read again, so that a lost executor never costs more than one stage.
 
 Defined results: an empty table passes through every stage; rows without a doc_id are judged by their text in
-the filters, and are left as they are where rows are told apart by id; rows with one doc_id are one document.
+the filters, and are left as they are where rows are told apart by id; rows with one doc_id and one text are one
+document, rows with one doc_id and different texts are different ones; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, langid, linededup, nearcopies
-from tessera.llm.common import Scratch, table
+from tessera.llm.common import Scratch, fresh, table
 
 #: A document is rejected if it has no letter, or if its language is less sure than this.
 LEAST_SCORE = 0.4
@@ -36,9 +37,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts whose five-word shingles have Jaccard 0.8 or more: the one with the smallest id."""
     scratch = Scratch(spark)
-    groups = scratch.save(nearcopies.near_copies(docs, scratch))
-    others = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(others, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    i, h = fresh(docs, "doc", "hash")
+    others = scratch.save(nearcopies.near_copies(docs, scratch).filter("not first").select(F.col("doc_id").alias(i), F.col("th").alias(h)).distinct())
+    return docs.join(others, (F.col("doc_id").cast("long") == F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h)), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
