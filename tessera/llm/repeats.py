@@ -1,16 +1,19 @@
 """Suffix-array dedup: bytes covered by a string of ``length`` bytes that also starts elsewhere are removed.
 
-Every start x of such a string belongs to the shard of its minimiser, the least hash of the GRAM-byte strings inside
-[x, x + length). Equal strings have equal minimisers, so all repeats of a string meet in one shard, each start stands
-in exactly one, and neighbouring starts with the same minimiser travel as one window of text. Windows whose minimiser
-stands once in the corpus hold no repeat and go no further: only hashes have been shuffled by then. Equal windows are
-counted before the shuffle and travel once, with their number.
-
-A shard's windows are concatenated and suffix-sorted by external induction (``suffixarray``); the common prefixes tell
-which starts share ``length`` bytes. Shards are cut between minimisers at about SHARD_BYTES. A minimiser with more
-than WINDOWS distinct windows (a passage that very many different texts surround) would be more than one shard; the
-128-bit hashes of its strings are counted instead. Blocks of texts sum their own hashes, send them by hash range to
-the parts that add them up, and are told which stand more than once, so no string is a row and no part is hot.
+Every start x of such a string belongs to its minimiser, the least hash of the GRAM-byte strings inside
+[x, x + length), the first of equal ones. Neighbouring starts with one minimiser, on one side of the middle, share a
+core: the bytes around the minimiser that all their strings hold, over half of ``length``. They travel as one window of
+text, and the hash of the core is its key. Equal strings have equal cores at equal places, so all repeats of a string
+meet under one key, each start stands in exactly one window, and no window holds a string twice. Keys that stand once
+in the corpus hold no repeat and go no further: only hashes have been shuffled by then. Equal windows (by a 128-bit
+hash of their bytes) are counted before the shuffle: they repeat each other whole, and travel once, with their number,
+if other windows have the same key.
+
+The different windows of a key are sorted in a shard: shards are cut between keys at about SHARD_BYTES, their windows
+are concatenated and suffix-sorted by external induction (``suffixarray``), and the common prefixes tell which starts
+share ``length`` bytes. A key with more than WINDOWS different windows (a passage that very many texts surround) is
+dealt anew by narrower cores: its windows are cut into fewer starts, whose strings share more bytes, until the keys
+fit. A window of one start is its own core, so that ends with one window a key, no key is hot, and nothing is dropped.
 
 Defined results: strings are judged on UTF-8 bytes of the input; null texts are empty; matches never cross texts;
 texts shorter than ``length`` lose nothing; a row that repeats another (same id and text) is one more copy of it.
@@ -20,55 +23,47 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, groups, map_batches, string_bytes, table, texts
 from tessera.llm.suffixarray import Sorter
 
-#: Production parameters: bytes of a repeated string, bytes hashed for minimisers, distinct windows of a minimiser in one shard, shard bytes, starts of a window, bytes worked on at once, strings of a wide minimiser counted in one part.
-LENGTH, GRAM, WINDOWS, SHARD_BYTES, STARTS, CHUNK, PART_STRINGS = 400, 64, 512, 2 << 20, 2048, 2 << 20, 1 << 20
+#: Production parameters: bytes of a repeated string, bytes hashed for minimisers, different windows of a key in one shard, starts of a window when a key is dealt anew, bytes of a shard, bytes of a sorter's queue in memory, bytes worked on at once.
+LENGTH, GRAM, WINDOWS, FINER, SHARD_BYTES, MEMORY, PIECE = 400, 64, 512, (21, 3, 1), 4 << 20, 4 << 20, 1 << 20
 
+#: Low bits of a packed minimiser: its place in the piece.
+_PLACE = np.uint64((1 << 21) - 1)
 _SYMBOL = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTORS = [np.uint64(x) for x in np.random.default_rng(8).integers(1, 1 << 62, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)]
-
-
-def _finish(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(33))
+_ODD = 0x9E3779B97F4A7C15
 
 
 @lru_cache(1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, as far as a part reaches."""
-    base, out = 0x9E3779B97F4A7C15, []
-    for b in (base, pow(base, -1, 1 << 64)):
-        x = np.full(CHUNK + (1 << 16), np.uint64(b))
+    """Powers of an odd number and of its inverse, as far as a piece reaches."""
+    out = []
+    for b in (_ODD, pow(_ODD, -1, 1 << 64)):
+        x = np.full(1 << 21, np.uint64(b))
         x[0] = 1
         out.append(np.multiply.accumulate(x))
     return tuple(out)
 
 
-def rolling(raw: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
-    """Hashes of the ``size`` bytes from each place, by doubling: a hash of 2n bytes joins two of n."""
-    now = _SYMBOL[raw] + np.uint64(salt)
-    out, taken, width, level = None, 0, 1, 0
-    while True:
-        if size & width:
-            part = now[taken:]
-            out = part.copy() if out is None else (out[: len(part)] * _FACTORS[level + 32] ^ (out[: len(part)] >> np.uint64(29))) + part
-            taken += width
-        if width * 2 > size:
-            break
-        mixed = now[:-width] * _FACTORS[level]
-        now = (mixed ^ (mixed >> np.uint64(31))) + now[width:] if len(now) > width else now[:0]
-        width, level = width * 2, level + 1
-    n = max(len(raw) - size + 1, 0)
-    return _finish(out[:n])
+def rolling(raw: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the ``size`` bytes from each place. They only order the strings; no result rests on their being different."""
+    power, inverse = _powers()
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_SYMBOL[raw] * power[: len(raw)], out=sums[1:])
+    h = sums[size:] - sums[: len(raw) - size + 1]
+    h *= inverse[: len(h)]
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    return h
 
 
 def window_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -85,39 +80,70 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def windows(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, starts: int = STARTS) -> Iterator[tuple[np.ndarray, ...]]:
-    """(minimiser, hash of the window, first start, number of starts, whether the minimiser is here more than once, text, place of the part) of the windows of all texts, in parts."""
-    seen = np.zeros(1 << 20, bool)
-    for d, a, z in ((d, int(offsets[d]), int(offsets[d + 1])) for d in np.flatnonzero(np.diff(offsets) >= length)):
-        # a long text is worked on in parts that overlap by length - 1 bytes; windows end with their part
-        for low in range(a, z - length + 1, CHUNK):
-            part = raw[low : min(z, low + CHUNK + length - 1)]
-            hashes = rolling(part, gram)
-            least = window_minima(hashes, length - gram + 1)
-            cut = np.concatenate([[True], least[1:] != least[:-1]])
-            first = np.flatnonzero(cut)
-            n = np.diff(np.append(first, len(least)))
-            if n.max() > starts:
-                first = np.concatenate([np.arange(f, f + k, starts) for f, k in zip(first.tolist(), n.tolist())])
-                n = np.diff(np.append(first, len(least)))
-            # a window's content: a polynomial over its bytes, from sums over the part
-            power, inverse = _powers()
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_SYMBOL[part] * power[: len(part)], out=sums[1:])
-            content = _finish((sums[first + n + length - 1] - sums[first]) * inverse[first] + n.astype(np.uint64))
-            yield least[first], content, first, n, _times(hashes, least[first], seen), d, low - a
-
-
-def _times(hashes: np.ndarray, minima: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Whether each minimiser stands more than once among the hashes: only then can a window repeat a string by itself. seen: all False."""
-    at = (minima >> np.uint64(44)).astype(np.int64)
-    seen[at] = True
-    found, count = np.unique(hashes[seen[(hashes >> np.uint64(44)).astype(np.int64)]], return_counts=True)
-    seen[at] = False
-    return count[np.searchsorted(found, minima)] > 1
-
-
-def mark_shard(parts: list[tuple[int, bytes]], length: int = LENGTH, memory: int = 64 << 20) -> list[list[tuple[int, int]]]:
+def pieces_of(offsets: np.ndarray, length: int, piece: int = PIECE) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, end, text bounds in between) of the pieces to work on: texts in a row, or a part of a long one; parts overlap by length - 1 bytes."""
+    d, n = 0, len(offsets) - 1
+    while d < n:
+        a, z = int(offsets[d]), int(offsets[d + 1])
+        if z - a > piece:
+            for low in range(a, z - length + 1, piece):
+                end = min(z, low + piece + length - 1)
+                yield low, end, np.array([low, end])
+            d += 1
+            continue
+        e = max(d + 1, int(np.searchsorted(offsets, a + piece, side="right")) - 1)
+        yield a, int(offsets[e]), offsets[d : e + 1]
+        d = e
+
+
+def windows(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE) -> Iterator[tuple[np.ndarray, ...]]:
+    """(start, number of starts, minimiser's place) of the windows of all texts, by places in raw, piece by piece."""
+    half = (length - gram + 1) // 2
+    for low, end, bounds in pieces_of(offsets, length, piece):
+        part = raw[low:end]
+        if len(part) < length:
+            continue
+        least = rolling(part, gram)
+        least &= ~_PLACE
+        least |= np.arange(len(least), dtype=np.uint64)
+        least = window_minima(least, length - gram + 1)
+        cut = np.zeros(len(least) + 1, bool)
+        cut[0] = True
+        cut[1:-1] = least[1:] != least[:-1]
+        begin, last = bounds[:-1] - low, bounds[1:] - low - length + 1  # the first start that a text has no room for
+        fit = last > begin
+        cut[begin[fit]] = True
+        cut[last[fit]] = True
+        first = np.flatnonzero(cut[:-1])
+        text = np.searchsorted(bounds, first + low, side="right") - 1
+        inside = first < last[text]
+        n = np.diff(np.append(first, len(least)))[inside]
+        first = first[inside]
+        place = (least[first] & _PLACE).astype(np.int64)
+        middle = np.clip(place - half + 1, first, first + n)
+        a = np.concatenate([first, middle])
+        n = np.concatenate([middle - first, first + n - middle])
+        place = np.concatenate([place, place])
+        some = n > 0
+        yield a[some] + low, n[some], place[some] + low
+
+
+def window_keys(data: memoryview, a: np.ndarray, n: np.ndarray, place: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the windows' cores, and of their bytes (two columns)."""
+    half = (length - gram + 1) // 2
+    left = place - a >= half
+    low = np.where(left, place - half, place)
+    high = np.where(left, place + gram, place + length - half + 1)
+    h = np.fromiter((xxhash.xxh64_intdigest(data[x:y], s) for x, y, s in zip(low.tolist(), high.tolist(), left.tolist())), np.uint64, len(a))
+    return h.view(np.int64), _content(data, a, n + length - 1)
+
+
+def _content(data: memoryview, a: np.ndarray, size: np.ndarray) -> np.ndarray:
+    digests = b"".join([xxhash.xxh3_128_digest(data[x : x + k]) for x, k in zip(a.tolist(), size.tolist())])
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
+
+
+def mark_shard(parts: list[tuple[int, bytes]], length: int = LENGTH, memory: int = MEMORY) -> list[list[tuple[int, int]]]:
     """For windows with their numbers of copies, the spans of each that repeated strings cover, by its suffix array."""
     sizes = np.array([len(b) for _, b in parts], np.int64)
     at = np.cumsum(sizes + 1) - sizes - 1
@@ -126,211 +152,144 @@ def mark_shard(parts: list[tuple[int, bytes]], length: int = LENGTH, memory: int
     for (_, b), a in zip(parts, at.tolist()):
         text[a : a + len(b)] = np.frombuffer(b, np.uint8).astype(np.uint16) + 2
     order, prefix = Sorter(text, length, memory).sort()
-    owner = np.repeat(np.arange(len(parts)), sizes + 1)
-    valid = np.zeros(len(text), bool)
-    valid[: len(owner)] = np.arange(len(owner)) + length <= np.repeat(at + sizes, sizes + 1)
-    many = np.zeros(len(text), bool)
-    many[: len(owner)] = np.array([n > 1 for n, _ in parts])[owner]
     equal = prefix >= length
     repeated = equal.copy()
     repeated[:-1] |= equal[1:]
     hit = np.zeros(len(text), bool)
-    hit[order] = repeated
-    hit = (hit | many) & valid
+    hit[order[repeated]] = True
     out: list[list[tuple[int, int]]] = [[] for _ in parts]
+    for k, (n, b) in enumerate(parts):
+        if n > 1:
+            out[k] = [(0, len(b))]
     starts = np.flatnonzero(hit)
     if len(starts):
-        new = np.concatenate([[True], (np.diff(starts) > length) | (np.diff(owner[starts]) > 0)])
+        owner = np.searchsorted(at, starts, side="right") - 1
+        inside = starts + length <= (at + sizes)[owner]
+        starts, owner = starts[inside], owner[inside]
+    if len(starts):
+        new = np.concatenate([[True], (np.diff(starts) > length) | (np.diff(owner) > 0)])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(starts)) - 1
-        for k, a, b in zip(owner[starts[first]].tolist(), starts[first].tolist(), starts[last].tolist()):
-            out[k].append((a - int(at[k]), b - int(at[k]) + length))
+        for k, a, b in zip(owner[first].tolist(), starts[first].tolist(), starts[last].tolist()):
+            if parts[k][0] == 1:
+                out[k].append((a - int(at[k]), b - int(at[k]) + length))
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = WINDOWS, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, th (hash of the text) and spans of repeated bytes array<struct<a, b>>, not merged; rows without one are left out."""
-    scratch = scratch or Scratch(docs.sparkSession)
-    th = F.xxhash64(F.coalesce("text", F.lit("")))
-    # a missing id is one more id; text and id tell the rows apart
-    own = texts(docs).withColumn("th", th)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = string_bytes(batch.column("text"))
-            ids, hashes = batch.column("doc_id"), batch.column("th").to_numpy()
-            for h, w, first, n, twice, d, low in windows(raw, offsets, length, gram):
-                many = len(h)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array([ids[d].as_py()] * many, pa.int64()), pa.array(np.full(many, hashes[d])), pa.array((first + low).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice)],
-                    names=["h", "w", "doc_id", "th", "a", "n", "twice"],
-                )
+_WINDOW = "h long, w1 long, w2 long"
 
-    runs = scratch.save(map_batches(own, scan, "h long, w long, doc_id long, th long, a int, n int, twice boolean"))
-    hot = scratch.save(runs.groupBy("h").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c")).filter("c > 1").select("h"))
-    alive = scratch.save(runs.join(hot, "h", "left_semi").withColumn("rid", F.xxhash64("doc_id", "th", "a")))
-    scratch.drop(runs, hot)
-    # equal windows travel once; the occurrence with the least rid stands for them
-    kinds = scratch.save(alive.groupBy("h", "w").agg(F.count("*").alias("c"), F.min("rid").alias("rid")))
-    wide = scratch.save(kinds.groupBy("h").agg(F.count("*").alias("d")).withColumn("wide", F.col("d") > limit).select("h", "wide"))
-    named = kinds.join(wide, "h").select("h", "w", "c", "rid", "wide")
-    sent = alive.join(named.filter("not wide"), ["h", "w", "rid"]).select("doc_id", "th", F.struct("h", "w", "a", "n", "c").alias("s"))
-    spread = alive.join(wide.filter("wide"), "h").select("doc_id", "th", F.struct("h", "w", "a", "n", F.lit(0).cast("long").alias("c")).alias("s"))
-    wanted = scratch.save(sent.union(spread).groupBy("doc_id", "th").agg(F.collect_list("s").alias("s")))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "w", "c", "window", "strings"]
-        wide = Strings()
-        for batch in batches:
-            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
-            for k, (text, parts) in enumerate(zip(batch.column("text").to_pylist(), batch.column("s").to_pylist())):
-                data = (text or "").encode("utf-8", "replace")
-                fixed = [p for p in parts if p["c"]]
-                if fixed:
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array([p[c] for p in fixed], pa.int64()) for c in "hwc"), pa.array([data[p["a"] : p["a"] + p["n"] + length - 1] for p in fixed], pa.binary()), pa.nulls(len(fixed), pa.binary())], names=names
-                    )
-                for p in parts:
-                    if not p["c"]:
-                        wide.add(ids[k], hashes[k], p["a"], np.frombuffer(data, np.uint8)[p["a"] : p["a"] + p["n"] + length - 1], length)
-            if len(wide):
-                yield wide.row(names)
-                wide = Strings()
-
-    # null-safe on the id; equal rows would multiply, so one of them stands for all
-    same = (F.col("o.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("o.th") == F.col("m.th"))
-    found = own.alias("o").join(wanted.alias("m"), same).select("o.doc_id", "o.th", "o.text", "m.s")
-    pieces = scratch.save(map_batches(found, cut, "h long, w long, c long, window binary, strings binary"))
+def _sorted_marks(pieces: DataFrame, length: int, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY) -> DataFrame:
+    """(h, w1, w2, from, to): the repeated spans of windows (h, w1, w2, c, window), which are different ones of their keys."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes]] = []
 
         def out() -> pa.RecordBatch:
-            spans = mark_shard([(c, b) for _, _, c, b in held], length)
-            rows = [(h, w, a, b) for (h, w, _, _), own_ in zip(held, spans) for a, b in own_]
-            cols = [*zip(*rows)] or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["h", "w", "from", "to"])
+            spans = mark_shard([(c, b) for *_, c, b in held], length, memory)
+            rows = [(h, w1, w2, a, b) for (h, w1, w2, _, _), own in zip(held, spans) for a, b in own]
+            cols = [*zip(*rows)] or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2)], names=["h", "w1", "w2", "from", "to"])
 
+        size = 0
         for g in groups(batches, ["h"]):
-            rows = {(int(h), int(w)): (int(h), int(w), int(c), b) for h, w, c, b in zip(g["h"], g["w"], g["c"], g["window"])}
+            rows = {key[:3]: key for key in zip(*(g[c].tolist() for c in ("h", "w1", "w2", "c")), g["window"])}  # a document that repeats sends its windows again
             held += rows.values()
-            if sum(len(b) for *_, b in held) >= SHARD_BYTES:
+            size += sum(len(b) for *_, b in rows.values())
+            if size >= shard_bytes:
                 yield out()
-                held = []
+                held, size = [], 0
         if held:
             yield out()
 
-    shards = pieces.filter("window is not null").select("h", "w", "c", "window").repartition("h").sortWithinPartitions("h")
-    marks = scratch.save(map_batches(shards, mark, "h long, w long, from int, to int"))
-    spans = alive.join(marks, ["h", "w"]).select("doc_id", "th", (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("to")).alias("b"))
-    blocks = pieces.filter("strings is not null").select(F.col("h").alias("block"), "strings")
-    starts = int(spread.agg(F.sum("s.n")).first()[0] or 0)
-    if starts:
-        spans = spans.union(_count_strings(blocks, max(12, -(-starts // PART_STRINGS)), length, scratch))
-    return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return map_batches(pieces.select("h", "w1", "w2", "c", "window").repartition("h").sortWithinPartitions("h"), mark, f"{_WINDOW}, from int, to int")
 
 
-class Strings:
-    """Hashes of strings with their places, packed; by them blocks ask whether a string stands more than once."""
-
-    def __init__(self, packed: bytes | None = None):
-        self.rows: list[tuple] = []
-        self.one, self.two, self.owner, self.at = [], [], [], []
-        if packed is not None:
-            n, m = np.frombuffer(packed, np.int64, 2)
-            flat = np.frombuffer(packed, np.int64, 4 * n + 3 * m, 16)
-            self.one, self.two = flat[:n].view(np.uint64), flat[n : 2 * n].view(np.uint64)
-            self.owner, self.at = flat[2 * n : 3 * n], flat[3 * n : 4 * n]
-            some, ids, th = flat[4 * n :].reshape(3, m)
-            self.rows = [(int(i) if s else None, int(t)) for s, i, t in zip(some, ids, th)]
-
-    def __len__(self) -> int:
-        return len(self.rows)
-
-    def add(self, doc_id: int | None, th: int, a: int, raw: np.ndarray, length: int) -> None:
-        if not self.rows or self.rows[-1] != (doc_id, th):
-            self.rows.append((doc_id, th))
-        n = len(raw) - length + 1
-        self.one.append(rolling(raw, length, 2))
-        self.two.append(rolling(raw, length, 3))
-        self.owner.append(np.full(n, len(self.rows) - 1))
-        self.at.append(a + np.arange(n))
-
-    def row(self, names: list[str]) -> pa.RecordBatch:
-        import uuid
-
-        columns = [np.concatenate(x).astype(np.uint64).view(np.int64) for x in (self.one, self.two, self.owner, self.at)]
-        told = np.array([[i is not None, i or 0, t] for i, t in self.rows], np.int64).T
-        packed = np.concatenate([[len(columns[0]), len(self.rows)], *columns, told.ravel()]).astype(np.int64).tobytes()
-        values = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())]
-        return pa.RecordBatch.from_arrays(values, names=names)
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct hashes (both halves), their counts, and the row of each string among them."""
-        order = np.lexsort((self.two, self.one))
-        one, two = self.one[order], self.two[order]
-        new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-        first = np.flatnonzero(new)
-        inverse = np.empty(len(order), np.int64)
-        inverse[order] = np.cumsum(new) - 1
-        return one[first], two[first], np.diff(np.append(first, len(order))), inverse
+def _finer(hot: DataFrame, starts: int, length: int) -> DataFrame:
+    """Windows cut into those of ``starts`` starts, by the starts' distance from the minimiser; r1, r2, r3 and shift tell where they come from."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = memoryview(row["window"])
+                last = len(data) - length  # of the starts, from 0
+                lead = row["lead"]  # distance of the first start from the minimiser
+                parts = range((lead - last) // starts, lead // starts + 1)
+                first = np.array([max(0, lead - (b * starts + starts - 1)) for b in parts], np.int64)
+                n = np.array([min(last, lead - b * starts) for b in parts], np.int64) - first + 1
+                # the core: bytes that the strings of all starts of the part hold, were they all there
+                low = np.array([lead - b * starts for b in parts], np.int64)
+                size = length - starts + 1
+                core = [xxhash.xxh64_intdigest(data[max(0, x) : x + size], b % (1 << 32)) for x, b in zip(low.tolist(), parts)]
+                w = _content(data, first, n + length - 1)
+                k = len(core)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(core, np.uint64).view(np.int64)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), pa.array([row["c"]] * k, pa.int64()), pa.array((lead - first).astype(np.int32)), pa.array([bytes(data[x : x + m + length - 1]) for x, m in zip(first.tolist(), n.tolist())], pa.binary()), *(pa.array([row[c]] * k, pa.int64()) for c in ("r1", "r2", "r3")), pa.array((row["shift"] + first).astype(np.int32))],
+                    names=["h", "w1", "w2", "c", "lead", "window", "r1", "r2", "r3", "shift"],
+                )
+
+    return map_batches(hot.select("h", "w1", "w2", "c", "lead", "window", "r1", "r2", "r3", "shift"), run, f"{_WINDOW}, c long, lead int, window binary, r1 long, r2 long, r3 long, shift int")
 
-def _count_strings(blocks: DataFrame, parts: int, length: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, th, a, b) of the blocks' strings that stand more than once, neighbours joined."""
-    ends = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = WINDOWS, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, th (hash of the text) and spans of repeated bytes array<struct<a, b>>, not merged; rows without one are left out."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    # a missing id is one more id; text and id tell the rows apart
+    own = texts(docs).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    window = ["h", "w1", "w2"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, packed in zip(batch.column("block").to_pylist(), batch.column("strings").to_pylist()):
-                one, two, n, _ = Strings(packed).distinct()
-                cuts = [0, *np.searchsorted(one, ends).tolist(), len(one)]
-                rows = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-                columns = [[p for p, *_ in rows], [block] * len(rows), *([x[a:b].tobytes() for _, a, b in rows] for x in (one, two, n.astype(np.int64)))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "block", "one", "two", "n"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["part"]):
-            sizes = [len(b) // 8 for b in g["one"]]
-            one, two, n = (np.concatenate([np.frombuffer(b, t) for b in g[c]]) for c, t in (("one", np.uint64), ("two", np.uint64), ("n", np.int64)))
-            order = np.lexsort((two, one))
-            new = np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)])
-            total = np.add.reduceat(n[order], np.flatnonzero(new))
-            twice = np.empty(len(order), bool)
-            twice[order] = (total > 1)[np.cumsum(new) - 1]
-            told = [t.tobytes() for t in np.split(twice, np.cumsum(sizes)[:-1])]
-            yield pa.RecordBatch.from_arrays([pa.array(g["block"], pa.int64()), pa.array(g["part"], pa.int32()), pa.array(told, pa.binary())], names=["block", "part", "twice"])
-
-    asked = map_batches(blocks, ask, "part int, block long, one binary, two binary, n binary").repartition(parts, "part").sortWithinPartitions("part")
-    answers = map_batches(asked, answer, "block long, part int, twice binary")
-    both = blocks.select("block", F.lit(-1).alias("part"), "strings", F.lit(None).cast("binary").alias("twice")).unionByName(answers, allowMissingColumns=True)
+            raw, offsets = string_bytes(batch.column("text"))
+            data = memoryview(np.ascontiguousarray(raw))
+            ids, hashes = batch.column("doc_id"), batch.column("th").to_numpy()
+            for a, n, place in windows(raw, offsets, length, gram):
+                h, w = window_keys(data, a, n, place, length, gram)
+                d = np.searchsorted(offsets, a, side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), ids.take(pa.array(d)), pa.array(hashes[d]), pa.array((a - offsets[d]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((place - a).astype(np.int32))],
+                    names=[*window, "doc_id", "th", "a", "n", "lead"],
+                )
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(packed: bytes, told: list[bytes]) -> pa.RecordBatch:
-            own = Strings(packed)
-            hit = np.frombuffer(b"".join(told), bool)[own.distinct()[3]]
-            at, owner = own.at[hit], own.owner[hit]
-            order = np.lexsort((at, owner))
-            at, owner = at[order], owner[order]
-            new = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(at) > length)])[: len(at)]
-            first = np.flatnonzero(new)
-            last = (np.append(first[1:], len(at)) - 1)[: len(first)]
-            who = [own.rows[k] for k in owner[first].tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in who], pa.int64()), pa.array([t for _, t in who], pa.int64()), pa.array(at[first].astype(np.int32)), pa.array((at[last] + length).astype(np.int32))], names=["doc_id", "th", "a", "b"])
-
-        packed, told = None, []
+    runs = scratch.save(map_batches(own, scan, f"{_WINDOW}, doc_id long, th long, a int, n int, lead int"))
+    hot = scratch.save(runs.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"))
+    alive = scratch.save(runs.join(hot, "h", "left_semi"))
+    scratch.drop(runs, hot)
+    # equal windows repeat each other whole; one occurrence stands for them where there are others under the key
+    kinds = scratch.save(alive.groupBy(*window).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "a", "n", "lead")).alias("f")))
+    many = scratch.save(kinds.groupBy("h").agg(F.count("*").alias("d")).filter("d > 1"))
+    whole = kinds.filter("c > 1").select(*window, F.lit(0).alias("from"), (F.col("f.n") + (length - 1)).alias("to"))
+    sent = kinds.join(many, "h").select("f.doc_id", "f.th", F.struct(*window, "c", "d", "f.a", "f.n", "f.lead").alias("s"))
+    wanted = scratch.save(sent.groupBy("doc_id", "th").agg(F.collect_list("s").alias("s")))
+    names = [*window, "c", "d", "lead"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, strings, twice in zip(batch.column("part").to_pylist(), batch.column("strings").to_pylist(), batch.column("twice").to_pylist()):
-                if part == -1:
-                    if packed is not None:
-                        yield done(packed, told)
-                    packed, told = strings, []
-                else:
-                    told.append(twice)
-        if packed is not None:
-            yield done(packed, told)
-
-    return map_batches(both.repartition("block").sortWithinPartitions("block", "part"), mark, "doc_id long, th long, a int, b int")
+            for text, parts in zip(batch.column("text").to_pylist(), batch.column("s").to_pylist()):
+                data = (text or "").encode("utf-8", "replace")
+                cols = [[p[c] for p in parts] for c in names]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array([data[p["a"] : p["a"] + p["n"] + length - 1] for p in parts], pa.binary())], names=[*names, "window"])
+
+    # null-safe on the id
+    same = (F.col("o.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("o.th") == F.col("m.th"))
+    found = own.alias("o").join(wanted.alias("m"), same).select("o.text", "m.s")
+    pieces = scratch.save(map_batches(found, cut, f"{_WINDOW}, c long, d long, lead long, window binary"))
+    marks = [whole, scratch.save(_sorted_marks(pieces.filter(F.col("d") <= limit), length))]
+    hot = pieces.filter(F.col("d") > limit).select(*window, "c", "lead", "window", F.col("h").alias("r1"), F.col("w1").alias("r2"), F.col("w2").alias("r3"), F.lit(0).alias("shift")).dropDuplicates(window)
+    for starts in FINER:
+        if hot.isEmpty():
+            break
+        parts = scratch.save(_finer(hot, starts, length))
+        kinds = scratch.save(parts.groupBy(*window).agg(F.sum("c").alias("c"), F.first("window").alias("window")))
+        many = scratch.save(kinds.groupBy("h").agg(F.count("*").alias("d")).filter("d > 1"))
+        fits = F.col("d") <= limit
+        found = kinds.filter("c > 1").select(*window, F.lit(0).alias("from"), F.length("window").alias("to"))
+        found = scratch.save(found.union(_sorted_marks(kinds.join(many.filter(fits), "h"), length)))
+        back = parts.join(found, window).select(F.col("r1").alias("h"), F.col("r2").alias("w1"), F.col("r3").alias("w2"), (F.col("from") + F.col("shift")).alias("from"), (F.col("to") + F.col("shift")).alias("to"))
+        marks.append(scratch.save(back))
+        hot = parts.join(many.filter(~fits), "h", "left_semi")
+    spans = alive.join(reduce(DataFrame.unionAll, marks), window).select("doc_id", "th", (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("to")).alias("b"))
+    return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -1,13 +1,17 @@
 """Induced suffix sorting with common-prefix values, by bucket queues that go to disk.
 
-Suffixes that are left-most S (LMS) are sorted first: their substrings by induction, their order by recursion on the
-substrings' names. Larger-than-next (L) and smaller-than-next (S) suffixes are then induced from them. A queue holds,
-for each first symbol, the suffixes still to be scanned in their final order: induction inserts them in order, so a
-priority queue by (symbol, rank of the rest) is a row of first-in first-out queues. Each entry is a tuple of the
-suffix's place and its common prefix with the entry before it, which induction derives as one more than the least
-value scanned since that entry. Queues over ``Spool.memory`` bytes are written to a scratch file of the task.
-
-All steps work on arrays: one batch of a queue induces into all queues at once.
+Suffixes that are left-most S (LMS) are sorted first. Their substrings are sorted by induction and named in order; if
+names repeat, the string of names is sorted by this same method, level by level, until it has at most BASE names, which
+are sorted in memory by doubling. Each level hands its order and its common prefixes up: so many equal names are so
+many symbols of the level above, and only the rest of one substring is compared there. Larger-than-next (L) and then smaller-than-next (S) suffixes are induced from the LMS suffixes.
+
+A queue holds, for each first symbol, the suffixes still to be scanned in their final order: induction inserts them in
+order, so a priority queue by (symbol, rank of the rest) is a row of first-in first-out queues. Each entry is a tuple
+of the suffix's place and its common prefix with the entry before it, which induction derives as one more than the
+least value scanned since that entry. Queues of over ``memory`` bytes are written to a scratch file of the task, as are
+the L suffixes that wait for the second scan; single arrays (text, types, names, the result) of over ``memory`` bytes
+are mapped files. Such files have no name and end with the sort. One batch of a queue, as an array, induces into all
+queues at once.
 """
 
 from __future__ import annotations
@@ -16,10 +20,23 @@ import tempfile
 
 import numpy as np
 
+#: Names that are sorted in memory, by doubling, instead of by one more level.
+BASE = 1 << 20
+
+
+def empty(n: int, dtype, memory: int) -> np.ndarray:
+    """An array, in a mapped file without a name if it is larger than ``memory``."""
+    if n * np.dtype(dtype).itemsize <= memory:
+        return np.empty(n, dtype)
+    with tempfile.TemporaryFile(prefix="sort-") as f:
+        return np.memmap(f, dtype, "w+", shape=(n,))
+
 
 class Spool:
     """First-in first-out batches of (place, common prefix); the older ones go to disk when memory runs out."""
 
+    spilled = 0  # bytes, of all spools of this process
+
     def __init__(self, symbols: int, memory: int):
         self.batches: list[list] = [[] for _ in range(symbols)]
         self.memory, self.held, self.file = memory, 0, None
@@ -33,13 +50,13 @@ class Spool:
     def spill(self) -> None:
         self.file = self.file or tempfile.TemporaryFile(prefix="spool-")
         self.file.seek(0, 2)
+        at = self.file.tell()
         for queue in self.batches:
             for k, entry in enumerate(queue):
                 if len(entry) == 2:
-                    at = self.file.tell()
-                    self.file.write(entry[0].tobytes())
-                    self.file.write(entry[1].tobytes())
                     queue[k] = (at, len(entry[0]), entry[0].dtype, entry[1].dtype)
+                    at += self.file.write(entry[0].tobytes()) + self.file.write(entry[1].tobytes())
+        Spool.spilled += self.held
         self.held = 0
 
     def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
@@ -86,27 +103,33 @@ class _Minima:
 class Sorter:
     """Suffix array of a string of small integers whose last symbol is the only least one.
 
-    limit: common prefixes are counted up to this many symbols (and suffixes sorted at least to that depth).
+    limit: common prefixes are counted up to this many symbols. memory: bytes of a queue, or of an array, in memory.
     """
 
     def __init__(self, text: np.ndarray, limit: int, memory: int = 64 << 20):
         # symbols that are there, renumbered in order: a byte each, nearly always
         used = np.bincount(text) > 0
         self.symbols = int(used.sum())
-        text = (np.cumsum(used) - 1).astype(np.uint8 if self.symbols < 256 else np.uint16)[text]
-        self.text, self.limit, self.memory = text, limit, memory
+        self.limit, self.memory = limit, memory
+        dtype = next(t for t in (np.uint8, np.uint16, np.uint32) if self.symbols <= 1 << 8 * np.dtype(t).itemsize)
         n = len(text)
+        padded = empty(n + 8, dtype, memory)
+        padded[:n] = (np.cumsum(used) - 1).astype(dtype)[text]
+        padded[n:] = 0
+        self.text = text = padded[:n]
+        #: the eight bytes from each symbol on, without copying
+        self.words = np.ndarray((n,), "<u8", padded, strides=(padded.itemsize,))
         # S: smaller than the next suffix. A run of equal symbols has the type of its last one.
         up = np.ones(n, bool)
         up[:-1] = text[1:] > text[:-1]
         tells = np.ones(n, bool)
         tells[:-1] = text[1:] != text[:-1]
-        at = np.where(tells, np.arange(n, dtype=np.int32), np.int32(n))
-        self.is_s = up[np.minimum.accumulate(at[::-1])[::-1]] if n else np.zeros(0, bool)
-        self.is_lms = self.is_s.copy()
-        if n:
-            self.is_lms[0] = False
-            self.is_lms[1:] &= ~self.is_s[:-1]
+        at = np.where(tells, np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64), n)
+        self.is_s = empty(n, bool, memory)
+        self.is_s[:] = up[np.minimum.accumulate(at[::-1])[::-1]]
+        self.is_lms = empty(n, bool, memory)
+        self.is_lms[0] = False
+        self.is_lms[1:] = self.is_s[1:] & ~self.is_s[:-1]
 
     def _push(self, spool: Spool, since: np.ndarray | None, place: np.ndarray, prefix: np.ndarray, want_s: bool) -> None:
         """Induce from a scanned batch: entries before ``place`` of the wanted type go to the queues of their symbols. since: None if prefixes don't matter."""
@@ -146,6 +169,20 @@ class Sorter:
         elif since is not None:
             since[:] = np.minimum(since, prefix.min())
 
+    def agree(self, a: np.ndarray, b: np.ndarray, known: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Common prefixes of pairs of suffixes, up to ``most``, which are known to agree for some symbols; eight bytes at a time."""
+        out = np.minimum(known, most).astype(np.int64)
+        live = np.flatnonzero(out < most)
+        wide = self.text.itemsize
+        while len(live):
+            now = out[live]
+            differ = self.words[a[live] + now] ^ self.words[b[live] + now]
+            same = differ == 0
+            steps = np.where(same, 8 // wide, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // (8 * wide))
+            out[live] = np.minimum(now + steps, most[live])
+            live = live[same & (out[live] < most[live])]
+        return out
+
     def compare(self, a: int, b: int) -> int:
         """Common prefix of two suffixes, up to the limit."""
         n = min(self.limit, len(self.text) - max(a, b))
@@ -154,32 +191,38 @@ class Sorter:
 
     def induce(self, lms: np.ndarray, lms_prefix: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray]:
         """Suffix array and common prefixes with the entry before, from LMS suffixes in order."""
-        cap = self.limit
+        cap, n = self.limit, len(self.text)
         first = np.searchsorted(self.text[lms], np.arange(self.symbols + 1))  # LMS suffixes are in order of their symbol
         compare = self.compare if exact else lambda a, b: 0
-        spool = Spool(self.symbols, self.memory)
+        spool, larger = Spool(self.symbols, self.memory), Spool(self.symbols, self.memory)
         # since[c]: least common prefix scanned since the last entry of queue c; 0 at first, as that entry has none before it
         since = np.zeros(self.symbols, np.uint16) if exact else None
-        larger: list[tuple[np.ndarray, np.ndarray] | None] = []
         for c in range(self.symbols):
-            done: list[tuple[np.ndarray, np.ndarray]] = []
+            last = None
             while (batch := spool.take(c)) is not None:
                 place, prefix = batch
-                if not done:
+                if last is None:
                     prefix = prefix.copy()
                     prefix[0] = 0
-                done.append((place, prefix))
+                last = int(place[-1])
+                larger.put(c, place, prefix)
                 self._push(spool, since, place, prefix, False)
             a, b = int(first[c]), int(first[c + 1])
             if b > a:
                 prefix = lms_prefix[a:b].copy()
-                prefix[0] = min(compare(int(done[-1][0][-1]), int(lms[a])), cap) if done else 0
+                prefix[0] = min(compare(last, int(lms[a])), cap) if last is not None else 0
                 self._push(spool, since, lms[a:b], prefix, False)
-            larger.append(tuple(np.concatenate(x) for x in zip(*done)) if done else None)
         # S suffixes, from the largest down; an entry's value is its common prefix with the entry above it
         spool = Spool(self.symbols, self.memory)
         since = np.zeros(self.symbols, np.uint16) if exact else None
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        order, common, end = empty(n, lms.dtype, self.memory), empty(n, np.uint16, self.memory), n
+
+        def out(place: np.ndarray, prefix: np.ndarray) -> None:
+            nonlocal end
+            order[end - len(place) : end] = place
+            common[end - len(place) : end] = prefix
+            end -= len(place)
+
         for c in range(self.symbols - 1, -1, -1):
             done = []
             while (batch := spool.take(c)) is not None:
@@ -189,50 +232,64 @@ class Sorter:
                     prefix[0] = 0
                 done.append((place, prefix))
                 self._push(spool, since, place, prefix, True)
-            place = prefix = None
+            below = larger.take(c)
+            place = None
             if done:
                 place, prefix = (np.concatenate(x)[::-1] for x in zip(*done))
                 prefix = np.concatenate([[0], prefix[:-1]]).astype(np.uint16)  # now with the entry below
-            if larger[c] is not None:
-                p, v = larger[c]
+            if below is not None:
+                p, v = below
                 down = np.empty_like(v)
-                down[:-1] = v[::-1][:-1]
                 down[1:] = v[::-1][:-1]
                 down[0] = min(compare(int(p[-1]), int(place[0])), cap) if place is not None else 0
                 if place is not None:
                     prefix[0] = down[0]
+                    out(place, prefix)
                 self._push(spool, since, p[::-1], down, True)
-                out.append((np.concatenate([p, place]), np.concatenate([v, prefix])) if place is not None else (p, v))
+                out(p, v)
             elif place is not None:
-                out.append((place, prefix))
+                out(place, prefix)
             elif first[c + 1] > first[c]:  # the least symbol of all
-                out.append((lms[first[c] : first[c + 1]], np.zeros(int(first[c + 1] - first[c]), np.uint16)))
-                self._push(spool, since, out[-1][0], out[-1][1], True)
-            larger[c] = None
-        return tuple(np.concatenate(x) for x in zip(*out[::-1]))
+                own = lms[first[c] : first[c + 1]]
+                out(own, np.zeros(len(own), np.uint16))
+                self._push(spool, since, own, np.zeros(len(own), np.uint16), True)
+        return order, common
 
     def names(self, lms: np.ndarray) -> tuple[np.ndarray, int]:
         """Names of the LMS substrings, in text order: equal substrings have equal names, and names sort as they do."""
-        zero = np.zeros(len(lms), np.uint16)
-        order = self.induce(lms[np.argsort(self.text[lms], kind="stable")], zero, False)[0]
+        order = self.induce(lms[np.argsort(self.text[lms], kind="stable")], np.zeros(len(lms), np.uint16), False)[0]
         order = order[self.is_lms[order]]
-        end = np.empty(len(self.text) + 1, np.int64)
-        end[lms[:-1]] = lms[1:]
-        end[lms[-1]] = len(self.text) - 1
-        a, b = order[:-1], order[1:]
-        same = end[a] - a == end[b] - b
-        live = np.flatnonzero(same)
-        k = 0
-        while len(live):
-            x, y = a[live] + k, b[live] + k
-            equal = self.text[x] == self.text[y]
-            same[live[~equal]] = False
-            live = live[equal & (k < end[a[live]] - a[live])]
-            k += 1
+        number = np.searchsorted(lms, order)
+        size = np.append(np.diff(lms), 0) + 1  # a substring ends with the first symbol of the next one
+        size = size[number]
+        least = np.minimum(size[:-1], size[1:]).astype(np.int64)
+        same = (size[:-1] == size[1:]) & (self.agree(order[:-1], order[1:], np.zeros(len(least), np.int64), least) == least)
         name = np.concatenate([[0], np.cumsum(~same)])
-        out = np.empty(len(self.text), np.int64)
-        out[order] = name
-        return out[lms], int(name[-1]) + 1
+        out = empty(len(lms), np.int64, self.memory)
+        out[number] = name
+        return out, int(name[-1]) + 1
+
+    def ranked(self, name: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the LMS suffixes in order, and how many names each shares with the one before, by recursion."""
+        m = len(name)
+        if count == m:
+            return np.argsort(name), np.zeros(m, np.int64)
+        if m <= BASE:
+            return doubled(name, count, self.limit // 2 + 1)
+        # a name is one symbol, or two digits where that keeps the alphabet small and the string still shrinks
+        digits = 2 if count > 512 and 10 * m < 4 * len(self.text) else 1
+        base = int(np.ceil(np.sqrt(count))) if digits == 2 else count
+        text = empty(digits * m + 1, np.int64, self.memory)
+        text[-1] = 0
+        text[:-1:digits] = name // base + 1 if digits == 2 else name + 1
+        if digits == 2:
+            text[1:-1:2] = name % base + 1
+        order, common = Sorter(text, self.limit + 2, self.memory).sort()
+        at = np.flatnonzero(order[1:] % digits == 0) + 1  # without the end
+        shared = np.zeros(m, np.int64)
+        if m > 1:
+            shared[1:] = np.minimum.reduceat(common[: at[-1] + 1], at[:-1] + 1) // digits
+        return order[at] // digits, shared
 
     def sort(self) -> tuple[np.ndarray, np.ndarray]:
         """(suffix array, common prefixes): entry k shares that many first symbols with entry k - 1."""
@@ -240,57 +297,35 @@ class Sorter:
         if n == 1:
             return np.zeros(1, np.int64), np.zeros(1, np.uint16)
         lms = np.flatnonzero(self.is_lms).astype(np.int32 if n < 1 << 31 else np.int64)
-        name, count = self.names(lms)
-        rank = _order_names(name, count, lms, self.limit)
-        by = np.argsort(rank, kind="stable")
-        ordered, rank = lms[by], rank[by]
-        return self.induce(ordered, self.prefixes(ordered, rank[1:] == rank[:-1]), True)
-
-    def prefixes(self, order: np.ndarray, equal: np.ndarray) -> np.ndarray:
-        """Common prefixes of neighbours, eight bytes at a time while they agree. equal: those known to agree up to the limit."""
-        out = np.zeros(len(order), np.uint16)
-        padded = np.concatenate([self.text, np.full(self.limit + 8, self.symbols, self.text.dtype)])
-        words = _words(padded, self.limit + 8)
-        a, b = order[:-1], order[1:]
-        out[1:][equal] = self.limit
-        live, k = np.flatnonzero(~equal), 0
-        width = 8 // self.text.dtype.itemsize
-        while len(live) and k < self.limit:
-            differ = words[a[live] + k] ^ words[b[live] + k]
-            ended = differ != 0
-            if ended.any():
-                low = differ[ended] & (~differ[ended] + np.uint64(1))
-                out[live[ended] + 1] = np.minimum(k + np.floor(np.log2(low.astype(np.float64))).astype(np.int64) // (64 // width), self.limit)
-                live = live[~ended]
-            k += width
-        out[live + 1] = self.limit
-        return out
-
-
-def _words(padded: np.ndarray, margin: int) -> np.ndarray:
-    """The eight bytes from each symbol on, without copying."""
-    return np.ndarray((len(padded) - 8 // padded.dtype.itemsize,), "<u8", np.ascontiguousarray(padded), strides=(padded.dtype.itemsize,))
+        number, shared = self.ranked(*self.names(lms))
+        order = lms[number]
+        prefix = np.zeros(len(lms), np.uint16)
+        if len(lms) > 1:
+            known = lms[np.minimum(number + shared, len(lms) - 1)] - order  # symbols of the shared names
+            prefix[1:] = self.agree(order[:-1], order[1:], known[1:].astype(np.int64), np.full(len(lms) - 1, self.limit))
+        return self.induce(order, prefix, True)
 
 
-def _order_names(name: np.ndarray, count: int, lms: np.ndarray, limit: int) -> np.ndarray:
-    """Ranks of the suffixes of the reduced string, by recursion on pairs of names: each level doubles the names that one stands for.
+def doubled(name: np.ndarray, count: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of a string of names, and common prefixes as far as powers of two tell (up to ``limit``), by doubling.
 
-    It ends when all ranks differ, or when equal ranks stand for ``limit`` symbols of the text at least.
+    A name stands for two symbols at least but the last, so ``limit`` names are enough for twice as many symbols.
     """
-    step = 1
-    while count < len(name):
-        shared = np.bincount(name, minlength=count)[name] > 1
-        ahead = np.minimum(np.arange(len(lms)) + step, len(lms) - 1)
-        if (lms[ahead] - lms)[shared].min() >= limit:
-            break
+    order, step, shared = None, 1, np.zeros(len(name), np.int64)
+    while True:
         second = np.zeros(len(name), np.int64)
         second[:-step] = name[step:] + 1
         pair = name * (count + 1) + second
-        order = np.argsort(pair)
+        order = np.argsort(pair, kind="stable")
+        same = np.concatenate([[False], np.diff(name[order]) == 0])
+        shared[same] = np.maximum(shared[same], step)  # neighbours of one name agree on that many
         pair = pair[order]
-        new = np.concatenate([[0], np.cumsum(pair[1:] != pair[:-1])])
+        ranks = np.concatenate([[0], np.cumsum(pair[1:] != pair[:-1])])
         name = np.empty_like(name)
-        name[order] = new
-        count = int(new[-1]) + 1
+        name[order] = ranks
+        count = int(ranks[-1]) + 1
         step *= 2
-    return name
+        if count == len(name) or step >= limit:
+            same = np.concatenate([[False], np.diff(ranks) == 0])
+            shared = np.where(same, step, np.where(order >= 0, shared, 0))
+            return order, shared

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import repeats as R
-from tessera.llm.suffixarray import Sorter
+from tessera.llm import suffixarray as A
 
 
 def brute(docs, length):
@@ -37,13 +37,16 @@ def corpus():
     return docs
 
 
-def test_suffix_array_and_prefixes():
+@pytest.mark.parametrize("base", [0, 5, A.BASE])
+def test_suffix_array_and_prefixes(monkeypatch, base):
+    """base 0: recursion to the end; queues and arrays go to disk in some trials."""
+    monkeypatch.setattr(A, "BASE", base)
     rng = np.random.default_rng(1)
     for trial in range(150):
         t = rng.integers(1, rng.integers(2, 6), rng.integers(1, 80))
         t = np.append(np.tile(t, 3) if trial % 3 == 0 else t, 0).astype(np.uint16)
         limit = 1000 if trial % 2 else 6
-        order, prefix = Sorter(t, limit, memory=300 if trial % 5 == 0 else 1 << 20).sort()
+        order, prefix = A.Sorter(t, limit, memory=30 if trial % 5 == 0 else 1 << 20).sort()
         s = t.tolist()
         assert sorted(order.tolist()) == [*range(len(s))]
         for a, b, n in zip(order, order[1:], prefix[1:]):
@@ -54,6 +57,40 @@ def test_suffix_array_and_prefixes():
             assert n == k
 
 
+def test_a_production_shard_spills_and_recurs(monkeypatch):
+    """A shard of the production size, at the production bound of memory: its queues don't fit, nor do its names."""
+    rng = np.random.default_rng(2)
+    data = rng.choice(np.frombuffer(b"abcdefgh etaoin", np.uint8), R.SHARD_BYTES + 1000).tobytes()
+    sorts = []
+    monkeypatch.setattr(A.Sorter, "sort", lambda self, sort=A.Sorter.sort: sorts.append(len(self.text)) or sort(self))
+    before = A.Spool.spilled
+    parts = [(1, data[:2_000_000]), (1, data[2_000_000:]), (1, b"x" * 50 + data[777_777:778_300]), (2, b"once more" * 50), (1, b"y" * 399), (1, b"y" * 399)]
+    assert R.mark_shard(parts) == [[(777_777, 778_300)], [], [(50, 573)], [(0, 450)], [], []]
+    assert A.Spool.spilled > before and len(sorts) > 1 and sorts[0] > sorts[1] > 1_000_000
+
+
+def test_windows_hold_each_start_once_whatever_the_piece():
+    rng = random.Random(3)
+    many = ["".join(rng.choices("ab", k=rng.choice((0, 5, 399, 400, 401, 900, 5000)))).encode() for _ in range(40)] + [b"z" * 3000, b"ab" * 2000]
+    raw, offsets = np.frombuffer(b"".join(many), np.uint8), np.concatenate([[0], np.cumsum([*map(len, many)])])
+    starts = sorted(o + x for o, b in zip(offsets.tolist(), many) for x in range(len(b) - R.LENGTH + 1))
+    data = memoryview(raw)
+    by_piece = []
+    for piece in (500, 2000, 1 << 20):
+        got, keys = [], {}
+        for a, n, place in R.windows(raw, offsets, piece=piece):
+            got += [x + k for x, m in zip(a.tolist(), n.tolist()) for k in range(m)]
+            h, _ = R.window_keys(data, a, n, place)
+            for k, x, m in zip(h.tolist(), a.tolist(), n.tolist()):
+                keys.update((x + y, k) for y in range(m))
+        assert sorted(got) == starts
+        by_piece.append([keys[x] for x in starts])
+    assert by_piece[0] == by_piece[1] == by_piece[2]  # a start's key follows from its string
+    seen = {}
+    for x, k in zip(starts, by_piece[0]):
+        assert seen.setdefault(bytes(data[x : x + R.LENGTH]), k) == k
+
+
 @pytest.mark.parametrize("limit", [R.WINDOWS, 3])
 def test_matches_brute_force(spark, limit):
     docs = corpus()
