@@ -4,13 +4,18 @@ Texts and benchmark items are normalised (A-Z lower-cased, runs of other ASCII c
 m bytes that occurs in a text with at most e edits shares at least m - q + 1 - q * e of its q-grams with it, on
 diagonals (text position minus item position) that lie within e + 1 of each other. Hits are counted in overlapping
 bands of diagonals, 2 (e + 1) wide and e + 1 apart, so that every such run lies in one band whole. Bands that reach
-the bound are verified by banded alignment, which also yields the place and the edits.
+the bound are verified by banded alignment, which also yields the place and the edits; an item that stands in the band
+unchanged needs no alignment. The edits are budgeted on the whole item, however long.
+
+A band counts places of the text, so a gram that an item repeats adds one where it stands and not one for each of its
+places: an item's equal grams are one entry for each e + 1 of its places. Hits are counted SLICE entries at a time, and
+bands that lie behind the slice are settled, so memory grows neither with repetitive texts nor with long ones.
 
 The benchmark travels with the tasks while its normalised size is at most ``BLOCK_BYTES``; a larger one is cut into
-blocks of items of that size, each with a pass of its own over the documents.
+blocks of items of that size, each with a written pass of its own over the documents.
 
-Defined results: null texts and items match nothing; items under LEAST bytes after normalising take no part; items
-longer than SEGMENT are looked for segment by segment; repeated items are reported under each of their ids.
+Defined results: null texts and items match nothing; items under LEAST bytes after normalising take no part; parts of
+an item are not looked for; repeated items are reported under each of their ids.
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filter_batches, map_batches, string_bytes, table, texts
+from tessera.llm.common import Scratch, filter_batches, map_batches, string_bytes, table, texts
 
-#: Production parameters: q, edits as a share of the item's bytes, shortest item, longest pattern, benchmark bytes in one pass, text bytes worked on at once.
-Q, EDITS, LEAST, SEGMENT, BLOCK_BYTES, CHUNK = 10, 0.08, 32, 512, 16 << 20, 4 << 20
+#: Production parameters: q, edits as a share of the item's bytes, shortest item, benchmark bytes in one pass, text bytes worked on at once, entries counted at once.
+Q, EDITS, LEAST, BLOCK_BYTES, CHUNK, SLICE = 10, 0.08, 32, 16 << 20, 4 << 20, 1 << 20
 
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[48:58] = np.arange(48, 58)
@@ -102,7 +107,7 @@ def align(pattern: np.ndarray, text: np.ndarray, base: int, width: int, most: in
 class Benchmark:
     """Patterns of one block of items, with the index of their q-grams."""
 
-    def __init__(self, items: list[tuple[int, str | None]], q: int = Q, share: float = EDITS, least: int = LEAST, segment: int = SEGMENT):
+    def __init__(self, items: list[tuple[int, str | None]], q: int = Q, share: float = EDITS, least: int = LEAST):
         self.q = q
         self.pattern: list[np.ndarray] = []
         ids: list[int] = []
@@ -110,11 +115,8 @@ class Benchmark:
             raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
             clean = normalise(raw, np.array([0, len(raw)]))[0]
             clean = clean[:-1] if len(clean) and clean[-1] == 32 else clean
-            if len(clean) < max(least, q):
-                continue
-            parts = -(-len(clean) // segment)
-            for a, b in zip(*[[len(clean) * k // parts for k in ks] for ks in (range(parts), range(1, parts + 1))]):
-                self.pattern.append(clean[a:b])
+            if len(clean) >= max(least, q):
+                self.pattern.append(clean)
                 ids.append(item)
         self.item = np.array(ids, np.int64)
         self.size = np.array([len(p) for p in self.pattern], np.int64)
@@ -124,63 +126,105 @@ class Benchmark:
         keys = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.owner, self.place = owner[order], place[order]
-        self.keys, first = np.unique(keys[order], return_index=True)
-        self.first = np.append(first, len(keys))
+        # equal grams of an item within e + 1 places are one entry: the number of that stretch, and the least and largest rest
+        step = (self.most + 1)[owner]
+        stretch, rest = place // np.maximum(step, 1), place % np.maximum(step, 1)
+        order = np.lexsort((rest, stretch, owner, keys))
+        keys, owner, stretch, rest = keys[order], owner[order], stretch[order], rest[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]) | (stretch[1:] != stretch[:-1])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(keys)) - 1 if len(at) else at
+        self.owner, self.stretch, self.low, self.high = owner[at], stretch[at], rest[at], rest[last]
+        self.keys, first = np.unique(keys[at], return_index=True)
+        self.first = np.append(first, len(at))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def find(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    def hits(self, text: np.ndarray, off: np.ndarray, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, rows of their grams in the index) of the q-grams that lie inside a text and that an item has too."""
+        for a in range(0, len(text), chunk):
+            h = gram_hashes(text[a : a + chunk + self.q - 1], self.q)
+            at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+            row = np.searchsorted(self.keys, h[at]).clip(max=len(self.keys) - 1)
+            hit = self.keys[row] == h[at]
+            at, row = at[hit] + a, row[hit]
+            whole = at + self.q <= off[np.searchsorted(off, at, side="right")]
+            yield at[whole], row[whole]
+
+    def bands(self, text: np.ndarray, off: np.ndarray, chunk: int, slice_: int = SLICE) -> Iterator[np.ndarray]:
+        """Rows (text, pattern, band) that reach their bounds, about ``slice_`` entries at a time."""
+        held, count = np.zeros((3, 0), np.int64), np.zeros(0, np.int64)
+        for at, row in self.hits(text, off, chunk):
+            n = self.first[row + 1] - self.first[row]
+            cuts = [0]
+            while cuts[-1] < len(at):
+                done = int(n[: cuts[-1]].sum())
+                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(np.cumsum(n), done + slice_, side="right"))))
+            for x, z in zip(cuts, cuts[1:]):
+                many = n[x:z]
+                entry = np.repeat(self.first[row[x:z]], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                p = self.owner[entry]
+                place = np.repeat(at[x:z], many)
+                doc = np.searchsorted(off, place, side="right") - 1
+                step = self.most[p] + 1
+                whole, rest = place // step, place % step
+                band = whole - self.stretch[entry]
+                # diagonals of the stretch lie in its band where the rest is small, and in the one before where it is large
+                here, before = self.low[entry] <= rest, self.high[entry] > rest
+                rows = [np.stack([place, doc, p, b])[:, ok] for b, ok in ((band, here), (band - 1, before))]
+                rows = np.concatenate([*rows, *(r - np.array([[0], [0], [0], [1]]) for r in rows)], axis=1)  # bands overlap by half
+                rows = rows[:, np.lexsort(rows)]
+                new = np.ones(rows.shape[1], bool)
+                new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+                held = np.concatenate([held, rows[1:, new]], axis=1)
+                count = np.concatenate([count, np.ones(held.shape[1] - len(count), np.int64)])
+                order = np.lexsort(held[::-1])
+                held, count = held[:, order], count[order]
+                first = np.ones(held.shape[1], bool)
+                first[1:] = (held[:, 1:] != held[:, :-1]).any(axis=0)
+                first = np.flatnonzero(first)
+                held, count = held[:, first], np.add.reduceat(count, first) if len(first) else count
+                reach = (held[2] + 2) * (self.most[held[1]] + 1) + self.size[held[1]]
+                settled = (reach <= at[z - 1]) | (held[0] < doc[-1])
+                yield held[:, settled & (count >= self.bound[held[1]])].T
+                held, count = held[:, ~settled], count[~settled]
+        yield held[:, count >= self.bound[held[1]]].T
+
+    def find(self, raw: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item id, start, end, edits) of every occurrence, in bytes of the text as it is."""
         if not len(self.keys):
             return
         text, off, origin = normalise(raw, offsets)
-        h = gram_hashes(text, self.q)
-        at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-        row = np.searchsorted(self.keys, h[at]).clip(max=len(self.keys) - 1)
-        hit = self.keys[row] == h[at]
-        at, row = at[hit], row[hit]
-        doc = np.searchsorted(off, at, side="right") - 1
-        whole = at + self.q <= off[doc + 1]
-        at, row, doc = at[whole], row[whole], doc[whole]
-        if not len(at):
-            return
-        n = self.first[row + 1] - self.first[row]
-        ends = np.cumsum(n)
-        entry = np.arange(int(ends[-1])) + np.repeat(self.first[row] - (ends - n), n)
-        pattern = self.owner[entry]
-        diagonal = np.repeat(at, n) - self.place[entry]
-        doc = np.repeat(doc, n)
-        step = self.most[pattern] + 1
-        band = diagonal // step  # and band - 1, which overlaps it by half
-        pairs = np.stack([np.concatenate([doc, doc]), np.concatenate([pattern, pattern]), np.concatenate([band, band - 1])])
-        order = np.lexsort(pairs[::-1])
-        pairs = pairs[:, order]
-        first = np.flatnonzero(np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)]))
-        count = np.diff(np.append(first, pairs.shape[1]))
+        data = text.tobytes()
         seen = set()
-        for d, p, b in pairs[:, first[count >= self.bound[pairs[1, first]]]].T.tolist():
-            a, z, most = int(off[d]), int(off[d + 1]), int(self.most[p])
-            low = b * (most + 1)
-            lo, hi = max(a, low - most), min(z, low + 2 * (most + 1) + int(self.size[p]) + most)
-            found = align(self.pattern[p], text[lo:hi], low - lo, 2 * (most + 1), most)
-            if found:
-                edits, s, e = found
-                key = (d, p, lo + s, lo + e)
+        for found in self.bands(text, off, chunk):
+            for d, p, b in found.tolist():
+                a, z, most, size = int(off[d]), int(off[d + 1]), int(self.most[p]), int(self.size[p])
+                low = b * (most + 1)
+                lo, hi = max(a, low - most), min(z, low + 2 * (most + 1) + size + most)
+                s = data.find(self.pattern[p].tobytes(), lo, hi)
+                e = s + size
+                edits = 0
+                if s < 0:
+                    best = align(self.pattern[p], text[lo:hi], low - lo, 2 * (most + 1), most)
+                    if best is None:
+                        continue
+                    edits, s, e = best[0], lo + best[1], lo + best[2]
+                key = (d, p, s, e)
                 if key not in seen and e > s:
                     seen.add(key)
-                    yield d, int(self.item[p]), int(origin[lo + s] - offsets[d]), int(origin[lo + e - 1] + 1 - offsets[d]), edits
+                    yield d, int(self.item[p]), int(origin[s] - offsets[d]), int(origin[e - 1] + 1 - offsets[d]), edits
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks of about ``block_bytes``; the size is measured first."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items, in blocks of about ``block_bytes``, and whether a block is the last; the size is measured first."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for k in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield [tuple(r) for r in own.orderBy("item_id", "text").collect()]
+        yield [tuple(r) for r in own.orderBy("item_id", "text").collect()], k == blocks - 1
 
 
 def _search(index: Benchmark, batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int]]:
@@ -208,7 +252,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDIT
 
         return map_batches(texts(docs), run, "doc_id long, item_id long, start long, end long, edits int")
 
-    return reduce(DataFrame.unionAll, [search(block) for block in _blocks(benchmark, block_bytes)])
+    found, scratch = [], Scratch(docs.sparkSession)
+    for block, last in _blocks(benchmark, block_bytes):  # one block at a time is on the driver
+        found.append(search(block) if last and not found else scratch.save(search(block)))
+    return reduce(DataFrame.unionAll, found)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: float = EDITS, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -227,7 +274,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, share: floa
 
         return filter_batches(docs, keep)
 
-    return reduce(clean, _blocks(benchmark, block_bytes), docs)
+    scratch = Scratch(docs.sparkSession)
+    for block, last in _blocks(benchmark, block_bytes):
+        docs = clean(docs, block) if last else scratch.save(clean(docs, block))
+    return docs
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

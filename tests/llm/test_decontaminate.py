@@ -72,3 +72,43 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a text of some length")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a text of some length that is an item")], "item_id long, text string")
     assert D.leaks(docs.limit(0), bench).collect() == [] == D.leaks(docs, bench.limit(0)).collect()
+
+
+def find(items, texts, **how):
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([*map(len, raw)])])
+    return sorted(D.Benchmark(items).find(np.frombuffer(b"".join(raw), np.uint8), offsets, **how))
+
+
+def test_half_of_a_long_item_is_no_occurrence():
+    rng = random.Random(5)
+    for n in (512, 513, 600, 3000):
+        item = prose(rng, n)[:n].strip()
+        texts = [prose(rng, 20) + " " + item[: len(item) // 2] + " " + prose(rng, 80), prose(rng, 20) + " " + item[len(item) // 2 :], f"{prose(rng, 9)} {item} {prose(rng, 9)}", prose(rng, 30) + edited(item, n // 40, rng)]
+        assert {(d, i) for d, i, *_ in find([(7, item)], texts)} == {(2, 7), (3, 7)}
+
+
+def test_repetitive_texts_stay_small_and_agree_with_a_plain_count():
+    rng = random.Random(6)
+    items = [(1, "0" * 400), (2, "ab" * 60), (3, prose(rng, 12)), (4, "0" * 100 + prose(rng, 10))]
+    texts = ["0" * 399, "0" * 2000, "ab" * 59 + "cd" + "ab" * 70, prose(rng, 10) + items[2][1], "1" + "0" * 101 + items[3][1][100:], "x"]
+    got = find(items, texts)
+    want = {(d, i): distance(clean(t), clean(x)) for d, x in enumerate(texts) for i, t in items}
+    want = {k: n for k, n in want.items() if n <= D.budget(len(clean(dict(items)[k[1]])))}
+    assert {(d, i): min(e for x, y, *_, e in got if (x, y) == (d, i)) for d, i, *_ in got} == want
+    # pieces and slices of any size change nothing
+    index = D.Benchmark(items)
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    text, off, _ = D.normalise(raw, np.concatenate([[0], np.cumsum([*map(len, texts)])]))
+    sets = [sorted(map(tuple, np.concatenate([*index.bands(text, off, chunk, slice_)]).tolist())) for chunk, slice_ in ((1 << 20, 1 << 20), (100, 1 << 20), (1 << 20, 50), (64, 7))]
+    assert sets[0] == sets[1] == sets[2] == sets[3] and sets[0]
+
+
+def test_a_megabyte_of_zeros_takes_bounded_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    found = find([(1, "0" * 400)], ["0" * (1 << 20)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) > 1000 and all(e == 0 for *_, e in found) and peak < 1 << 30
