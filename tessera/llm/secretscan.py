@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control.
 
-Candidates are long runs of token characters whose encoding can be inferred (hex, base32, base64: with a digit,
-and the case that the encoding asks for). Each is tested against its alphabet: chi-squared uniformity, a runs test
+Candidates are long runs of token characters whose encoding can be inferred: hex, base32 and base36 need a digit,
+base36 a letter of one case too, base64 both cases; numbers and words of one case alone are none. Each is tested against its alphabet: chi-squared uniformity, a runs test
 about the median symbol, and lag-1 serial correlation; Fisher's method joins the three p-values. Random tokens
 have uniform p-values and ordinary ones (identifiers, numbers, paths) pile up near 0. Candidates are counted over
 the whole corpus by encoding, length class and p-value; in each class the smallest cut is taken at which the
@@ -44,6 +44,7 @@ _ORDER = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+_ORDER |= {"base36": "0123456789abcdefghijklmnopqrstuvwxyz"}
 _PLACE = {name: {c: k for k, c in enumerate(symbols)} for name, symbols in _ORDER.items()}
 _PLACE["base64"] |= {"-": 62, "_": 63}  # the URL-safe form
 
@@ -60,16 +61,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def encoding(token: str) -> str | None:
+    """The narrowest encoding that the token can be of."""
     chars = set(token)
-    if not any(c.isdigit() for c in chars):
+    digit, lower, upper = (any(f(c) for c in chars) for f in (str.isdigit, str.islower, str.isupper))
+    if lower and upper:
+        return "base64" if chars <= _PLACE["base64"].keys() else None
+    if not digit or not (lower or upper):
         return None
-    if len(chars) > 1 and (chars <= set("0123456789abcdef") or chars <= set("0123456789ABCDEF")):
+    if chars <= set("0123456789abcdef") or chars <= set("0123456789ABCDEF"):
         return "hex"
     if chars <= set(_ORDER["base32"]):
         return "base32"
-    if any(c.islower() for c in chars) and any(c.isupper() for c in chars) and chars <= _PLACE["base64"].keys():
-        return "base64"
-    return None
+    return "base36" if token.isalnum() else None
 
 
 def _normal_tail(z: float) -> float:
@@ -79,7 +82,7 @@ def _normal_tail(z: float) -> float:
 def randomness(token: str, kind: str) -> float:
     """Fisher's p-value of the three tests; small where the token doesn't look random over its alphabet."""
     place = _PLACE[kind]
-    x = np.array([place[c] for c in (token.lower() if kind == "hex" else token)], float)
+    x = np.array([place[c] for c in (token.lower() if kind in ("hex", "base36") else token)], float)
     n, k = len(x), len(_ORDER[kind])
     counts = np.bincount(x.astype(int), minlength=k)
     chi = float(((counts - n / k) ** 2).sum() * k / n) / (k - 1)
@@ -104,10 +107,14 @@ def length_class(n: int) -> int:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int, float]]:
-    """(encoding, start, end, p-value) of the tokens that no pattern has found."""
+    """(encoding, start, end, p-value) of the tokens that no pattern has found. taken: by start."""
+    k, reach = 0, -1  # of the spans that start before the token's end, the furthest end
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if (kind := encoding(m[0])) and not any(s < b and a < e for s, _, e in taken):
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][2])
+            k += 1
+        if reach <= a and (kind := encoding(m[0])):
             yield kind, a, b, randomness(m[0], kind)
 
 
