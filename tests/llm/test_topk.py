@@ -26,8 +26,8 @@ def corpus():
 def test_matches_brute_force(spark):
     df = spark.createDataFrame([(*r, "x", 3) for r in corpus()], "vec_id long, embedding array<float>, rank string, score int").repartition(5)
     want = brute(corpus())
-    for size in (T.BLOCK_BYTES, 12 * 8 * 20):
-        assert sorted(tuple(r) for r in T.top_k(df, block_bytes=size).collect()) == want
+    for size, first in ((T.BLOCK_BYTES, T.PASS), (12 * 8 * 20, 3)):
+        assert sorted(tuple(r) for r in T.top_k(df, block_bytes=size, first=first).collect()) == want
 
 
 def test_large_components_and_few_rows(spark):
@@ -44,3 +44,24 @@ def test_sql_says_the_same(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     assert sorted(tuple(r) for r in T.op5_topk(spark, str(tmp_path)).collect()) == sorted(con.sql("select query_id, rank, vec_id, score from (" + T.OP5_SQL + ")").fetchall())
+
+
+def test_rows_that_repeat_count_once(spark, tmp_path):
+    rows = corpus()[:60]
+    more = rows + rows[:10] + [(0, [1.0] * 12), (0, [1.0] * 12)]
+    df = spark.createDataFrame(more, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(tuple(r) for r in T.top_k(df, block_bytes=12 * 8 * 20, first=1).collect())
+    assert len(got) == 5 * 3 and [r[1] for r in got] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 1, 2, 3, 4, 5]
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.sql("select query_id, rank, vec_id, score from (" + T.OP5_SQL + ")").fetchall())
+
+
+def test_few_blocks_are_met_where_norms_differ():
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(10, 8))
+    q = T.Block({"ids": np.arange(10).tobytes(), "m": m.tobytes(), "head": m.tobytes(), "rest": np.zeros(10).tobytes()}, 8)
+    tops = np.array([100.0, 50.0, 20.0, 1.0])
+    for t, want in ((60.0, 1), (50.0, 2), (30.0, 2), (0.5, 4), (-np.inf, 4), (101.0, 0)):
+        assert T.reach(q, t * q.norm, tops) == want
