@@ -1,9 +1,14 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Texts are cut into words by the byte-level pre-tokenisation pattern inside the Spark tasks. Each task keeps a
-table of the distinct words that it has met: a word is encoded once, and the ids of a text are the table's rows
-joined back by word position (a gather over offsets). Decoding is a join of ids with the id-to-piece table. The
-word table lives in the task (bounded by ``TABLE_WORDS``), so no row per word position is shuffled.
+Texts are cut into words by the byte-level pre-tokenisation pattern, in the tasks that read them, and packed into
+blocks: a block keeps its distinct words, numbered, and for each text the numbers of its words in their order. The
+distinct words of all blocks are dealt by their hash to the parts of the word table, where each distinct word of the
+corpus is encoded once and every block that has it is answered with its ids. Answers are joined to their blocks, and
+the numbers pick the ids position by position. So a word crosses the network once for each block that has it and not
+once for each place where it stands. Decoding joins ids with the id-to-piece table.
+
+Blocks end at BLOCK_BYTES of text (a longer text is a block of its own) or BLOCK_TEXTS texts, parts are as many as the
+words of the blocks ask for, so neither a task's rows nor its table grow with the corpus.
 
 Defined results: a null text counts as the empty text; the empty text has no ids and decodes to itself. The
 marker of a special token inside a text becomes that token's id, as the tokenizers library does by default.
@@ -20,11 +25,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, string_bytes, table, texts
+from tessera.llm.common import Scratch, deal, map_batches, table, texts
 
-#: Distinct words that a task keeps before it starts a new table.
-TABLE_WORDS = 400_000
+#: Production parameters: bytes and texts of a block, bytes of words in one part of the word table.
+BLOCK_BYTES, BLOCK_TEXTS, PART_BYTES = 8 << 20, 16_384, 8 << 20
 
 #: The pre-tokenisation pattern of byte-level BPE, with white space by its Unicode property.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -45,14 +51,14 @@ def gather(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[n
     return values[at], size
 
 
-class WordTable:
-    """Distinct words and their ids, for one task.
+class Words:
+    """What one tokenizer does with texts, words and ids.
 
     A word here starts at a space that a visible character follows: the pattern always cuts there, so the ids of a
     text are those of its words in a row. Texts with other uses of the space are cut by the pattern itself.
     """
 
-    def __init__(self, tokenizer_json: str, limit: int = TABLE_WORDS):
+    def __init__(self, tokenizer_json: str):
         import regex
 
         spec = json.loads(tokenizer_json)
@@ -68,8 +74,6 @@ class WordTable:
         sizes = [len(pieces.get(i, b"")) for i in range(max(pieces) + 1)]
         self.piece_at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.piece = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(len(sizes))), np.uint8)
-        self.limit = limit
-        self.clear()
 
     @staticmethod
     def encoder(tokenizer_json: str, ranks: dict[bytes, int], merges: list, vocab: dict[str, int]):
@@ -87,32 +91,9 @@ class WordTable:
         tokenizer.no_padding()
         return lambda word: tokenizer.encode(word, add_special_tokens=False).ids
 
-    def clear(self) -> None:
-        self.plain: dict[str, int] = {w: k for k, w in enumerate(self.special)}
-        self.spaced: dict[str, int] = {}  # without their space
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 16, np.int64)
-        self.n = 0
-        self.add([[i] for i in self.special.values()])
-
-    def add(self, many: list[list[int]]) -> None:
-        """Rows at the end of the table; its arrays double when they are full."""
-        ends = self.at[self.n] + np.cumsum(np.fromiter(map(len, many), np.int64, len(many)))
-        last = int(ends[-1]) if len(ends) else int(self.at[self.n])
-        while last > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(many) >= len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.ids[self.at[self.n] : last] = np.fromiter(chain.from_iterable(many), np.uint32, last - int(self.at[self.n]))
-        self.at[self.n + 1 : self.n + 1 + len(many)] = ends
-        self.n += len(many)
-
-    def learn(self, known: dict[str, int], words: list[str], before: str) -> np.ndarray:
-        """Rows of words; those not met before are encoded, once."""
-        new = list(set(words).difference(known))
-        known.update(zip(new, range(self.n, self.n + len(new))))
-        self.add([self.encode_word(before + w) for w in new])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    def encode(self, word: str) -> list[int]:
+        """Ids of a word of ``words``."""
+        return [self.special[word]] if word in self.special else self.encode_word(word)
 
     def words(self, text: str) -> tuple[list[str], list[str]]:
         """Words of a text: those that stand as they are, and then those without the space in front."""
@@ -121,59 +102,172 @@ class WordTable:
         if self.odd(text):
             return self.split(text), []
         first, *rest = text.split(" ")
-        return [first], rest
-
-    def encode(self, many: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and the number of ids of each text."""
-        if self.n > self.limit:
-            self.clear()
-        words = [self.words(t) if t else ([], []) for t in many]
-        n_plain = np.fromiter((len(p) for p, _ in words), np.int64, len(words))
-        n_all = n_plain + np.fromiter((len(s) for _, s in words), np.int64, len(words))
-        ends = np.cumsum(n_all)
-        total = int(ends[-1]) if len(ends) else 0
-        stands = np.zeros(total + 1, np.int64)
-        np.add.at(stands, ends - n_all, 1)
-        np.add.at(stands, ends - n_all + n_plain, -1)
-        stands = np.cumsum(stands[:total]) > 0
-        rows = np.zeros(total, np.int64)
-        rows[stands] = self.learn(self.plain, [*chain.from_iterable(p for p, _ in words)], "")
-        rows[~stands] = self.learn(self.spaced, [*chain.from_iterable(s for _, s in words)], " ")
-        ids, size = gather(self.at, self.ids, rows)
-        per_word = np.concatenate([[0], np.cumsum(size)])
-        return ids, np.diff(per_word[np.concatenate([[0], ends])])
+        return [first] if first else [], rest
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the pieces, one after another, and the number of bytes of each id."""
         return gather(self.piece_at, self.piece, ids.astype(np.int64))
 
 
+class Block:
+    """Texts as numbers of distinct words."""
+
+    def __init__(self):
+        self.plain: dict[str, int] = {}
+        self.spaced: dict[str, int] = {}  # without their space
+        self.ids: list[int | None] = []
+        self.sizes: list[int] = []
+        self.places: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, doc_id: int | None, words: tuple[list[str], list[str]], size: int) -> None:
+        at = []
+        for known, own, odd in ((self.plain, words[0], 0), (self.spaced, words[1], 1)):
+            new = set(own).difference(known)
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            # plain words have even numbers, spaced ones odd ones
+            at.append(np.fromiter(map(known.__getitem__, own), np.uint32, len(own)) * np.uint32(2) + np.uint32(odd))
+        self.places.append(np.concatenate(at))
+        self.ids.append(doc_id)
+        self.sizes.append(len(self.places[-1]))
+        self.held += size
+
+    def rows(self, parts: int) -> list[tuple]:
+        """(block, part, ids, sizes, places, words) of the texts, whose part is -1, and of the words dealt to each part."""
+        import uuid
+
+        import xxhash
+
+        words = [*self.plain, *(" " + w for w in self.spaced)]
+        data = [w.encode() for w in words]
+        part = np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data)) % np.uint64(parts) if data else np.zeros(0, np.uint64)
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        places = np.concatenate([*self.places, np.zeros(0, np.uint32)]).astype(np.uint32)
+        number = places >> np.uint32(1)
+        number[places & np.uint32(1) == 1] += np.uint32(len(self.plain))
+        block = uuid.uuid4().int >> 65
+        out = [(block, -1, self.ids, np.array(self.sizes, np.int64).tobytes(), _packed(rank[number]), None)]
+        cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64)).tolist()
+        for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                own = [data[k] for k in order[a:b].tolist()]
+                out.append((block, p, None, None, None, np.array([b - a, *map(len, own)], np.uint32).tobytes() + b"".join(own)))
+        return out
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _opened(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    return np.frombuffer(pa.decompress(b[8:], 4 * n, codec="zstd", asbytes=True), np.uint32) if n else np.zeros(0, np.uint32)
+
+
 @lru_cache(1)
-def word_table(tokenizer_json: str) -> WordTable:
-    """The table of this Python worker, which Spark keeps from task to task."""
-    return WordTable(tokenizer_json)
+def of_tokenizer(tokenizer_json: str) -> Words:
+    """The tables of this Python worker, which Spark keeps from task to task; they depend on the vocabulary alone."""
+    return Words(tokenizer_json)
+
+
+_ROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("places", pa.binary()), ("words", pa.binary())])
 
 
-def encode_texts(docs: DataFrame, tokenizer_json: str, digest: bool = False) -> DataFrame:
+def split_words(docs: DataFrame, tokenizer_json: str, parts: int, scratch: Scratch) -> DataFrame:
+    """Blocks of texts (part -1) and their distinct words by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, block = of_tokenizer(tokenizer_json), Block()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*block.rows(parts)), _ROW)], schema=_ROW)
+
+        for batch in batches:
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                block.add(i, words.words(text) if text else ([], []), len(text or ""))
+                if block.held >= BLOCK_BYTES or len(block.ids) >= BLOCK_TEXTS:
+                    yield out()
+                    block = Block()
+        if block.ids:
+            yield out()
+
+    return scratch.save(map_batches(texts(docs), run, "block long, part int, ids array<long>, sizes binary, places binary, words binary"))
+
+
+def encode_words(split: DataFrame, tokenizer_json: str, parts: int, scratch: Scratch) -> DataFrame:
+    """The word table: (block, part, sizes, places), the numbers of ids and the ids of a block's words of that part, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known, now = of_tokenizer(tokenizer_json), {}, None
+        for batch in batches:
+            out = []
+            for block, part, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "words"))):
+                if part != now:
+                    known, now = {}, part
+                n = int(np.frombuffer(packed, np.uint32, 1)[0])
+                at = np.concatenate([[0], np.cumsum(np.frombuffer(packed, np.uint32, n, 4), dtype=np.int64)]) + 4 * (n + 1)
+                own = [packed[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
+                for w in own:
+                    if w not in known:
+                        known[w] = words.encode(w.decode())
+                ids = [known[w] for w in own]
+                out.append((block, part, _packed(np.fromiter(map(len, ids), np.uint32, n)), _packed(np.fromiter(chain.from_iterable(ids), np.uint32))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "part", "sizes", "places"])
+
+    asked = split.filter("part >= 0").select("block", "part", "words")
+    return scratch.save(map_batches(deal(asked, "part", parts), run, "block long, part int, sizes binary, places binary"))
+
+
+def encode_texts(docs: DataFrame, tokenizer_json: str, digest: bool = False, parts: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_tokens and either (ids, decoded) or their digests (ids_sha256, decoded_sha256)."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    if parts is None:  # the distinct words of a block are a small share of its bytes, by far
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        parts = max(12, -(-size // (8 * PART_BYTES)))
+    split = split_words(docs, tokenizer_json, parts, scratch)
+    answers = encode_words(split, tokenizer_json, parts, scratch)
+    both = split.filter("part = -1").select("block", "part", "ids", "sizes", "places").unionByName(answers, allowMissingColumns=True)
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_table(tokenizer_json)
+        words = of_tokenizer(tokenizer_json)
+
+        def out(docs: list, sizes: bytes, places: bytes, answers: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+            per_word = np.concatenate([np.zeros(1, np.int64), *(_opened(a) for a, _ in answers)]).cumsum()
+            table, rows = np.concatenate([np.zeros(0, np.uint32), *(_opened(b) for _, b in answers)]).astype(np.uint32), _opened(places).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))])
+            a = 0
+            while a < len(docs):  # as many texts at a time as have some million words
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 20), side="right")) - 1)
+                ids, size = gather(per_word, table, rows[ends[a] : ends[b]])
+                at = np.concatenate([[0], np.cumsum(size)])[ends[a : b + 1] - ends[a]]
+                raw, width = words.decode(ids)
+                of = np.concatenate([[0], np.cumsum(width)])
+                spans = list(zip(at[:-1].tolist(), at[1:].tolist()))
+                back = [raw[of[x] : of[y]].tobytes() for x, y in spans]
+                fix = lambda x: x.decode("utf-8", "replace")
+                if digest:
+                    last = [[hashlib.sha256(ids[x:y].astype("<u4").tobytes()).hexdigest() for x, y in spans], [hashlib.sha256(fix(x).encode()).hexdigest() for x in back]]
+                else:
+                    last = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))), [fix(x) for x in back]]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[a:b], pa.int64()), pa.array(np.diff(at), pa.int64()), *(x if isinstance(x, pa.Array) else pa.array(x, pa.string()) for x in last)], schema=_arrow(digest))
+                a = b
+
+        now, told = None, []
         for batch in batches:
-            ids, sizes = words.encode(batch.column("text").to_pylist())
-            raw, width = words.decode(ids)
-            at, of = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(width)])
-            little, spans = ids.astype("<u4"), list(zip(at[:-1].tolist(), at[1:].tolist()))
-            back = [raw[of[a] : of[b]].tobytes() for a, b in spans]
-            fix = lambda b: b.decode("utf-8", "replace")
-            if digest:
-                out = [[hashlib.sha256(little[a:b].tobytes()).hexdigest() for a, b in spans], [hashlib.sha256(fix(b).encode()).hexdigest() for b in back]]
-            else:
-                out = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))), [fix(b) for b in back]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), *(x if isinstance(x, pa.Array) else pa.array(x, pa.string()) for x in out)], schema=_arrow(digest))
+            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "ids", "sizes", "places"))):
+                if part == -1:
+                    if now is not None:
+                        yield from out(*now, told)
+                    now, told = row, []
+                else:
+                    told.append(row[1:])
+        if now is not None:
+            yield from out(*now, told)
 
-    return map_batches(texts(docs), run, schema)
+    return map_batches(both.repartition("block").sortWithinPartitions("block", "part"), run, schema)
 
 
 def _arrow(digest: bool) -> pa.Schema:
@@ -185,7 +279,7 @@ def decode_ids(encoded: DataFrame, tokenizer_json: str) -> DataFrame:
     """(doc_id, ids) to (doc_id, decoded), by the id-to-piece table. Null ids decode to the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_table(tokenizer_json)
+        words = of_tokenizer(tokenizer_json)
         for batch in batches:
             out = [words.decode(np.array(ids or [], np.int64))[0].tobytes().decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "decoded"])

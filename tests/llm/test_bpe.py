@@ -42,10 +42,36 @@ def test_digests_and_decode(spark, library):
     assert {r.doc_id: r.decoded for r in back.collect()} == {k: v.decoded for k, v in plain.items()}
 
 
-def test_small_table_gives_the_same(library):
-    table = bpe.WordTable(bpe.tokenizer_file(), limit=5)
-    for t in samples(60):
-        assert table.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+def test_blocks_and_parts_of_any_size_give_the_same(spark, library, monkeypatch):
+    texts = [*samples(120), "<|endoftext|>" * 3, " <|endoftext|>x", "x" * 50_000]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, "no id")], "doc_id long, text string").repartition(3)
+    for size, many, parts in ((1, 10, 1), (200, 5, 30), (1 << 20, 1000, 7)):
+        monkeypatch.setattr(bpe, "BLOCK_BYTES", size)
+        monkeypatch.setattr(bpe, "BLOCK_TEXTS", many)
+        got = [(r.doc_id, r.ids) for r in bpe.encode_texts(docs, bpe.tokenizer_file(), parts=parts).collect()]
+        want = [(k, library.encode(t, add_special_tokens=False).ids) for k, t in [*enumerate(texts), (0, texts[0]), (None, "no id")]]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_each_distinct_word_is_encoded_once(spark, tmp_path, monkeypatch):
+    """Two blocks share all their words: the table has each of them in one part."""
+    from tessera.llm.common import Scratch
+
+    monkeypatch.setattr(bpe, "BLOCK_TEXTS", 1)
+    docs = spark.createDataFrame([(k, "the same words again, the same") for k in range(4)], "doc_id long, text string").repartition(2)
+    split = bpe.split_words(docs, bpe.tokenizer_file(), 5, Scratch(spark)).collect()
+    assert len({r.block for r in split}) == 4
+    by_word = {}
+    for r in split:
+        if r.part >= 0:
+            n = int.from_bytes(r.words[:4], "little")
+            sizes = [int.from_bytes(r.words[4 * k + 4 : 4 * k + 8], "little") for k in range(n)]
+            at = 4 * n + 4
+            for k in sizes:
+                by_word.setdefault(bytes(r.words[at : at + k]), set()).add(r.part)
+                at += k
+    assert by_word.keys() == {b"the", b" same", b" words", b" again", b",", b" the"} or by_word.keys() >= {b"the", b" same", b" words"}
+    assert all(len(p) == 1 for p in by_word.values())
 
 
 def test_empty_table(spark):
