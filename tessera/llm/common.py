@@ -90,9 +90,12 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 def deal(df: DataFrame, part: str, parts: int) -> DataFrame:
     """Rows dealt so that each part, 0 to parts - 1, is a task of its own, and sorted by part.
 
-    Spark deals by the hash of a column, so each part gets the first number whose hash leads to its own partition.
+    Spark deals by the hash of a column, so each part gets the first number whose hash leads to its own partition; of
+    very many parts some share a task, which evens out.
     """
     spark = df.sparkSession
+    if parts > 4096:
+        return df.repartition(parts, part).sortWithinPartitions(part)
     tries = spark.range(parts * 40).select(F.col("id").cast("int").alias("x"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"))
     found = {r["p"]: r["x"] for r in tries.groupBy("p").agg(F.min("x").alias("x")).collect()}
     by = F.element_at(F.array(*[F.lit(found.get(p, p)) for p in range(parts)]), F.col(part) + 1)

@@ -19,30 +19,35 @@ def brute(docs):
     """The same model with dictionaries."""
     seqs = {d: [*words(t), None] for d, t in docs.items()}
     train = {d for d in docs if zlib.crc32(str(d).encode()) % 5 != 1}
-    uni, big, ctx = Counter(), Counter(), Counter()
+    grams = lambda seq: zip([None, None, *seq], [None, *seq], seq)
+    uni, big, tri, ctx, ctx2 = (Counter() for _ in range(5))
     for d in train:
-        for a, b in zip([None, *seqs[d]], seqs[d]):
-            uni[b] += 1
-            big[a, b] += 1
-            ctx[a] += 1
+        for k, (a, b, c) in enumerate(grams(seqs[d])):
+            uni[c] += 1
+            big[b, c] += 1
+            tri[k == 0, a, b, c] += 1
+            ctx[b] += 1
+            ctx2[k == 0, a, b] += 1
     total, distinct = sum(uni.values()), len(uni)
-    hist = np.zeros((M.BUCKETS, M.BINS, M.BINS))
+    one = lambda x: int(M._log_bin(np.array([x]), M.BINS)[0])
+    at = lambda x, y: int(M.bucket(np.array([x]), np.array([y]))[0])
+    hist = Counter()
     for d in train:
-        for a, b in zip([None, *seqs[d]], seqs[d]):
-            p2 = (big[a, b] - 1) / (ctx[a] - 1) if ctx[a] > 1 else 0.0
-            p1 = (uni[b] - 1) / max(total - 1, 1)
-            one = lambda x: int(M._log_bin(np.array([x]), M.BINS)[0])
-            hist[int(M.bucket(np.array([ctx[a] - 1]))[0]), one(p2), one(p1)] += 1
+        for k, (a, b, c) in enumerate(grams(seqs[d])):
+            n1, n2 = ctx[b] - 1, ctx2[k == 0, a, b] - 1
+            p3 = (tri[k == 0, a, b, c] - 1) / n2 if n2 else 0.0
+            p2 = (big[b, c] - 1) / n1 if n1 else 0.0
+            hist[at(n1, n2), one(p3), one(p2), one((uni[c] - 1) / max(total - 1, 1))] += 1
     u = 1 / (distinct + 1)
-    w = M.learn(hist, u)
+    w = M.learn(np.array(sorted(hist)).reshape(-1, 4), np.array([hist[x] for x in sorted(hist)], float), u)
     out = {}
     for d, seq in seqs.items():
         base = score = 0.0
-        for a, b in zip([None, *seq], seq):
-            base += math.log10((uni[b] + 0.5) / (total + 0.5 * (distinct + 1)))
-            k = w[int(M.bucket(np.array([ctx[a]]))[0])]
-            p = k[0] * big[a, b] / ctx[a] + k[2] * u if ctx[a] else (k[0] + k[2]) * u
-            score += math.log10(p + k[1] * uni[b] / max(total, 1))
+        for k, (a, b, c) in enumerate(grams(seq)):
+            base += math.log10((uni[c] + 0.5) / (total + 0.5 * (distinct + 1)))
+            n1, n2 = ctx[b], ctx2[k == 0, a, b]
+            x = w[at(n1, n2)]
+            score += math.log10(x[0] * (tri[k == 0, a, b, c] / n2 if n2 else u) + x[1] * (big[b, c] / n1 if n1 else u) + x[2] * uni[c] / max(total, 1) + x[3] * u)
         out[d] = (d not in train, len(seq), sum(uni[b] > 0 for b in seq), total, base, score)
     return out
 
@@ -78,3 +83,26 @@ def test_repeated_ids_and_empty_table(spark):
     rows = [(1, "a b"), (1, "a b"), (2, "b")]
     assert len(M.score(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()) == 3
     assert M.score(spark.createDataFrame([], "doc_id long, text string"), 2).collect() == []
+
+
+def test_triples_tell_what_pairs_cannot(spark):
+    """The word after "x" is fixed by the one before it."""
+    rng = random.Random(3)
+    docs = {k: " ".join(f"a{j} x c{j}" for j in (rng.randrange(20) for _ in range(60))) for k in range(100)}
+    out = [r for r in M.score(spark.createDataFrame([*docs.items()], "doc_id long, text string"), 2).collect() if r.held_out]
+    assert out and all(-r.score / r.n_tokens < 0.6 for r in out)  # a pair alone: (log10 20 + 0 + log10 20) / 3 = 0.87
+
+
+def test_very_many_empty_texts_are_more_than_one_block(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_TEXTS", 10)
+    from tessera.llm.common import Scratch
+
+    df = spark.createDataFrame([(k, None) for k in range(100)], "doc_id long, text string").coalesce(1)
+    assert M.pack(df, Scratch(spark)).count() == 10
+    assert {r.n_tokens for r in M.score(df, 2).collect()} == {1}
+
+
+def test_keys_grow_with_the_corpus():
+    assert [M.gram_bytes(n) for n in (0, 1 << 20, 1 << 30, 1 << 40, 1 << 47, 1 << 60)] == [5, 5, 6, 8, 8, 8]
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 1000).astype(np.uint64))
+    assert (M._unpack_keys(M._pack_keys(keys, 5), 5) == keys).all() and len(M._unpack_keys(M._pack_keys(keys[:0], 5), 5)) == 0
