@@ -8,11 +8,15 @@ a pair that is known is never followed again, so cycles end, and ``Limits.depth`
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import written
+
 TUPLE = "namespace string, object_id string, relation string, subject_namespace string, subject_id string, subject_relation string"
 KEY = TUPLE.replace(" string", "").split(", ")
 PUBLIC = ("public", "*", "")
@@ -39,9 +43,10 @@ class Through:
 
 @dataclass(frozen=True)
 class Namespace:
-    """relations: for each, the (namespace, relation or empty) that its subjects may be, or ("public", "") for everyone."""
+    """relations: for each, what its subjects may be: (namespace, "") any object, (namespace, relation) that userset of any
+    object, ("public", "") everyone; with a third part only that object id, or with "=" only the id of the object itself."""
 
-    relations: dict[str, list[tuple[str, str]]]
+    relations: dict[str, list[tuple[str, ...]]]
     permissions: dict[str, list[Inherit | Through]] = field(default_factory=dict)
 
 
@@ -64,7 +69,7 @@ class AuthzSchema:
             if len(ns.relations) + len(ns.permissions) > self.limits.items or ns.relations.keys() & ns.permissions.keys():
                 raise AuthzError(f"{name}: too many names, or one used twice")
             for relation, subjects in ns.relations.items():
-                for other, of in subjects:
+                for other, of, *_ in subjects:
                     known = self.namespaces.get(other)
                     if of and (known is None or of not in known.relations.keys() | known.permissions.keys()):
                         raise AuthzError(f"{name}.{relation}: no {other}#{of}")
@@ -73,14 +78,17 @@ class AuthzSchema:
                     if isinstance(rule, Inherit) and rule.name not in ns.relations.keys() | ns.permissions.keys():
                         raise AuthzError(f"{name}.{permission}: no {rule.name}")
                     if isinstance(rule, Through):
-                        targets = [self.namespaces.get(o) for o, _ in ns.relations.get(rule.relation, [])]
+                        targets = [self.namespaces.get(o) for o, *_ in ns.relations.get(rule.relation, [])]
                         if not any(t and rule.permission in t.relations.keys() | t.permissions.keys() for t in targets):
                             raise AuthzError(f"{name}.{permission}: nothing behind {rule.relation}->{rule.permission}")
 
     def allows(self, t: tuple) -> bool:
         """Whether a tuple may be written."""
         ns = self.namespaces.get(t[0])
-        return ns is not None and (t[3], t[5]) in ns.relations.get(t[2], [])
+        if ns is None or t[3] == PUBLIC[0] and t[4] != PUBLIC[1]:
+            return False
+        wanted = lambda only: not only or t[4] == (t[1] if only[0] == "=" else only[0])
+        return any((other, of) == (t[3], t[5]) and wanted(only) for other, of, *only in ns.relations.get(t[2], []))
 
 
 def check(schema: AuthzSchema, tuples: set[tuple], namespace: str, object_id: str, name: str, subject: tuple[str, str]) -> bool:
@@ -121,20 +129,17 @@ def _rules(spark: SparkSession, schema: AuthzSchema) -> tuple[DataFrame, DataFra
 
 
 def expand(schema: AuthzSchema, tuples: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Everything that the subjects (subject_namespace, subject_id) have: (namespace, object_id, name, s_ns, s_id)."""
+    """Everything that the subjects (subject_namespace, subject_id) have: (namespace, object_id, name, s_ns, s_id).
+
+    What everyone has comes once, with the public subject: it joins as a subject of its own, since permissions are unions.
+    """
     spark = tuples.sparkSession
     inherit, through = _rules(spark, schema)
-    who = subjects.select(F.col("subject_namespace").alias("s_ns"), F.col("subject_id").alias("s_id")).distinct()
+    who = subjects.select(F.col("subject_namespace").alias("s_ns"), F.col("subject_id").alias("s_id"))
+    who = who.union(spark.createDataFrame([PUBLIC[:2]], "s_ns string, s_id string")).distinct()
     plain = tuples.filter("subject_relation = ''")
     direct = plain.join(who, (F.col("subject_namespace") == F.col("s_ns")) & (F.col("subject_id") == F.col("s_id")))
-    public = plain.filter((F.col("subject_namespace") == PUBLIC[0]) & (F.col("subject_id") == PUBLIC[1])).crossJoin(F.broadcast(who)) if who.limit(1001).count() <= 1000 else None
-    names = ["namespace", "object_id", F.col("relation").alias("name"), "s_ns", "s_id"]
-    new = direct.select(*names)
-    if public is not None:
-        new = new.unionByName(public.select(*names))
-    else:
-        raise AuthzError("at most 1000 subjects a bulk check")
-    known = new = new.distinct().checkpoint() if _checkpointed(spark) else new.distinct()
+    known = new = written(direct.select("namespace", "object_id", F.col("relation").alias("name"), "s_ns", "s_id").distinct())
     for _ in range(schema.limits.depth):
         f = new.alias("f")
         up = f.join(inherit.alias("r"), (F.col("f.namespace") == F.col("r.namespace")) & (F.col("f.name") == F.col("r.name"))).select("f.namespace", "f.object_id", F.col("r.gives").alias("name"), "f.s_ns", "f.s_id")
@@ -145,22 +150,22 @@ def expand(schema: AuthzSchema, tuples: DataFrame, subjects: DataFrame) -> DataF
         child = f.join(parents, (F.col("t.subject_namespace") == F.col("f.namespace")) & (F.col("t.subject_id") == F.col("f.object_id")) & (F.col("r.permission") == F.col("f.name")))
         child = child.select("t.namespace", "t.object_id", F.col("r.gives").alias("name"), "f.s_ns", "f.s_id")
         fresh = up.union(member).union(child).distinct().join(known, ["namespace", "object_id", "name", "s_ns", "s_id"], "left_anti")
-        fresh = fresh.checkpoint() if _checkpointed(spark) else fresh.cache()
+        fresh = written(fresh)
         if fresh.isEmpty():
             return known
         known, new = known.union(fresh), fresh
     raise AuthzError(f"permissions are not settled after {schema.limits.depth} rounds")
 
 
-def _checkpointed(spark: SparkSession) -> bool:
-    return spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
 def check_many(schema: AuthzSchema, tuples: DataFrame, asked: DataFrame) -> DataFrame:
     """(ordinal, allowed) for questions (ordinal, namespace, object_id, name, subject_namespace, subject_id), in order."""
-    have = expand(schema, tuples, asked).withColumn("allowed", F.lit(True))
-    out = asked.alias("a").join(have.alias("h"), (F.col("a.namespace") == F.col("h.namespace")) & (F.col("a.object_id") == F.col("h.object_id")) & (F.col("a.name") == F.col("h.name")) & (F.col("a.subject_namespace") == F.col("h.s_ns")) & (F.col("a.subject_id") == F.col("h.s_id")), "left")
-    return out.select("a.ordinal", F.coalesce("h.allowed", F.lit(False)).alias("allowed")).orderBy("ordinal")
+    have = written(expand(schema, tuples, asked))
+    public = (F.col("s_ns") == PUBLIC[0]) & (F.col("s_id") == PUBLIC[1])
+    key = ["namespace", "object_id", "name", "subject_namespace", "subject_id"]
+    own = have.filter(~public).select("namespace", "object_id", "name", F.col("s_ns").alias("subject_namespace"), F.col("s_id").alias("subject_id"), F.lit(True).alias("_own"))
+    everyone = have.filter(public).select("namespace", "object_id", "name", F.lit(True).alias("_all"))
+    out = asked.join(own, key, "left").join(everyone, key[:3], "left")
+    return out.select("ordinal", (F.coalesce("_own", F.lit(False)) | F.coalesce("_all", F.lit(False))).alias("allowed")).orderBy("ordinal")
 
 
 def read_tuples(tuples: DataFrame, after: tuple | None = None, limit: int = 1000, **wanted: str) -> DataFrame:
@@ -188,3 +193,60 @@ def mutate_tuples(schema: AuthzSchema, tuples: DataFrame, add: list[tuple], remo
     if add:
         out = out.union(spark.createDataFrame(add, TUPLE))
     return out.distinct(), revision + 1
+
+
+class SchemaStore:
+    """Schemas by name and revision, and which of them a bucket is bound to, as JSON files in a shared folder."""
+
+    def __init__(self, where: str, spark: SparkSession):
+        self.where, self.spark = where.rstrip("/"), spark
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.where).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _write(self, name: str, text: str) -> None:
+        """A file appears whole, by a rename that only one writer wins."""
+        draft, target = self._path(f"{self.where}/drafts/{uuid.uuid4().hex}"), self._path(f"{self.where}/{name}")
+        out = self._fs.create(draft)
+        out.write(text.encode())
+        out.close()
+        self._fs.mkdirs(target.getParent())
+        if self._fs.exists(target) or not self._fs.rename(draft, target):
+            raise AuthzError(f"{name} is there already")
+
+    def _read(self, name: str) -> dict:
+        if not self._fs.exists(self._path(f"{self.where}/{name}")):
+            raise AuthzError(f"no {name}")
+        return json.loads(self.spark.read.text(f"{self.where}/{name}", wholetext=True).first()[0])
+
+    def _revisions(self, name: str) -> list[int]:
+        at = self._path(f"{self.where}/{name}")
+        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def put(self, name: str, schema: AuthzSchema, expected: int) -> int:
+        """A new revision, if the last one is the expected one (0: none)."""
+        if (self._revisions(f"schemas/{name}") or [0])[-1] != expected:
+            raise AuthzError(f"{name} isn't at revision {expected}")
+        plain = lambda r: {"inherit": r.name} if isinstance(r, Inherit) else {"relation": r.relation, "permission": r.permission}
+        body = {n: {"relations": ns.relations, "permissions": {p: [plain(r) for r in rules] for p, rules in ns.permissions.items()}} for n, ns in schema.namespaces.items()}
+        self._write(f"schemas/{name}/{expected + 1}", json.dumps(body, sort_keys=True))
+        return expected + 1
+
+    def get(self, name: str, revision: int | None = None) -> AuthzSchema:
+        known = self._revisions(f"schemas/{name}")
+        if not known:
+            raise AuthzError(f"no schema {name}")
+        body = self._read(f"schemas/{name}/{revision or known[-1]}")
+        rule = lambda r: Inherit(r["inherit"]) if "inherit" in r else Through(r["relation"], r["permission"])
+        return AuthzSchema({n: Namespace({k: [tuple(x) for x in v] for k, v in ns["relations"].items()}, {p: [rule(r) for r in rules] for p, rules in ns["permissions"].items()}) for n, ns in body.items()})
+
+    def bind(self, bucket: str, name: str, revision: int) -> None:
+        """The schema that a bucket's tuples follow from now on; its last binding counts."""
+        self.get(name, revision)
+        self._write(f"bindings/{bucket}/{len(self._revisions(f'bindings/{bucket}')) + 1}", json.dumps([name, revision]))
+
+    def of_bucket(self, bucket: str) -> AuthzSchema:
+        known = self._revisions(f"bindings/{bucket}")
+        if not known:
+            raise AuthzError(f"{bucket} is not bound")
+        return self.get(*self._read(f"bindings/{bucket}/{known[-1]}"))

@@ -49,3 +49,47 @@ def mirror(entries: DataFrame, done: DataFrame, through: int) -> DataFrame:
     checked = verify(entries.filter(F.col("log_index") <= through))
     bad = F.when(~F.col("ok"), F.raise_error("the log is broken").cast("boolean")).otherwise(True)
     return checked.filter(bad).join(have, GROUP, "left").filter(F.col("log_index") > F.coalesce("_have", F.lit(0))).drop("_have", "ok")
+
+
+ROLES = ("writer", "reader")
+
+
+def create_groups(members: DataFrame) -> DataFrame:
+    """Groups by their members (db, grp, member, role): a member has one role, and a group one writer at least."""
+    bad = F.raise_error(F.concat(F.lit("no role "), F.col("role"))).cast("string")
+    one = members.withColumn("role", F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise(bad)).distinct()
+    groups = one.groupBy(*GROUP, "member").agg(F.collect_set("role").alias("roles"))
+    twice = F.raise_error(F.concat(F.lit("two roles for "), F.col("member"))).cast("string")
+    return groups.select(*GROUP, "member", F.when(F.size("roles") == 1, F.get("roles", F.lit(0))).otherwise(twice).alias("role"))
+
+
+def describe(groups: DataFrame) -> DataFrame:
+    """(db, grp, members, writers, readers) of every group."""
+    count = lambda role: F.count(F.when(F.col("role") == role, 1))
+    return groups.groupBy(*GROUP).agg(F.count("*").alias("members"), count("writer").alias("writers"), count("reader").alias("readers"))
+
+
+def list_groups(groups: DataFrame, db: str, after: str | None = None, limit: int = 1000) -> DataFrame:
+    """The groups of a database in order, behind a cursor."""
+    own = groups.filter(F.col("db") == db).select("grp").distinct()
+    return (own if after is None else own.filter(F.col("grp") > after)).orderBy("grp").limit(limit)
+
+
+def may(groups: DataFrame, db: str, grp: str, member: str, write: bool) -> bool:
+    """Writers read too."""
+    found = groups.filter((F.col("db") == db) & (F.col("grp") == grp) & (F.col("member") == member))
+    return not (found.filter("role = 'writer'") if write else found).isEmpty()
+
+
+def register_snapshots(entries: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Snapshots (db, grp, log_index, hash, files) that stand at an entry of their logs; another is an error."""
+    at = entries.select(*GROUP, "log_index", F.col("hash").alias("_hash"))
+    joined = snapshots.join(at, [*GROUP, "log_index"], "left")
+    bad = F.raise_error(F.concat(F.lit("no such entry: "), F.col("log_index").cast("string"))).cast("string")
+    return joined.withColumn("hash", F.when(F.col("hash").eqNullSafe(F.col("_hash")), F.col("hash")).otherwise(bad)).drop("_hash")
+
+
+def latest_snapshots(snapshots: DataFrame, through: int | None = None) -> DataFrame:
+    """The newest snapshot of every group, at or before an index."""
+    own = snapshots if through is None else snapshots.filter(F.col("log_index") <= through)
+    return own.groupBy(*GROUP).agg(F.max_by(F.struct("log_index", "hash", "files"), "log_index").alias("s")).select(*GROUP, "s.*")

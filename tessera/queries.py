@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import analysis, paths
-from tessera.operators import authz, changelog, compute, gate, normalize, order, placement, ranking, store
+from tessera.functions import analysis, paths, vectors
+from tessera.operators import authz, changelog, compute, gate, normalize, order, placement, postings, store
 from tessera.operators.predicate import All, And, Compare, Equal, Exists, FullText, In, Not, Or, Phrase, Prefix, Range
+from tessera.operators.postings import Postings
 from tessera.operators.search import IndexQuery, join_results, search
 from tessera.plans import schema as S
-from tessera.plans.project import project
-from tessera.sources import objects
+from tessera.plans.project import IDENTITY, project
+from tessera.sources import objects, scratch
 from tessera.streaming import accounting, journal
 
 C = S.Capability
@@ -247,11 +248,17 @@ def order_multi_key(spark, sf):
     return search(ORDERS, orders(spark, sf), IndexQuery(order=(("priority", False), ("total", True)), limit=200)).hits.select("path")
 
 
-@query(f"WITH e AS (SELECT {_E} AS path, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 2 ELSE 1 END AS s, CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE round(value, 2) END AS v FROM events) SELECT path, row_number() OVER (ORDER BY s, v, path) AS up, row_number() OVER (ORDER BY s DESC, v DESC, path) AS down FROM e")
+@query(f"WITH e AS (SELECT {_E} AS path, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 2 ELSE 1 END AS s, CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE round(value, 2) END AS v FROM events), r AS (SELECT path, row_number() OVER (ORDER BY s, v, path) AS up, row_number() OVER (ORDER BY s DESC, v DESC, path) AS down FROM e) SELECT 'up' AS side, up AS rank, path FROM r WHERE up <= 1000 UNION ALL SELECT 'down', down, path FROM r WHERE down <= 1000")
 def order_missing_null(spark, sf):
+    """The largest pages in both directions."""
     rows = events(spark, sf)
-    at = lambda descending: F.row_number().over(Window.orderBy(*order.sort_columns(order.keys(EVENTS, (("value", descending),)))))
-    return hits(rows, at(False).alias("up"), at(True).alias("down"))
+
+    def side(name, descending):
+        ks = order.keys(EVENTS, (("value", descending),))
+        page = order.page(rows, ks, 1000)  # what is ranked is one page
+        return hits(page.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order.sort_columns(ks)))), F.lit(name).alias("side"), "rank")
+
+    return side("up", False).union(side("down", True)).select("side", "rank", "path")
 
 
 @query(_order_sql("o_totalprice", 100))
@@ -375,18 +382,35 @@ def bodies(spark, sf):
     return project(BODY, documents(spark, sf, "text"))
 
 
+_BUILT: dict[tuple, Postings] = {}
+
+
+def built(spark, sf, spec, rows) -> Postings:
+    """The postings of an index: built when an application first asks, read from then on."""
+    key = (spark.sparkContext.applicationId, sf, spec.fingerprint())
+    if key not in _BUILT:
+        _BUILT[key] = Postings.build(rows(spark, sf), spec, scratch.folder(spark, "postings"))
+    return _BUILT[key]
+
+
 @query(f"SELECT path FROM {_DOC_TOKENS} WHERE list_contains(t, 'the') AND list_contains(t, 'of') AND list_contains(t, 'from')")
 def text_all_terms(spark, sf):
-    from tessera.operators.predicate import compile_predicate
-
-    return hits(bodies(spark, sf).filter(compile_predicate(FullText("body", "The OF, from"), BODY)))
+    own = built(spark, sf, BODY, bodies)
+    return hits(own.rows(own.matching("The OF, from")))
 
 
 @query(f"SELECT path FROM {_DOC_TOKENS} WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0")
 def text_phrase(spark, sf):
+    own = built(spark, sf, BODY, bodies)
+    return hits(own.rows(own.matching("of the", phrase=True)))
+
+
+@query(f"SELECT path FROM {_DOC_TOKENS} WHERE list_contains(t, 'the') AND NOT list_contains(t, 'of') AND len(list_filter(range(1, len(t)), lambda i: t[i] = 'and' AND t[i + 1] = 'the')) = 0")
+def text_predicates(spark, sf):
+    """The same as predicates, which read the texts themselves and so go with any others."""
     from tessera.operators.predicate import compile_predicate
 
-    return hits(bodies(spark, sf).filter(compile_predicate(Phrase("body", "of the"), BODY)))
+    return hits(bodies(spark, sf).filter(compile_predicate(FullText("body", "the") & Not(FullText("body", "of")) & Not(Phrase("body", "and the")), BODY)))
 
 
 def _bm25_sql(words: list[str], fields: str, limit: int, tokens: str) -> str:
@@ -408,9 +432,17 @@ def _rounded():
     return F.round(F.col("score").cast("double"), 4).alias("score")
 
 
+RANKED = [order.Key("score", True), *map(order.Key, IDENTITY)]
+
+
 @query(_bm25_sql(["the", "of", "and"], "", 10, f"SELECT path, 'body' AS field, t FROM {_DOC_TOKENS}"))
 def text_bm25_top10(spark, sf):
-    return search(BODY, bodies(spark, sf), IndexQuery(text="the of and", limit=10)).hits.select("path", _rounded())
+    found = postings.search_text(built(spark, sf, BODY, bodies), "the of and", 10)
+    return order.page(found, RANKED, 10).select(F.col("result_path").alias("path"), _rounded())
+
+
+def talk(spark, sf):
+    return project(TALK, objects.as_objects(load(spark, sf, "conversations"), F.concat(_padded("talk", "conv_id"), F.lit("/"), F.col("turn").cast("string"))))
 
 
 TALK = S.FullTextIndex("talk", declared=(S.text("said", source=S.Expr("text")), S.text("who", source=S.Expr("role"))))
@@ -419,13 +451,18 @@ _TALK = "'talk/' || lpad(CAST(conv_id AS VARCHAR), 12, '0') || '/' || CAST(turn
 
 @query(_bm25_sql(["the", "user"], "", 25, f"SELECT {_TALK} AS path, 'said' AS field, {_TOKENS.format('text')} AS t FROM conversations UNION ALL SELECT {_TALK}, 'who', {_TOKENS.format('role')} FROM conversations"))
 def text_bm25_multifield(spark, sf):
-    own = objects.as_objects(load(spark, sf, "conversations"), F.concat(_padded("talk", "conv_id"), F.lit("/"), F.col("turn").cast("string")))
-    return search(TALK, project(TALK, own), IndexQuery(text="the USER", limit=25)).hits.select("path", _rounded())
+    return order.page(postings.search_text(built(spark, sf, TALK, talk), "the USER", 25), RANKED, 25).select(F.col("result_path").alias("path"), _rounded())
 
 
 @query(f"SELECT w AS token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS w FROM {_DOC_TOKENS}) GROUP BY 1")
 def text_term_stats(spark, sf):
-    return ranking.term_stats(bodies(spark, sf), ["body"]).select("token", "tf", "df")
+    return built(spark, sf, BODY, bodies).table("terms").select("token", "tf", "df")
+
+
+@query(_bm25_sql(["the", "of"], "", 10, f"SELECT path, 'body' AS field, t FROM {_DOC_TOKENS}"))
+def text_bm25_scan(spark, sf):
+    """Ranked search without postings, over the texts themselves."""
+    return search(BODY, bodies(spark, sf), IndexQuery(text="the of", limit=10)).hits.select("path", _rounded())
 
 
 @query(f"SELECT page_id, len({_TOKENS.format('html')}) AS n FROM pages")
@@ -471,11 +508,18 @@ def vector_l2_normalized(spark, sf):
     return _vector(spark, sf, S.Metric.DOT, True)
 
 
-def _hybrid(spark, sf, fusion):
-    spec = S.HybridIndex("hybrid", source=S.Expr("embedding"), dims=64, metric=S.Metric.COSINE, declared=(S.text("body", source=S.Expr("text")),), text_weight=0.5)
+HYBRID = S.HybridIndex("hybrid", source=S.Expr("embedding"), dims=64, metric=S.Metric.COSINE, declared=(S.text("body", source=S.Expr("text")),), text_weight=0.5)
+
+
+def hybrid_rows(spark, sf):
     own = load(spark, sf, "documents").join(load(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id")).select("doc_id", "lang", "text", "embedding")
-    rows = project(spec, objects.as_objects(own, _doc_path()))
-    return search(spec, rows, IndexQuery(text="the from", vector=tuple(_Q), fusion=fusion, limit=20)).hits.select("path", _rounded())
+    return project(HYBRID, objects.as_objects(own, _doc_path()))
+
+
+def _hybrid(spark, sf, fusion):
+    near = vectors.score(F.col("vector"), vectors.query_vector(_Q, HYBRID.dims, HYBRID.normalize), HYBRID.metric)
+    found = postings.search_hybrid(built(spark, sf, HYBRID, hybrid_rows), hybrid_rows(spark, sf), "the from", near, fusion)
+    return order.page(found, RANKED, 20).select(F.col("result_path").alias("path"), _rounded())
 
 
 def _hybrid_sql(union: bool) -> str:
@@ -653,6 +697,11 @@ WITH RECURSIVE t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_
 c AS (SELECT conv_id, i, sha256('|' || text) AS h FROM t WHERE i = 1 UNION ALL SELECT t.conv_id, t.i, sha256(c.h || '|' || t.text) FROM t JOIN c ON t.conv_id = c.conv_id AND t.i = c.i + 1)
 SELECT conv_id, count(*) AS entries, arg_max(h, i) AS hash, TRUE AS ok FROM c GROUP BY conv_id""")
 def changelog_chain_check(spark, sf):
+    return changelog.verify(conversation_log(spark, sf)).groupBy(F.col("grp").alias("conv_id")).agg(F.count("*").alias("entries"), F.max_by("hash", "log_index").alias("hash"), F.every("ok").alias("ok"))
+
+
+def conversation_log(spark, sf):
+    """Each conversation as a hash-linked log."""
     turns = load(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     start = F.array().cast("array<struct<previous:string,hash:string,payload:string>>")
 
@@ -660,8 +709,7 @@ def changelog_chain_check(spark, sf):
         before = F.when(F.size(log) > 0, F.get(log, F.size(log) - 1)["hash"])
         return F.concat(log, F.array(F.struct(before.alias("previous"), changelog.entry_hash(before, x["text"]).alias("hash"), x["text"].alias("payload"))))
 
-    log = turns.select("conv_id", F.posexplode(F.aggregate("t", start, step)).alias("log_index", "e")).select(F.lit("db").alias("db"), F.col("conv_id").alias("grp"), "log_index", "e.*")
-    return changelog.verify(log).groupBy(F.col("grp").alias("conv_id")).agg(F.count("*").alias("entries"), F.max_by("hash", "log_index").alias("hash"), F.every("ok").alias("ok"))
+    return turns.select("conv_id", F.posexplode(F.aggregate("t", start, step)).alias("log_index", "e")).select(F.lit("db").alias("db"), F.col("conv_id").alias("grp"), "log_index", "e.*")
 
 
 @query("""
@@ -678,21 +726,11 @@ def normalize_group_explode(spark, sf):
     return normalize.records(own).select("id", "ecosystem", "package", F.col("affected").cast("int").alias("affected"))
 
 
-@query("""
-WITH n AS (SELECT n_name AS node, 1 + n_regionkey AS weight FROM nation), k AS (SELECT c_custkey AS key FROM customer WHERE c_custkey <= 200),
-s AS (SELECT key, node, weight / -log2((CAST(('0x' || left(sha256(CAST(key AS VARCHAR) || '|' || node), 13)) AS BIGINT) + 0.5) / 4503599627370496) AS score FROM k, n)
-SELECT key, rank, node FROM (SELECT key, node, CAST(row_number() OVER (PARTITION BY key ORDER BY score DESC, node) AS INTEGER) AS rank FROM s) WHERE rank <= 3""")
-def placement_rank(spark, sf):
-    nodes = load(spark, sf, "nation").select(F.col("n_name").alias("node"), (F.col("n_regionkey") + 1).alias("weight"))
-    return placement.rank(load(spark, sf, "customer").filter("c_custkey <= 200").select(F.col("c_custkey").alias("key")), nodes)
-
-
 @query("""
 WITH n AS (SELECT n_name AS node, 1 + n_regionkey AS weight FROM nation), k AS (SELECT c_custkey AS key FROM customer),
 s AS (SELECT key, node, weight / -log2((CAST(('0x' || left(sha256(CAST(key AS VARCHAR) || '|' || node), 13)) AS BIGINT) + 0.5) / 4503599627370496) AS score FROM k, n)
 SELECT key, rank, node FROM (SELECT key, node, CAST(row_number() OVER (PARTITION BY key ORDER BY score DESC, node) AS INTEGER) AS rank FROM s) WHERE rank <= 3""")
-def placement_rank_all(spark, sf):
-    """placement_rank over every customer; that one ends at key 200, as its SQL does."""
+def placement_rank(spark, sf):
     nodes = load(spark, sf, "nation").select(F.col("n_name").alias("node"), (F.col("n_regionkey") + 1).alias("weight"))
     return placement.rank(load(spark, sf, "customer").select(F.col("c_custkey").alias("key")), nodes)
 
@@ -729,3 +767,6 @@ def ext_session_window(spark, sf):
     own = load(spark, sf, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
     return own.select("user_id", F.col("w.start").alias("start"), "n")
 
+
+# the other half registers itself in the same tables
+from tessera import system_queries as system_queries  # noqa: E402

@@ -33,6 +33,12 @@ def current_heads(versions: DataFrame) -> DataFrame:
     return newest.select("path", "h.*")
 
 
+def snapshot(log: DataFrame, fence: dict[str, int]) -> DataFrame:
+    """The log's entries before one offset of each source: what a build that starts now reads, whatever is written meanwhile."""
+    bound = log.sparkSession.createDataFrame([(s, float(o)) for s, o in fence.items()], "source string, _fence double")  # a row for each source
+    return log.join(F.broadcast(bound), "source").filter(F.col("offset") < F.col("_fence")).drop("_fence")
+
+
 def live(heads: DataFrame) -> DataFrame:
     return heads.filter(~F.col("deleted"))
 

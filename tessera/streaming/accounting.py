@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from tessera.functions.paths import prefixes
 
 
+def enable(wanted: DataFrame, prefix: str) -> DataFrame:
+    """The enabled prefixes with one more; its usage starts with a ``baseline``."""
+    return wanted.union(wanted.sparkSession.createDataFrame([(prefix,)], "prefix string")).distinct()
+
+
+def disable(wanted: DataFrame, prefix: str) -> DataFrame:
+    return wanted.filter(F.col("prefix") != prefix)
+
+
 def by_prefix(df: DataFrame, wanted: DataFrame, *sums) -> DataFrame:
     """Sums over every enabled prefix that a row's path is equal to or below; overlapping ones each count."""
     each = df.withColumn("prefix", F.explode(prefixes(F.col("path"))))

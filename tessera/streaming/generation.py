@@ -153,7 +153,7 @@ class Generations:
         sides = told.groupBy("source_path", "_segment").agg(F.max("source_version").alias("v"), F.sum(F.col("says").cast("decimal(38,0)")).alias("says"), F.count("*").alias("n"))
         # a tombstone without a version takes the highest one known before it
         known = F.max("v").over(Window.partitionBy("source_path").orderBy("_segment"))
-        sides = sides.withColumn("own", F.col("v").isNotNull()).withColumn("v", known)
+        sides = sides.withColumn("own", F.col("v").isNotNull()).withColumn("v", F.coalesce("v", known))
         best = sides.groupBy("source_path").agg(F.max(F.struct(F.coalesce("v", F.lit(-1).cast("decimal(20,0)")).alias("v"), "_segment", "own", "says", "n")).alias("w"))
         clash = sides.alias("s").join(best.alias("b"), "source_path").filter((F.col("s.v") == F.col("b.w.v")) & F.col("s.own") & F.col("b.w.own") & ((F.col("s.says") != F.col("b.w.says")) | (F.col("s.n") != F.col("b.w.n"))))
         bad = clash.select("source_path").distinct().withColumn("_clash", F.lit(True))

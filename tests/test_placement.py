@@ -14,5 +14,5 @@ def test_every_customer_is_placed(spark, tmp_path):
         unit = lambda node: (int(hashlib.sha256(f"{key}|{node}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52  # noqa: B023, E731
         best = sorted(nodes, key=lambda n: ((1 + n[1]) / math.log2(unit(n[0])), n[0]))[:3]
         want |= {(key, rank, n[0]) for rank, n in enumerate(best, 1)}
-    got = [tuple(r) for r in Q.QUERIES["placement_rank_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in Q.QUERIES["placement_rank"](spark, str(tmp_path)).collect()]
     assert len(got) == 3 * len(keys) and {*got} == want
