@@ -1,6 +1,6 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-A text is reduced to its letters (lower-cased) with one space between words. Character n-grams of NGRAMS orders are
+A text is reduced to its letters (lower-cased) and the marks that combine with them, with one space between words. Character n-grams of NGRAMS orders are
 hashed into BUCKETS; a feature is the n-gram's share of the text's n-grams times its inverse document frequency.
 The model is fitted by follow-the-regularised-leader with elastic-net penalties (per-coordinate steps, weights of
 exactly zero), on at most ``train_rows`` labelled training documents: those with the smallest hash of their id,
@@ -50,12 +50,12 @@ def grams(many: list[str], orders: tuple[int, ...] = NGRAMS, buckets: int = BUCK
 
 
 class _OnlyLetters(dict):
-    """For str.translate: letters stay, everything else becomes a space."""
+    """For str.translate: letters and combining marks stay, everything else becomes a space."""
 
     def __missing__(self, code: int) -> int:
         import unicodedata
 
-        self[code] = out = code if unicodedata.category(chr(code))[0] == "L" else 32
+        self[code] = out = code if unicodedata.category(chr(code))[0] in "LM" else 32
         return out
 
 
@@ -63,8 +63,10 @@ _TABLE = _OnlyLetters()
 
 
 def _letters(text: str) -> str:
+    """Words with a space around each; nothing, if marks are all there is."""
     words = text.lower().translate(_TABLE).split()
-    return f" {' '.join(words)} " if words else ""
+    out = f" {' '.join(words)} " if words else ""
+    return out if any(map(str.isalpha, set(out))) else ""
 
 
 @dataclass
