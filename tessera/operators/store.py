@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MODES = ("put", "put_if_absent", "put_if_version", "put_immutable", "delete", "delete_if_version")
+MODES = ("put", "put_if_absent", "put_if_version", "put_immutable", "delete", "delete_if_version", "delete_version")
 
 OUTCOME = "seq long, command_id string, path string, outcome string, version long, deleted boolean, content_hash string"
 
@@ -65,6 +65,11 @@ def _step(head: dict | None, m: dict, policy: BucketPolicy, by_program: bool) ->
         return ("replayed" if same else "immutable"), head
     if mode == "put_if_absent" and head is not None and not head["deleted"]:
         return "precondition_failed", head
+    if mode == "delete_version":  # a retained version goes; the current one leaves a tombstone
+        if head is None or m["expected"] is None or not 1 <= m["expected"] <= head["version"] or head["deleted"] and m["expected"] == head["version"]:
+            return "not_found", head
+        if m["expected"] < head["version"]:
+            return "version_removed", head
     if mode.endswith("_if_version") and (head is None or head["version"] != m["expected"]):
         return "precondition_failed", head
     if mode.startswith("delete") and (head is None or head["deleted"]):

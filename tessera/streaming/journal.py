@@ -52,6 +52,7 @@ def read_page(changes: DataFrame, start: dict[str, int], settled: dict[str, int]
     if atomic_through is not None:
         held = page.filter(F.col("commit_id") > atomic_through).groupBy("source").agg(F.min("offset").alias("stop"))
         ends |= {r["source"]: r["stop"] for r in held.collect()}  # a row for each source
+        # at most a row for each source of ``settled``
         page = page.join(F.broadcast(held), "source", "left").filter(F.col("stop").isNull() | (F.col("offset") < F.col("stop")))
     return page.filter(visible(prefix)).select("source", "offset", "path", "version", "deleted"), {s: max(start.get(s, 0), e) for s, e in ends.items()}
 

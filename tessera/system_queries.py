@@ -6,19 +6,19 @@ write goes to the application's folder (``sources.scratch``).
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import paths
 from tessera.operators import authz, changelog, compute, order, program, store
-from tessera.operators.predicate import Compare, Equal, In, Not, compile_predicate, decode_literal
+from tessera.operators.predicate import Compare, Equal, In, Not, Prefix, compile_predicate, decode_literal
+from tessera.operators.scan import plan
 from tessera.operators.search import Freshness, IndexQuery, search
 from tessera.plans import schema as S
 from tessera.plans.catalog import Catalog
 from tessera.plans.project import project
-from tessera.queries import _O, EVENTS, GRAPH, ORDERS, _path, events, graph, hits, load, orders, query
+from tessera.queries import _O, EVENTS, GRAPH, ORDERS, _path, conversation_log, events, graph, hits, load, orders, query
 from tessera.queries import _padded as padded
 from tessera.sources import objects, scratch
 from tessera.streaming import accounting, journal
@@ -340,6 +340,22 @@ def mutation_by_program(spark, sf):
     return out.agg(F.count("*").alias("writes"), F.count(F.when(F.col("outcome") == "applied", 1)).alias("applied"))
 
 
+@query("""
+WITH RECURSIVE m AS (SELECT event_id AS seq, user_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT seq, user_id, t, k, CASE WHEN t = 'error' THEN 'not_found' ELSE 'applied' END AS outcome, CASE WHEN t = 'error' THEN 0 ELSE 1 END AS version, FALSE AS deleted FROM m WHERE k = 1
+  UNION ALL SELECT m.seq, m.user_id, m.t, m.k,
+    CASE WHEN m.t <> 'error' THEN 'applied' WHEN f.version < 2 OR f.deleted AND f.version = 2 THEN 'not_found' WHEN f.version > 2 THEN 'version_removed' ELSE 'applied' END,
+    CASE WHEN m.t <> 'error' OR f.version = 2 AND NOT f.deleted THEN f.version + 1 ELSE f.version END,
+    CASE WHEN m.t <> 'error' THEN FALSE WHEN f.version = 2 AND NOT f.deleted THEN TRUE ELSE f.deleted END
+  FROM f JOIN m ON m.user_id = f.user_id AND m.k = f.k + 1)
+SELECT seq, outcome, CAST(version AS BIGINT) AS version FROM f""")
+def mutation_delete_version(spark, sf):
+    """Errors delete the second version of their user: a retained one goes, the current one leaves a tombstone."""
+    gone = F.col("event_type") == "error"
+    own = load(spark, sf, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("command_id"), F.concat(F.lit("users/"), F.col("user_id").cast("string")).alias("path"), F.when(gone, "delete_version").otherwise("put").alias("mode"), F.when(gone, 2).cast("long").alias("expected"), F.col("props").alias("content_hash"))
+    return store.fold(own).select("seq", "outcome", F.coalesce("version", F.lit(0)).alias("version"))
+
+
 # permissions ---------------------------------------------------------------------------------------------------------
 
 
@@ -348,7 +364,7 @@ def authz_bulk_check(spark, sf):
     """May ann, bob and cat view each customer?"""
     asked = load(spark, sf, "customer").select(F.explode(F.array(*map(F.lit, ("ann", "bob", "cat")))).alias("subject_id"), "c_custkey")
     n = load(spark, sf, "customer").count()
-    rank = F.row_number().over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("subject_id").orderBy("c_custkey")) - 1
+    rank = F.row_number().over(Window.partitionBy("subject_id").orderBy("c_custkey")) - 1
     at = rank + F.when(F.col("subject_id") == "ann", 0).when(F.col("subject_id") == "bob", n).otherwise(2 * n)
     asked = asked.select(at.cast("long").alias("ordinal"), F.lit("customer").alias("namespace"), F.col("c_custkey").cast("string").alias("object_id"), F.lit("view").alias("name"), F.lit("user").alias("subject_namespace"), "subject_id")
     return authz.check_many(GRAPH, graph(spark, sf), asked)
@@ -418,12 +434,6 @@ def authz_schema_catalog(spark, sf):
 # logs ----------------------------------------------------------------------------------------------------------------
 
 
-def _conversation_log(spark, sf) -> DataFrame:
-    from tessera.queries import conversation_log
-
-    return conversation_log(spark, sf)
-
-
 _CHAIN = """
 WITH RECURSIVE t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
 c AS (SELECT conv_id, i, sha256('|' || text) AS h FROM t WHERE i = 1 UNION ALL SELECT t.conv_id, t.i, sha256(c.h || '|' || t.text) FROM t JOIN c ON t.conv_id = c.conv_id AND t.i = c.i + 1)"""
@@ -432,14 +442,14 @@ c AS (SELECT conv_id, i, sha256('|' || text) AS h FROM t WHERE i = 1 UNION ALL S
 @query(f"{_CHAIN} SELECT conv_id, i AS log_index, h AS hash FROM c WHERE i > 1 AND i <= 3")
 def changelog_mirror(spark, sf):
     """A mirror that has the first entry of each log copies the verified rest, up to a checkpoint."""
-    log = _conversation_log(spark, sf).withColumn("log_index", F.col("log_index") + 1)
+    log = conversation_log(spark, sf).withColumn("log_index", F.col("log_index") + 1)
     return changelog.mirror(log, log.filter("log_index = 1"), 3).select(F.col("grp").alias("conv_id"), F.col("log_index").cast("long").alias("log_index"), "hash")
 
 
 @query(f"{_CHAIN}, o AS (SELECT conv_id, max(i) AS n, arg_max(h, i) AS h FROM c GROUP BY 1) SELECT n + 1 AS entries, sha256(h || '|' || 'one more') AS hash, TRUE AS repeated, 'refused' AS late FROM o WHERE conv_id = (SELECT min(conv_id) FROM o)")
 def changelog_append(spark, sf):
     """An append to one log behind its last entry; again, which changes nothing; and one behind an older entry."""
-    log = _conversation_log(spark, sf).withColumn("log_index", (F.col("log_index") + 1).cast("long")).select("db", F.col("grp").cast("string").alias("grp"), "log_index", "previous", "payload", "hash")
+    log = conversation_log(spark, sf).withColumn("log_index", (F.col("log_index") + 1).cast("long")).select("db", F.col("grp").cast("string").alias("grp"), "log_index", "previous", "payload", "hash")
     one = log.agg(F.min(F.col("grp").cast("long"))).first()[0]
     own = scratch.written(log.filter(F.col("grp") == str(one)))
     last = own.orderBy(F.desc("log_index")).first()
@@ -464,7 +474,7 @@ def changelog_groups(spark, sf):
 @query(f"{_CHAIN} SELECT conv_id, max(i) AS log_index, arg_max(h, i) AS hash FROM c GROUP BY 1")
 def changelog_snapshots(spark, sf):
     """A snapshot of every log at its end: registered against the log, and the newest one got back."""
-    log = _conversation_log(spark, sf).withColumn("log_index", F.col("log_index") + 1)
+    log = conversation_log(spark, sf).withColumn("log_index", F.col("log_index") + 1)
     ends = log.groupBy("db", "grp").agg(F.max_by(F.struct("log_index", "hash"), "log_index").alias("e")).select("db", "grp", "e.log_index", "e.hash")
     files = ends.withColumn("files", F.array(F.concat(F.lit("snap/"), F.col("grp").cast("string"))))
     early = files.withColumn("log_index", F.lit(1)).drop("hash").join(log.select("db", "grp", "log_index", "hash"), ["db", "grp", "log_index"])
@@ -519,7 +529,7 @@ def query_limits(spark, sf):
     cases = {
         "range on status": lambda: compile_predicate(Compare("status", "<", "x"), ORDERS),
         "facet on total": lambda: search(ORDERS, own, IndexQuery(facets=(compute.Facet("total"),))),
-        "prefix on total": lambda: compile_predicate(__import__("tessera.operators.predicate", fromlist=["Prefix"]).Prefix("total", "1"), ORDERS),
+        "prefix on total": lambda: compile_predicate(Prefix("total", "1"), ORDERS),
         "float for key": lambda: decode_literal(ORDERS.field("key"), "1.5"),
         "many values": lambda: compile_predicate(In("status", tuple(map(str, range(65)))), ORDERS),
         "bad page": lambda: search(ORDERS, own, IndexQuery(limit=1001)),
@@ -664,10 +674,5 @@ def accounting_enabled(spark, sf):
 @query(f"SELECT {_path('events', 'event_id')} AS path, pushed, residual FROM events, (SELECT 'kind' AS pushed, 'k' AS residual) WHERE event_type = 'click' AND CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS BIGINT) < 5")
 def scan_contract(spark, sf):
     """A scan tells which predicates it answers itself, and which are left to be tested on what it returns."""
-    from tessera.operators.scan import plan
-
     scan = plan(EVENTS, [Equal("kind", "click"), Compare("k", "<", 5)], stored={"kind"})
     return hits(scan.run(events(spark, sf)), F.lit(",".join(p.field for p in scan.exact)).alias("pushed"), F.lit(",".join(p.field for p in scan.residual)).alias("residual"))
-
-
-__all__ = ["SORTED", "json", "SparkSession"]
