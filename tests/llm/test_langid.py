@@ -67,7 +67,7 @@ def test_marks_belong_to_their_words():
 def test_ftrl_matches_a_plain_one():
     """Coordinate by coordinate, as the update is written down."""
     rng = np.random.default_rng(5)
-    rows, classes, alpha, beta, l1, l2 = 6, 3, 0.4, 1.0, 0.05, 0.1
+    rows, classes, alpha, beta, l1, l2 = 6, 3, 0.4, 1.0, 0.4, 0.1
     model = L.Ftrl(rows, classes, alpha, beta, l1, l2)
     z, n = np.zeros((rows, classes)), np.zeros((rows, classes))
 
