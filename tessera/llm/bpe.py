@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, deal, map_batches, table, texts
 
 #: Production parameters: bytes and texts of a block, bytes of words in one part of the word table.
-BLOCK_BYTES, BLOCK_TEXTS, PART_BYTES = 8 << 20, 16_384, 8 << 20
+BLOCK_BYTES, BLOCK_TEXTS, PART_BYTES = 16 << 20, 16_384, 8 << 20
 
 #: The pre-tokenisation pattern of byte-level BPE, with white space by its Unicode property.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -110,11 +110,12 @@ class Words:
 
 
 class Block:
-    """Texts as numbers of distinct words."""
+    """Texts as numbers of distinct words, in the order in which they first occur."""
 
     def __init__(self):
         self.plain: dict[str, int] = {}
         self.spaced: dict[str, int] = {}  # without their space
+        self.words: list[str] = []
         self.ids: list[int | None] = []
         self.sizes: list[int] = []
         self.places: list[np.ndarray] = []
@@ -122,48 +123,74 @@ class Block:
 
     def add(self, doc_id: int | None, words: tuple[list[str], list[str]], size: int) -> None:
         at = []
-        for known, own, odd in ((self.plain, words[0], 0), (self.spaced, words[1], 1)):
-            new = set(own).difference(known)
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            # plain words have even numbers, spaced ones odd ones
-            at.append(np.fromiter(map(known.__getitem__, own), np.uint32, len(own)) * np.uint32(2) + np.uint32(odd))
+        for known, own, before in ((self.plain, words[0], ""), (self.spaced, words[1], " ")):
+            new = [w for w in dict.fromkeys(own) if w not in known]
+            known.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+            self.words += [before + w for w in new] if before else new
+            at.append(np.fromiter(map(known.__getitem__, own), np.uint32, len(own)))
         self.places.append(np.concatenate(at))
         self.ids.append(doc_id)
         self.sizes.append(len(self.places[-1]))
         self.held += size
 
     def rows(self, parts: int) -> list[tuple]:
-        """(block, part, ids, sizes, places, words) of the texts, whose part is -1, and of the words dealt to each part."""
+        """(block, kind, part, ids, sizes, places, words): the texts (kind 0), and the words dealt to each part (kind 1)."""
         import uuid
 
         import xxhash
 
-        words = [*self.plain, *(" " + w for w in self.spaced)]
-        data = [w.encode() for w in words]
-        part = np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data)) % np.uint64(parts) if data else np.zeros(0, np.uint64)
+        data = [w.encode() for w in self.words]
+        part = (np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data)) % np.uint64(parts)).astype(np.uint32)
         order = np.argsort(part, kind="stable")
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        places = np.concatenate([*self.places, np.zeros(0, np.uint32)]).astype(np.uint32)
-        number = places >> np.uint32(1)
-        number[places & np.uint32(1) == 1] += np.uint32(len(self.plain))
         block = uuid.uuid4().int >> 65
-        out = [(block, -1, self.ids, np.array(self.sizes, np.int64).tobytes(), _packed(rank[number]), None)]
-        cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64)).tolist()
+        places = np.concatenate([*self.places, np.zeros(0, np.uint32)]).astype(np.uint32)
+        out = [(block, 0, -1, self.ids, np.array(self.sizes, np.int64).tobytes(), _packed(_referred(places)), _packed(part))]
+        cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
         for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if b > a:
-                own = [data[k] for k in order[a:b].tolist()]
-                out.append((block, p, None, None, None, np.array([b - a, *map(len, own)], np.uint32).tobytes() + b"".join(own)))
+                out.append((block, 1, p, None, None, None, _words_packed([data[k] for k in order[a:b].tolist()])))
         return out
 
 
+def _referred(places: np.ndarray) -> np.ndarray:
+    """0 where a word occurs for the first time, whose number is the next one; else its number plus 1."""
+    before = np.concatenate([[-1], np.maximum.accumulate(places.astype(np.int64))])[: len(places)]
+    return np.where(places > before, 0, places + np.uint32(1)).astype(np.uint32)
+
+
+def _placed(code: np.ndarray) -> np.ndarray:
+    new = code == 0
+    return np.where(new, np.cumsum(new) - 1, code.astype(np.int64) - 1)
+
+
+def _words_packed(words: list[bytes]) -> bytes:
+    """Words, without a line break inside, as lines; those with one by their sizes."""
+    plain = not any(b"\n" in w for w in words)
+    body = b"\n".join(words) if plain else np.array([len(words), *map(len, words)], np.uint32).tobytes() + b"".join(words)
+    return bytes([plain]) + len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _words_opened(packed: bytes) -> list[bytes]:
+    body = pa.decompress(packed[9:], int.from_bytes(packed[1:9], "little"), codec="zstd", asbytes=True)
+    if packed[0]:
+        return body.split(b"\n")
+    n = int(np.frombuffer(body, np.uint32, 1)[0])
+    at = (np.concatenate([[0], np.cumsum(np.frombuffer(body, np.uint32, n, 4), dtype=np.int64)]) + 4 * (n + 1)).tolist()
+    return [body[a:b] for a, b in zip(at, at[1:])]
+
+
 def _packed(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(8, "little") + pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+    """Small numbers: their bytes in planes, of which the upper ones compress away."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _opened(b: bytes) -> np.ndarray:
     n = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(b[8:], 4 * n, codec="zstd", asbytes=True), np.uint32) if n else np.zeros(0, np.uint32)
+    if not n:
+        return np.zeros(0, np.uint32)
+    planes = np.frombuffer(pa.decompress(b[8:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 @lru_cache(1)
@@ -172,11 +199,11 @@ def of_tokenizer(tokenizer_json: str) -> Words:
     return Words(tokenizer_json)
 
 
-_ROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("places", pa.binary()), ("words", pa.binary())])
+_ROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("places", pa.binary()), ("words", pa.binary())])
 
 
-def split_words(docs: DataFrame, tokenizer_json: str, parts: int, scratch: Scratch) -> DataFrame:
-    """Blocks of texts (part -1) and their distinct words by part."""
+def split_words(docs: DataFrame, tokenizer_json: str, parts: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Blocks of texts, and their distinct words by part, each as a table of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, block = of_tokenizer(tokenizer_json), Block()
@@ -193,7 +220,7 @@ def split_words(docs: DataFrame, tokenizer_json: str, parts: int, scratch: Scrat
         if block.ids:
             yield out()
 
-    return scratch.save(map_batches(texts(docs), run, "block long, part int, ids array<long>, sizes binary, places binary, words binary"))
+    return scratch.save_kinds(map_batches(texts(docs), run, "block long, kind int, part int, ids array<long>, sizes binary, places binary, words binary"))
 
 
 def encode_words(split: DataFrame, tokenizer_json: str, parts: int, scratch: Scratch) -> DataFrame:
@@ -206,17 +233,15 @@ def encode_words(split: DataFrame, tokenizer_json: str, parts: int, scratch: Scr
             for block, part, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "words"))):
                 if part != now:
                     known, now = {}, part
-                n = int(np.frombuffer(packed, np.uint32, 1)[0])
-                at = np.concatenate([[0], np.cumsum(np.frombuffer(packed, np.uint32, n, 4), dtype=np.int64)]) + 4 * (n + 1)
-                own = [packed[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
+                own = _words_opened(packed)
                 for w in own:
                     if w not in known:
                         known[w] = words.encode(w.decode())
                 ids = [known[w] for w in own]
-                out.append((block, part, _packed(np.fromiter(map(len, ids), np.uint32, n)), _packed(np.fromiter(chain.from_iterable(ids), np.uint32))))
+                out.append((block, part, _packed(np.fromiter(map(len, ids), np.uint32, len(ids))), _packed(np.fromiter(chain.from_iterable(ids), np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "part", "sizes", "places"])
 
-    asked = split.filter("part >= 0").select("block", "part", "words")
+    asked = split.select("block", "part", "words")
     return scratch.save(map_batches(deal(asked, "part", parts), run, "block long, part int, sizes binary, places binary"))
 
 
@@ -226,17 +251,22 @@ def encode_texts(docs: DataFrame, tokenizer_json: str, digest: bool = False, par
     if parts is None:  # the distinct words of a block are a small share of its bytes, by far
         size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
         parts = max(12, -(-size // (8 * PART_BYTES)))
-    split = split_words(docs, tokenizer_json, parts, scratch)
-    answers = encode_words(split, tokenizer_json, parts, scratch)
-    both = split.filter("part = -1").select("block", "part", "ids", "sizes", "places").unionByName(answers, allowMissingColumns=True)
+    blocks, asked = split_words(docs, tokenizer_json, parts, scratch)
+    answers = encode_words(asked, tokenizer_json, parts, scratch)
+    scratch.drop(asked)
+    both = blocks.select("block", "part", "ids", "sizes", "places", "words").unionByName(answers, allowMissingColumns=True)
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = of_tokenizer(tokenizer_json)
 
-        def out(docs: list, sizes: bytes, places: bytes, answers: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        def out(docs: list, sizes: bytes, places: bytes, part: bytes, answers: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
             per_word = np.concatenate([np.zeros(1, np.int64), *(_opened(a) for a, _ in answers)]).cumsum()
-            table, rows = np.concatenate([np.zeros(0, np.uint32), *(_opened(b) for _, b in answers)]).astype(np.uint32), _opened(places).astype(np.int64)
+            table, rows = np.concatenate([np.zeros(0, np.uint32), *(_opened(b) for _, b in answers)]).astype(np.uint32), _placed(_opened(places))
+            order = np.argsort(_opened(part), kind="stable")  # answers come part by part
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            rows = rank[rows]
             ends = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))])
             a = 0
             while a < len(docs):  # as many texts at a time as have some million words
@@ -257,13 +287,13 @@ def encode_texts(docs: DataFrame, tokenizer_json: str, digest: bool = False, par
 
         now, told = None, []
         for batch in batches:
-            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "ids", "sizes", "places"))):
+            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "ids", "sizes", "places", "words"))):
                 if part == -1:
                     if now is not None:
                         yield from out(*now, told)
                     now, told = row, []
                 else:
-                    told.append(row[1:])
+                    told.append(row[1:3])
         if now is not None:
             yield from out(*now, told)
 

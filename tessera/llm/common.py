@@ -45,18 +45,32 @@ class Scratch:
         self.spark, self.root, self.compression = spark, f"{scratch_root(spark)}/{uuid.uuid4().hex}", compression
         self._n = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def _write(self, df: DataFrame, *by: str) -> str:
         self._n += 1
         path, before = f"{self.root}/{self._n}", self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.option("compression", self.compression).parquet(path)
+            df.write.option("compression", self.compression).partitionBy(*by).parquet(path)
         finally:
             self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        return path
+
+    def _read(self, path: str, schema) -> DataFrame:
+        out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def save(self, df: DataFrame) -> DataFrame:
+        return self._read(self._write(df), df.schema)
+
+    def save_kinds(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of ``kind`` 0 and 1, each as a table of its own, from one pass."""
+        path, plain = self._write(df, "kind"), df.drop("kind").schema
+        for k in (0, 1):  # a kind without rows has no folder
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={k}")
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+        return tuple(self._read(f"{path}/kind={k}", plain) for k in (0, 1))
+
     def drop(self, *dfs: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in dfs:
