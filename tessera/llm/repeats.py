@@ -13,7 +13,11 @@ The different windows of a key are sorted in a shard: shards are cut between key
 are concatenated and suffix-sorted by external induction (``suffixarray``), and the common prefixes tell which starts
 share ``length`` bytes. A key with more than WINDOWS different windows (a passage that very many texts surround) is
 dealt anew by narrower cores: its windows are cut into fewer starts, whose strings share more bytes, until the keys
-fit. A window of one start is its own core, so that ends with one window a key, no key is hot, and nothing is dropped.
+fit. Starts alone in their windows need no sorting, so that ends, no key is hot, and nothing is dropped.
+
+Two lengths are looked for in one pass: the strings to remove, and shorter ones, of which the passages of over
+PASSAGE_WORDS words that stand elsewhere too are made up (many of those are shorter than ``length``; they are counted
+and stay). Minimisers and cores are those of the shorter strings, and a window's text reaches as far as the longer ones.
 
 Defined results: strings are judged on UTF-8 bytes of the input; null texts are empty; matches never cross texts;
 texts shorter than ``length`` lose nothing; a row that repeats another (same id and text) is one more copy of it.
@@ -27,6 +31,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +40,9 @@ from tessera.llm.common import Scratch, groups, map_batches, string_bytes, table
 from tessera.llm.suffixarray import Sorter
 
 #: Production parameters: bytes of a repeated string, bytes hashed for minimisers, different windows of a key in one shard, starts of a window when a key is dealt anew, bytes of a shard, bytes of a sorter's queue in memory, bytes worked on at once.
-LENGTH, GRAM, WINDOWS, FINER, SHARD_BYTES, MEMORY, PIECE = 400, 64, 512, (21, 3, 1), 4 << 20, 4 << 20, 1 << 20
+LENGTH, GRAM, WINDOWS, FINER, SHARD_BYTES, MEMORY, PIECE = 400, 32, 512, (21, 3, 1), 4 << 20, 4 << 20, 1 << 20
+#: Production parameters of passages: bytes of the strings that they are made up of, and the words that they have more than.
+PASSAGE, PASSAGE_WORDS = 300, 50
 
 #: Low bits of a packed minimiser: its place in the piece.
 _PLACE = np.uint64((1 << 21) - 1)
@@ -128,72 +135,75 @@ def windows(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
         yield a[some] + low, n[some], place[some] + low
 
 
-def window_keys(data: memoryview, a: np.ndarray, n: np.ndarray, place: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the windows' cores, and of their bytes (two columns)."""
+def window_keys(data: memoryview, a: np.ndarray, n: np.ndarray, size: np.ndarray, place: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the windows' cores, and of their ``size`` bytes and ``n`` starts (two columns)."""
     half = (length - gram + 1) // 2
     left = place - a >= half
     low = np.where(left, place - half, place)
     high = np.where(left, place + gram, place + length - half + 1)
     h = np.fromiter((xxhash.xxh64_intdigest(data[x:y], s) for x, y, s in zip(low.tolist(), high.tolist(), left.tolist())), np.uint64, len(a))
-    return h.view(np.int64), _content(data, a, n + length - 1)
+    return h.view(np.int64), _content(data, a, n, size)
 
 
-def _content(data: memoryview, a: np.ndarray, size: np.ndarray) -> np.ndarray:
-    digests = b"".join([xxhash.xxh3_128_digest(data[x : x + k]) for x, k in zip(a.tolist(), size.tolist())])
+def _content(data: memoryview, a: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+    digests = b"".join([xxhash.xxh3_128_digest(data[x : x + k], m) for x, k, m in zip(a.tolist(), size.tolist(), n.tolist())])
     return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
-def mark_shard(parts: list[tuple[int, bytes]], length: int = LENGTH, memory: int = MEMORY) -> list[list[tuple[int, int]]]:
-    """For windows with their numbers of copies, the spans of each that repeated strings cover, by its suffix array."""
-    sizes = np.array([len(b) for _, b in parts], np.int64)
+def mark_shard(parts: list[tuple[int, int, bytes]], lengths: tuple[int, ...] = (LENGTH,), memory: int = MEMORY) -> list[list[tuple[int, int, int]]]:
+    """For windows (copies, starts, text), (length, from, to) of the spans that repeated strings of each length cover, by the suffix array.
+
+    Only a window's first ``starts`` places count: what follows is the text of other windows, which hold it as their own.
+    """
+    sizes = np.array([len(b) for *_, b in parts], np.int64)
     at = np.cumsum(sizes + 1) - sizes - 1
     text = np.ones(int(sizes.sum()) + len(parts) + 1, np.uint16)  # 1 ends a window, 0 the shard
     text[-1] = 0
-    for (_, b), a in zip(parts, at.tolist()):
+    for (*_, b), a in zip(parts, at.tolist()):
         text[a : a + len(b)] = np.frombuffer(b, np.uint8).astype(np.uint16) + 2
-    order, prefix = Sorter(text, length, memory).sort()
-    equal = prefix >= length
-    repeated = equal.copy()
-    repeated[:-1] |= equal[1:]
-    hit = np.zeros(len(text), bool)
-    hit[order[repeated]] = True
-    out: list[list[tuple[int, int]]] = [[] for _ in parts]
-    for k, (n, b) in enumerate(parts):
-        if n > 1:
-            out[k] = [(0, len(b))]
-    starts = np.flatnonzero(hit)
-    if len(starts):
-        owner = np.searchsorted(at, starts, side="right") - 1
-        inside = starts + length <= (at + sizes)[owner]
-        starts, owner = starts[inside], owner[inside]
-    if len(starts):
-        new = np.concatenate([[True], (np.diff(starts) > length) | (np.diff(owner) > 0)])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(starts)) - 1
-        for k, a, b in zip(owner[first].tolist(), starts[first].tolist(), starts[last].tolist()):
-            if parts[k][0] == 1:
-                out[k].append((a - int(at[k]), b - int(at[k]) + length))
+    order, prefix = Sorter(text, max(lengths), memory).sort()
+    copies, starts = (np.array([p[k] for p in parts], np.int64) for k in (0, 1))
+    out: list[list[tuple[int, int, int]]] = [[(n, 0, len(b)) for n in lengths if len(b) >= n] if c > 1 else [] for c, _, b in parts]
+    for length in lengths:
+        # how often each window's own places stand in all, over neighbours in order that share the length
+        n = np.maximum(np.minimum(starts, sizes - length + 1), 0)
+        place = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        owner = np.repeat(np.arange(len(parts)), n)
+        weight = np.zeros(len(text), np.uint8)
+        weight[place] = np.minimum(copies[owner], 2)
+        new = np.flatnonzero(prefix < length)
+        total = np.add.reduceat(weight[order], new, dtype=np.int64)
+        many = np.zeros(len(text), bool)
+        many[order] = np.repeat(total > 1, np.diff(np.append(new, len(order))))
+        hit = many[place] & (copies[owner] == 1)
+        place, owner = place[hit], owner[hit]
+        if len(place):
+            new = np.concatenate([[True], (np.diff(place) > length) | (np.diff(owner) > 0)])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(place)) - 1
+            for k, a, b in zip(owner[first].tolist(), place[first].tolist(), place[last].tolist()):
+                out[k].append((length, a - int(at[k]), b - int(at[k]) + length))
     return out
 
 
 _WINDOW = "h long, w1 long, w2 long"
 
 
-def _sorted_marks(pieces: DataFrame, length: int, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY) -> DataFrame:
-    """(h, w1, w2, from, to): the repeated spans of windows (h, w1, w2, c, window), which are different ones of their keys."""
+def _sorted_marks(pieces: DataFrame, lengths: tuple[int, ...], shard_bytes: int = SHARD_BYTES, memory: int = MEMORY) -> DataFrame:
+    """(h, w1, w2, length, from, to): the repeated spans of windows (h, w1, w2, c, n, window), which are different ones of their keys."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, int, bytes]] = []
 
         def out() -> pa.RecordBatch:
-            spans = mark_shard([(c, b) for *_, c, b in held], length, memory)
-            rows = [(h, w1, w2, a, b) for (h, w1, w2, _, _), own in zip(held, spans) for a, b in own]
-            cols = [*zip(*rows)] or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2)], names=["h", "w1", "w2", "from", "to"])
+            spans = mark_shard([x[3:] for x in held], lengths, memory)
+            rows = [(*x[:3], *s) for x, own in zip(held, spans) for s in own]
+            cols = [*zip(*rows)] or [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 3)], names=["h", "w1", "w2", "length", "from", "to"])
 
         size = 0
         for g in groups(batches, ["h"]):
-            rows = {key[:3]: key for key in zip(*(g[c].tolist() for c in ("h", "w1", "w2", "c")), g["window"])}  # a document that repeats sends its windows again
+            rows = {key[:3]: key for key in zip(*(g[c].tolist() for c in ("h", "w1", "w2", "c", "n")), g["window"])}  # a document that repeats sends its windows again
             held += rows.values()
             size += sum(len(b) for *_, b in rows.values())
             if size >= shard_bytes:
@@ -202,17 +212,24 @@ def _sorted_marks(pieces: DataFrame, length: int, shard_bytes: int = SHARD_BYTES
         if held:
             yield out()
 
-    return map_batches(pieces.select("h", "w1", "w2", "c", "window").repartition("h").sortWithinPartitions("h"), mark, f"{_WINDOW}, from int, to int")
+    return map_batches(pieces.select("h", "w1", "w2", "c", "n", "window").repartition("h").sortWithinPartitions("h"), mark, f"{_WINDOW}, length int, `from` int, `to` int")
+
 
+def _whole(kinds: DataFrame, size, lengths: tuple[int, ...]) -> DataFrame:
+    """Marks of windows that stand more than once: they repeat each other from end to end, for every length that they have room for."""
+    each = kinds.filter("c > 1").select("h", "w1", "w2", F.explode(F.array(*map(F.lit, lengths))).alias("length"), F.lit(0).alias("from"), size.cast("int").alias("to"))
+    return each.filter(F.col("to") >= F.col("length"))
 
-def _finer(hot: DataFrame, starts: int, length: int) -> DataFrame:
+
+def _finer(hot: DataFrame, starts: int, length: int, reach: int) -> DataFrame:
     """Windows cut into those of ``starts`` starts, by the starts' distance from the minimiser; r1, r2, r3 and shift tell where they come from."""
+    names = ["h", "w1", "w2", "c", "lead", "n", "window", "r1", "r2", "r3", "shift"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 data = memoryview(row["window"])
-                last = len(data) - length  # of the starts, from 0
+                last = row["n"] - 1  # of the starts, from 0
                 lead = row["lead"]  # distance of the first start from the minimiser
                 parts = range((lead - last) // starts, lead // starts + 1)
                 first = np.array([max(0, lead - (b * starts + starts - 1)) for b in parts], np.int64)
@@ -221,19 +238,20 @@ def _finer(hot: DataFrame, starts: int, length: int) -> DataFrame:
                 low = np.array([lead - b * starts for b in parts], np.int64)
                 size = length - starts + 1
                 core = [xxhash.xxh64_intdigest(data[max(0, x) : x + size], b % (1 << 32)) for x, b in zip(low.tolist(), parts)]
-                w = _content(data, first, n + length - 1)
+                wide = np.minimum(n - 1 + reach, len(data) - first)
+                w = _content(data, first, n, wide)
                 k = len(core)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(core, np.uint64).view(np.int64)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), pa.array([row["c"]] * k, pa.int64()), pa.array((lead - first).astype(np.int32)), pa.array([bytes(data[x : x + m + length - 1]) for x, m in zip(first.tolist(), n.tolist())], pa.binary()), *(pa.array([row[c]] * k, pa.int64()) for c in ("r1", "r2", "r3")), pa.array((row["shift"] + first).astype(np.int32))],
-                    names=["h", "w1", "w2", "c", "lead", "window", "r1", "r2", "r3", "shift"],
-                )
+                columns = [pa.array(np.array(core, np.uint64).view(np.int64)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), pa.array([row["c"]] * k, pa.int64()), pa.array(lead - first, pa.int64()), pa.array(n, pa.int64())]
+                columns += [pa.array([bytes(data[x : x + m]) for x, m in zip(first.tolist(), wide.tolist())], pa.binary()), *(pa.array([row[c]] * k, pa.int64()) for c in ("r1", "r2", "r3")), pa.array((row["shift"] + first).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_batches(hot.select("h", "w1", "w2", "c", "lead", "window", "r1", "r2", "r3", "shift"), run, f"{_WINDOW}, c long, lead int, window binary, r1 long, r2 long, r3 long, shift int")
+    return map_batches(hot.select(*names), run, f"{_WINDOW}, c long, lead long, n long, window binary, r1 long, r2 long, r3 long, shift int")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = WINDOWS, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, th (hash of the text) and spans of repeated bytes array<struct<a, b>>, not merged; rows without one are left out."""
+def repeated_spans(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, limit: int = WINDOWS, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, th (hash of the text) and spans of repeated bytes array<struct<length, a, b>>, not merged; rows without one are left out. lengths: ascending."""
     scratch = scratch or Scratch(docs.sparkSession)
+    length, reach = lengths[0], lengths[-1]
     # a missing id is one more id; text and id tell the rows apart
     own = texts(docs).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     window = ["h", "w1", "w2"]
@@ -244,87 +262,102 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limi
             data = memoryview(np.ascontiguousarray(raw))
             ids, hashes = batch.column("doc_id"), batch.column("th").to_numpy()
             for a, n, place in windows(raw, offsets, length, gram):
-                h, w = window_keys(data, a, n, place, length, gram)
                 d = np.searchsorted(offsets, a, side="right") - 1
+                size = np.minimum(n - 1 + reach, offsets[d + 1] - a)
+                h, w = window_keys(data, a, n, size, place, length, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), ids.take(pa.array(d)), pa.array(hashes[d]), pa.array((a - offsets[d]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((place - a).astype(np.int32))],
-                    names=[*window, "doc_id", "th", "a", "n", "lead"],
+                    [pa.array(h), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), ids.take(pa.array(d)), pa.array(hashes[d]), *(pa.array(x.astype(np.int32)) for x in (a - offsets[d], n, size, place - a))],
+                    names=[*window, "doc_id", "th", "a", "n", "size", "lead"],
                 )
 
-    runs = scratch.save(map_batches(own, scan, f"{_WINDOW}, doc_id long, th long, a int, n int, lead int"))
+    runs = scratch.save(map_batches(own, scan, f"{_WINDOW}, doc_id long, th long, a int, n int, size int, lead int"))
     hot = scratch.save(runs.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"))
     alive = scratch.save(runs.join(hot, "h", "left_semi"))
     scratch.drop(runs, hot)
     # equal windows repeat each other whole; one occurrence stands for them where there are others under the key
-    kinds = scratch.save(alive.groupBy(*window).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "a", "n", "lead")).alias("f")))
+    kinds = scratch.save(alive.groupBy(*window).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "a", "n", "size", "lead")).alias("f")))
     many = scratch.save(kinds.groupBy("h").agg(F.count("*").alias("d")).filter("d > 1"))
-    whole = kinds.filter("c > 1").select(*window, F.lit(0).alias("from"), (F.col("f.n") + (length - 1)).alias("to"))
-    sent = kinds.join(many, "h").select("f.doc_id", "f.th", F.struct(*window, "c", "d", "f.a", "f.n", "f.lead").alias("s"))
+    sent = kinds.join(many, "h").select("f.doc_id", "f.th", F.struct(*window, "c", "d", "f.a", "f.n", "f.size", "f.lead").alias("s"))
     wanted = scratch.save(sent.groupBy("doc_id", "th").agg(F.collect_list("s").alias("s")))
-    names = [*window, "c", "d", "lead"]
+    names = [*window, "c", "d", "lead", "n"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, parts in zip(batch.column("text").to_pylist(), batch.column("s").to_pylist()):
                 data = (text or "").encode("utf-8", "replace")
                 cols = [[p[c] for p in parts] for c in names]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array([data[p["a"] : p["a"] + p["n"] + length - 1] for p in parts], pa.binary())], names=[*names, "window"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array([data[p["a"] : p["a"] + p["size"]] for p in parts], pa.binary())], names=[*names, "window"])
 
     # null-safe on the id
     same = (F.col("o.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("o.th") == F.col("m.th"))
     found = own.alias("o").join(wanted.alias("m"), same).select("o.text", "m.s")
-    pieces = scratch.save(map_batches(found, cut, f"{_WINDOW}, c long, d long, lead long, window binary"))
-    marks = [whole, scratch.save(_sorted_marks(pieces.filter(F.col("d") <= limit), length))]
-    hot = pieces.filter(F.col("d") > limit).select(*window, "c", "lead", "window", F.col("h").alias("r1"), F.col("w1").alias("r2"), F.col("w2").alias("r3"), F.lit(0).alias("shift")).dropDuplicates(window)
+    pieces = scratch.save(map_batches(found, cut, f"{_WINDOW}, c long, d long, lead long, n long, window binary"))
+    scratch.drop(wanted, many)
+    marks = [_whole(kinds, F.col("f.size"), lengths), scratch.save(_sorted_marks(pieces.filter(F.col("d") <= limit), lengths))]
+    hot = pieces.filter(F.col("d") > limit).select(*window, "c", "lead", "n", "window", F.col("h").alias("r1"), F.col("w1").alias("r2"), F.col("w2").alias("r3"), F.lit(0).alias("shift")).dropDuplicates(window)
     for starts in FINER:
         if hot.isEmpty():
             break
-        parts = scratch.save(_finer(hot, starts, length))
-        kinds = scratch.save(parts.groupBy(*window).agg(F.sum("c").alias("c"), F.first("window").alias("window")))
+        parts = scratch.save(_finer(hot, starts, length, reach))
+        kinds = scratch.save(parts.groupBy(*window).agg(F.sum("c").alias("c"), F.first("n").alias("n"), F.first("window").alias("window")))
         many = scratch.save(kinds.groupBy("h").agg(F.count("*").alias("d")).filter("d > 1"))
-        fits = F.col("d") <= limit
-        found = kinds.filter("c > 1").select(*window, F.lit(0).alias("from"), F.length("window").alias("to"))
-        found = scratch.save(found.union(_sorted_marks(kinds.join(many.filter(fits), "h"), length)))
-        back = parts.join(found, window).select(F.col("r1").alias("h"), F.col("r2").alias("w1"), F.col("r3").alias("w2"), (F.col("from") + F.col("shift")).alias("from"), (F.col("to") + F.col("shift")).alias("to"))
+        found = _whole(kinds, F.length("window"), lengths)
+        if starts > 1:
+            fits = F.col("d") <= limit
+            found = found.union(_sorted_marks(kinds.join(many.filter(fits), "h"), lengths))
+            hot = parts.join(many.filter(~fits), "h", "left_semi")
+        else:  # one start: its shortest string is the core, which the windows of a key share
+            found = found.union(kinds.join(many, "h").select(*window, F.lit(length).alias("length"), F.lit(0).alias("from"), F.lit(length).alias("to")))
+        found = scratch.save(found)
+        back = parts.join(found, window).select(F.col("r1").alias("h"), F.col("r2").alias("w1"), F.col("r3").alias("w2"), "length", (F.col("from") + F.col("shift")).alias("from"), (F.col("to") + F.col("shift")).alias("to"))
         marks.append(scratch.save(back))
-        hot = parts.join(many.filter(~fits), "h", "left_semi")
-    spans = alive.join(reduce(DataFrame.unionAll, marks), window).select("doc_id", "th", (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("to")).alias("b"))
-    return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-
-
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes; touching spans are one run."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+    scratch.drop(pieces)  # what is left of them are marks
+    spans = alive.select(*window, "doc_id", "th", "a").join(reduce(DataFrame.unionAll, marks), window).select("doc_id", "th", F.struct("length", (F.col("a") + F.col("from")).alias("a"), (F.col("a") + F.col("to")).alias("b")).alias("s"))
+    return spans.groupBy("doc_id", "th").agg(F.collect_list("s").alias("spans"))
+
+
+def merge(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of covered bytes, from the starts and ends of spans; touching spans are one run."""
+    if not len(a):
+        return []
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    first = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    return list(zip(a[first].tolist(), b[np.append(first[1:], len(b)) - 1].tolist()))
+
 
+def remove_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False, limit: int = WINDOWS, passage: int = PASSAGE, words: int = PASSAGE_WORDS, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, either (spans, kept) or kept_sha256, and n_passages. kept is binary: a removed run may cut a character.
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, digest: bool = False, limit: int = WINDOWS, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and either (spans, kept) or kept_sha256. kept is binary: a removed run may cut a character."""
+    n_passages: maximal runs covered by strings of ``passage`` bytes that also start elsewhere and with over ``words`` words.
+    """
     scratch = scratch or Scratch(docs.sparkSession)
-    spans = scratch.save(repeated_spans(docs, length, limit=limit, scratch=scratch))
+    passage = min(passage, length)
+    spans = scratch.save(repeated_spans(docs, tuple(sorted({passage, length})), limit=limit, scratch=scratch))
     own = texts(docs).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = (F.col("o.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("o.th") == F.col("m.th"))
     joined = own.alias("o").join(spans.alias("m"), same, "left").select("o.doc_id", "o.text", "m.spans")
     last = [("kept_sha256", pa.string())] if digest else [("spans", pa.list_(pa.list_(pa.int32()))), ("kept", pa.binary())]
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), *last])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), *last, ("n_passages", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
+            spans = batch.column("spans")
+            flat = spans.flatten()
+            size, start, end = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("length", "a", "b"))
+            cuts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))]).tolist()
+            for i, text, x, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), cuts, cuts[1:]):
                 data = (text or "").encode("utf-8", "replace")
-                runs = merge([(p["a"], p["b"]) for p in parts or []])
+                of = lambda n: merge(start[x:y][size[x:y] == n], end[x:y][size[x:y] == n])  # noqa: B023, E731
+                runs = of(length)
+                many = sum(len(data[a:b].split()) > words for a, b in of(passage))
                 kept = b"".join(data[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(data)]))
-                rows.append((i, len(data), len(data) - len(kept), len(runs), *([hashlib.sha256(kept).hexdigest()] if digest else [[[*r] for r in runs], kept])))
+                rows.append((i, len(data), len(data) - len(kept), len(runs), *([hashlib.sha256(kept).hexdigest()] if digest else [[[*r] for r in runs], kept]), many))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return map_batches(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "spans array<array<int>>, kept binary"))
+    return map_batches(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "spans array<array<int>>, kept binary") + ", n_passages long")
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
