@@ -94,6 +94,30 @@ def sets(docs: DataFrame, common: np.ndarray, times: np.ndarray) -> DataFrame:
     return map_batches(texts(docs).withColumn("th", F.xxhash64("text")), run, "doc_id long, th long, sid long, n int, fp long, keys array<long>")
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows (key, sid, pos) whose key has more than one: one shuffle, read in order, of which only the last row is held."""
+    schema = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("pos", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, told = pa.Table.from_batches([], schema=schema), False  # the last row, and whether it has been passed on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_tables([last, pa.Table.from_batches([batch.cast(schema)])])
+            key = rows.column("key").to_numpy()
+            same = key[1:] == key[:-1]
+            keep = np.zeros(len(key), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            end = bool(keep[-1])
+            if last.num_rows and told:
+                keep[0] = False
+            last, told = rows.slice(len(key) - 1), end
+            yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return map_batches(rows.select("key", "sid", "pos").repartition("key").sortWithinPartitions("key"), run, "key long, sid long, pos int")
+
+
 def to_one(rows: DataFrame) -> DataFrame:
     """(a, b): each set with the least set of its key, where they may be similar."""
     least = rows.groupBy("key").agg(F.min(F.struct("sid", "n", "pos", "fp")).alias("z"))
@@ -158,11 +182,13 @@ def near_copies(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(docs.sparkSession)
     found = scratch.save(sets(docs.filter("doc_id is not null"), *ranks(docs)))
     me = F.struct("doc_id", "th")
-    once = scratch.save(found.groupBy("sid").agg(F.min(me).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    once = scratch.save(found.groupBy("sid").agg(F.min(me).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp")))
     first = once.select("sid", F.col("first.doc_id").alias("first"))
-    keyed = once.select("sid", "n", "fp", F.posexplode("keys").alias("pos", "key"))
-    twice = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"))
-    rows = scratch.save(keyed.join(twice, "key", "left_semi"))
+    # copies tell the same keys; one row of each set goes on
+    keyed = found.select("sid", "keys").dropDuplicates(["sid"]).select("sid", F.posexplode("keys").alias("pos", "key"))
+    rows = scratch.save(shared(keyed))
+    rows = scratch.save(rows.join(once.select("sid", "n", "fp"), "sid"))
+    found = found.drop("keys")
     edges = scratch.save(verified(docs, first, scratch.save(to_one(rows))))
     tree = scratch.save(components(edges, scratch))
     labelled = scratch.save(rows.join(tree.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root"))

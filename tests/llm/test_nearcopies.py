@@ -90,3 +90,13 @@ def test_rows_with_one_id_and_different_texts(spark):
     a, b = "one two three four five six", "quite another text of some more words"
     df = spark.createDataFrame([(3, a, 1, 2), (5, a, 1, 2), (5, b, 1, 2), (5, b, 1, 2), (None, a, 1, 2)], "doc_id long, text string, doc int, hash int")
     assert sorted((str(r["doc_id"]), r["text"]) for r in P.near_duplicates(spark, df, "").collect()) == sorted([("3", a), ("5", b), ("5", b), ("None", a)])
+
+
+def test_shared_keys_across_batches(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(400) if k % 3 else 1, k, k % 7) for k in range(1500)] + [(10_000 + k, k, 0) for k in range(300)]
+    count = {}
+    for k, *_ in rows:
+        count[k] = count.get(k, 0) + 1
+    got = sorted(tuple(r) for r in N.shared(spark.createDataFrame(rows, "key long, sid long, pos int")).collect())
+    assert got == sorted(r for r in rows if count[r[0]] > 1) and len(got) < len(rows)
