@@ -6,7 +6,10 @@ shingles are ranked, rare ones first, and two sets of that similarity share one
 order for all sets is lossless, a good one only saves work. In a shard, BK-trees of the fingerprints (``simhash``) give
 the pairs within RADIUS bits. Two sets of Jaccard 0.8 differ in some 10 of 64 bits on average, in 12 if they are tiny;
 of such pairs 28 bits lose about one in a million, and none that is nearer by much. What passes the bounds of size and
-place that no similar pair can fail is compared shingle by shingle, so there are no false links.
+place that no similar pair can fail is compared shingle by shingle, so there are no false links. Random pairs pass
+those bounds often, and more than in proportion to the corpus, so whole sets travel only for pairs whose parities, one or two bits
+a shingle, pass as well: each bit that differs stands for a shingle that only one of the two has. Keys are dealt in
+PASSES parts, and a table is dropped when nothing reads it any more.
 
 A group of n near copies is not compared n * n times: each key first links its sets to one of them, and only sets that
 are still in different components look for each other. A key of more than SHARD sets is cut into salts, each with its
@@ -20,6 +23,7 @@ an id are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ from tessera.llm.simhash import SHARD, BKTree, bits, components
 
 #: Similarity is NUM / DEN, and RADIUS the bits in which fingerprints may differ. SAMPLE documents, about, give the ranks of at most COMMON shingles.
 WORDS, NUM, DEN, RADIUS, SAMPLE, COMMON = 5, 4, 5, 28, 4000, 1 << 16
+#: Parts in which keys are dealt (a power of two), and most bits of the map of the documents whose sets are wanted.
+PASSES, MAP_BITS = 4, 25
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -64,6 +70,25 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
+def parities(own: np.ndarray) -> bytes:
+    """Whether each bucket holds an odd number of the set's shingles. There are n to 2n buckets, 64 at least, a power of two."""
+    size = max(64, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which parities differ, the longer folded: two sets have at least so many shingles that the other has not."""
+    p, q = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    a, b = 8 * len(x), 8 * len(y)
+    if a < b:
+        p, q, a, b = q, p, b, a
+    while a > b:
+        a //= 2
+        p = (p >> a) ^ (p & ((1 << a) - 1))
+    return (p ^ q).bit_count()
+
+
 def ranks(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that stand in more than one document of the sample, sorted, and in how many."""
 
@@ -82,16 +107,16 @@ def ranks(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(docs: DataFrame, common: np.ndarray, times: np.ndarray) -> DataFrame:
-    """doc_id, th (hash of the text), its set's identity, size, fingerprint and prefix."""
+    """doc_id, th (hash of the text), its set's identity, size, fingerprint, parities and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t) for t in batch.column("text").to_pylist()]
             fps = np.array([bits(s) for s in own], np.uint64).view(np.int64)
-            cols = [batch.column("doc_id"), batch.column("th"), pa.array([identity(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int32()), pa.array(fps, pa.int64()), pa.array([prefix(s, common, times).view(np.int64) for s in own], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "sid", "n", "fp", "keys"])
+            cols = [batch.column("doc_id"), batch.column("th"), pa.array([identity(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int32()), pa.array(fps, pa.int64()), pa.array([parities(s) for s in own], pa.binary()), pa.array([prefix(s, common, times).view(np.int64) for s in own], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "sid", "n", "fp", "odd", "keys"])
 
-    return map_batches(texts(docs).withColumn("th", F.xxhash64("text")), run, "doc_id long, th long, sid long, n int, fp long, keys array<long>")
+    return map_batches(texts(docs).withColumn("th", F.xxhash64("text")), run, "doc_id long, th long, sid long, n int, fp long, odd binary, keys array<long>")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -157,11 +182,41 @@ def in_shards(rows: DataFrame, scratch: Scratch, shard: int = SHARD) -> DataFram
     return grouped(met, ["key", "i", "j"], run, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
+def plausible(once: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be similar by their parities: with Jaccard NUM / DEN, the shingles of only one set are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))
+            good = pa.array([(DEN + NUM) * apart(p, q) <= (DEN - NUM) * (i + j) for i, j, p, q in zip(n, m, x, y)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
+
+    of = lambda sid, n, odd: once.select(F.col("sid").alias(sid), F.col("n").alias(n), F.col("odd").alias(odd))
+    return map_batches(found.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y"), run, "a long, b long")
+
+
+def marked(ids: DataFrame, most: int) -> np.ndarray:
+    """A map of bits, as bytes, in which the slot of every doc_id is set; others may be set as well. most: the number of ids, about."""
+    size = 1 << min(MAP_BITS, max(15, (16 * most).bit_length()))
+    at = F.xxhash64("doc_id").bitwiseAND(F.lit(size - 1))
+    rows = ids.select(F.shiftright(at, 15).alias("k"), at.bitwiseAND(F.lit(32767)).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    out = np.zeros((size >> 15, 4096), np.uint8)
+    for r in rows:
+        out[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def verified(docs: DataFrame, once: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs that are similar, by their whole sets."""
+    found = scratch.save(plausible(once, found))
+    wanted = found.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(once, "sid").select("first.doc_id")
+    held = docs.sparkSession.sparkContext.broadcast(marked(wanted, 2 * found.count()))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
         for batch in batches:
+            at = batch.column("at").to_numpy() & (8 * len(bits) - 1)
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             own = [shingles(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["sid", "own"])
 
@@ -171,28 +226,37 @@ def verified(docs: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
             good = pa.array([similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)], pa.bool_())
             yield batch.select(["a", "b"]).filter(good)
 
-    wanted = found.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(first, "sid").select(F.col("first").alias("doc_id"))
-    own = map_batches(texts(docs).join(wanted, "doc_id", "left_semi"), whole, "sid long, own binary").dropDuplicates(["sid"])
+    own = map_batches(texts(docs).select("text", F.xxhash64("doc_id").alias("at")), whole, "sid long, own binary").dropDuplicates(["sid"])
     both = found.join(own.select(F.col("sid").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("sid").alias("b"), F.col("own").alias("y")), "b")
-    return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long")
+    out = scratch.save(map_batches(both.select("a", "b", "x", "y"), run, "a long, b long"))
+    scratch.drop(found)
+    return out
 
 
 def near_copies(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, th (hash of the text), component_id (the smallest doc_id that links of similar texts reach) and first (whether the row, or one that repeats it, stands for its component)."""
     scratch = scratch or Scratch(docs.sparkSession)
-    found = scratch.save(sets(docs.filter("doc_id is not null"), *ranks(docs)))
+    own = scratch.save(sets(docs.filter("doc_id is not null"), *ranks(docs)))
+    found = scratch.save(own.select("doc_id", "th", "sid"))
     me = F.struct("doc_id", "th")
-    once = scratch.save(found.groupBy("sid").agg(F.min(me).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp")))
-    first = once.select("sid", F.col("first.doc_id").alias("first"))
     # copies tell the same keys; one row of each set goes on
-    keyed = found.select("sid", "keys").dropDuplicates(["sid"]).select("sid", F.posexplode("keys").alias("pos", "key"))
-    rows = scratch.save(shared(keyed))
-    rows = scratch.save(rows.join(once.select("sid", "n", "fp"), "sid"))
-    found = found.drop("keys")
-    edges = scratch.save(verified(docs, first, scratch.save(to_one(rows))))
+    whole = scratch.save(own.groupBy("sid").agg(F.min(me).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "fp", "odd", "keys")]))
+    scratch.drop(own)
+    once = scratch.save(whole.drop("keys"))
+    keyed = whole.select("sid", F.posexplode("keys").alias("pos", "key"))
+    parts = [scratch.save(shared(keyed.filter(F.col("key").bitwiseAND(F.lit(PASSES - 1)) == k))) for k in range(PASSES)]
+    scratch.drop(whole)
+    rows = scratch.save(reduce(DataFrame.unionAll, parts).join(once.select("sid", "n", "fp"), "sid"))
+    scratch.drop(*parts)
+    pairs = scratch.save(to_one(rows))
+    edges = verified(docs, once, pairs, scratch)
     tree = scratch.save(components(edges, scratch))
     labelled = scratch.save(rows.join(tree.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root"))
-    more = scratch.save(verified(docs, first, scratch.save(in_shards(labelled, scratch))))
+    scratch.drop(rows, pairs)
+    pairs = scratch.save(in_shards(labelled, scratch))
+    scratch.drop(labelled)
+    more = verified(docs, once, pairs, scratch)
+    scratch.drop(pairs)
     if not more.isEmpty():
         tree = components(edges.union(more), scratch)
     # the smallest row of each component; one document alone needs no row

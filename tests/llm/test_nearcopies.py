@@ -100,3 +100,42 @@ def test_shared_keys_across_batches(spark):
         count[k] = count.get(k, 0) + 1
     got = sorted(tuple(r) for r in N.shared(spark.createDataFrame(rows, "key long, sid long, pos int")).collect())
     assert got == sorted(r for r in rows if count[r[0]] > 1) and len(got) < len(rows)
+
+
+def test_parities_lose_no_similar_pair():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 4, 9, 63, 64, 65, 127, 129, 1000, 5000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            drop = rng.integers(0, n // 5 + 1)
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, rng.integers(0, n // 2 + 1)).astype(np.uint64)]))
+            c = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            x, y, z = map(N.parities, (a, b, c))
+            assert N.apart(x, y) == N.apart(y, x) <= len(np.setxor1d(a, b)) and N.apart(x, x) == 0
+            if N.similar(a, b):
+                assert 9 * N.apart(x, y) <= len(a) + len(b)
+            assert n < 63 or 9 * N.apart(x, z) > len(a) + len(c)
+
+
+def shuffled(spark):
+    """Bytes that tasks have written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    each = sc.statusStore().executorList(False)
+    return sum(each.apply(k).totalShuffleWrite() for k in range(each.size()))
+
+
+def test_whole_sets_travel_for_similar_pairs_only(spark):
+    """Texts of passages that stand in six of them each: many pairs share a rare shingle, none is similar but the copies."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passages = [" ".join(word() for _ in range(60)) for _ in range(250)]
+    dealt = passages * 6
+    rng.shuffle(dealt)
+    docs = [" ".join(dealt[k : k + 5]) for k in range(0, len(dealt), 5)]
+    docs += [f"{d} more" for d in docs[:20]]
+    df = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")
+    before = shuffled(spark)
+    got = {r["doc_id"]: r["component_id"] for r in N.near_copies(df).collect()}
+    assert got == {k: k if k < 300 else k - 300 for k in range(320)}
+    assert shuffled(spark) - before < 4 * sum(map(len, docs))
