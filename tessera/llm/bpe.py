@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, deal, map_batches, table, texts
 
-#: Production parameters: bytes and texts of a block, bytes of words in one part of the word table.
-BLOCK_BYTES, BLOCK_TEXTS, PART_BYTES = 16 << 20, 16_384, 8 << 20
+#: Production parameters: bytes and texts of a block, bytes of words in one part of the word table, and the words of a block whose ids are worked on at once.
+BLOCK_BYTES, BLOCK_TEXTS, PART_BYTES, STEP = 16 << 20, 16_384, 8 << 20, 1 << 17
 
 #: The pre-tokenisation pattern of byte-level BPE, with white space by its Unicode property.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -44,11 +44,17 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def gather(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a ragged table, one after another, and their lengths."""
-    start, size = offsets[rows], offsets[rows + 1] - offsets[rows]
-    ends = np.cumsum(size)
-    at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64) + np.repeat(start - (ends - size), size)
-    return values[at], size
+    """Rows of a ragged table, one after another, and their lengths. Of STEP rows at a time, as places take up to eight times the room of what stands there."""
+    out, sizes = [], []
+    for a in range(0, max(1, len(rows)), STEP):
+        start = offsets[rows[a : a + STEP]]
+        size = offsets[1:][rows[a : a + STEP]] - start
+        ends = np.cumsum(size)
+        at = np.repeat(start - (ends - size), size)
+        at += np.arange(len(at), dtype=np.int64)
+        out.append(values[at])
+        sizes.append(size)
+    return (np.concatenate(out), np.concatenate(sizes)) if len(out) > 1 else (out[0], sizes[0])
 
 
 class Words:
@@ -106,7 +112,7 @@ class Words:
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the pieces, one after another, and the number of bytes of each id."""
-        return gather(self.piece_at, self.piece, ids.astype(np.int64))
+        return gather(self.piece_at, self.piece, ids)
 
 
 class Block:
@@ -115,7 +121,7 @@ class Block:
     def __init__(self):
         self.plain: dict[str, int] = {}
         self.spaced: dict[str, int] = {}  # without their space
-        self.words: list[str] = []
+        self.words: list[bytes] = []
         self.ids: list[int | None] = []
         self.sizes: list[int] = []
         self.places: list[np.ndarray] = []
@@ -126,7 +132,7 @@ class Block:
         for known, own, before in ((self.plain, words[0], ""), (self.spaced, words[1], " ")):
             new = [w for w in dict.fromkeys(own) if w not in known]
             known.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-            self.words += [before + w for w in new] if before else new
+            self.words += [(before + w).encode() for w in new]
             at.append(np.fromiter(map(known.__getitem__, own), np.uint32, len(own)))
         self.places.append(np.concatenate(at))
         self.ids.append(doc_id)
@@ -134,16 +140,18 @@ class Block:
         self.held += size
 
     def rows(self, parts: int) -> list[tuple]:
-        """(block, kind, part, ids, sizes, places, words): the texts (kind 0), and the words dealt to each part (kind 1)."""
+        """(block, kind, part, ids, sizes, places, words): the texts (kind 0), and the words dealt to each part (kind 1). Takes no more texts after that."""
         import uuid
 
         import xxhash
 
-        data = [w.encode() for w in self.words]
+        self.plain, self.spaced = {}, {}
+        data = self.words
         part = (np.fromiter(map(xxhash.xxh3_64_intdigest, data), np.uint64, len(data)) % np.uint64(parts)).astype(np.uint32)
         order = np.argsort(part, kind="stable")
         block = uuid.uuid4().int >> 65
-        places = np.concatenate([*self.places, np.zeros(0, np.uint32)]).astype(np.uint32)
+        places = np.concatenate(self.places, dtype=np.uint32)
+        self.places = []
         out = [(block, 0, -1, self.ids, np.array(self.sizes, np.int64).tobytes(), _packed(_referred(places)), _packed(part))]
         cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
         for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -154,13 +162,17 @@ class Block:
 
 def _referred(places: np.ndarray) -> np.ndarray:
     """0 where a word occurs for the first time, whose number is the next one; else its number plus 1."""
-    before = np.concatenate([[-1], np.maximum.accumulate(places.astype(np.int64))])[: len(places)]
-    return np.where(places > before, 0, places + np.uint32(1)).astype(np.uint32)
+    new = np.ones(len(places), bool)
+    new[1:] = places[1:] > np.maximum.accumulate(places)[:-1]
+    out = places + np.uint32(1)
+    out[new] = 0
+    return out
 
 
 def _placed(code: np.ndarray) -> np.ndarray:
-    new = code == 0
-    return np.where(new, np.cumsum(new) - 1, code.astype(np.int64) - 1)
+    out = np.cumsum(code == 0, dtype=np.uint32)
+    out -= 1
+    return np.subtract(code, np.uint32(1), out=out, where=code != 0)
 
 
 def _words_packed(words: list[bytes]) -> bytes:
@@ -181,8 +193,8 @@ def _words_opened(packed: bytes) -> list[bytes]:
 
 def _packed(x: np.ndarray) -> bytes:
     """Small numbers: their bytes in planes, of which the upper ones compress away."""
-    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    planes = np.ascontiguousarray(x.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return len(x).to_bytes(8, "little") + pa.compress(pa.py_buffer(planes), codec="zstd", asbytes=True)
 
 
 def _opened(b: bytes) -> np.ndarray:
@@ -227,7 +239,7 @@ def encode_words(split: DataFrame, tokenizer_json: str, parts: int, scratch: Scr
     """The word table: (block, part, sizes, places), the numbers of ids and the ids of a block's words of that part, in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known, now = of_tokenizer(tokenizer_json), {}, None
+        words, known, now = of_tokenizer(tokenizer_json), {}, None  # ids as bytes: a list of integers takes three times the room
         for batch in batches:
             out = []
             for block, part, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "words"))):
@@ -236,9 +248,9 @@ def encode_words(split: DataFrame, tokenizer_json: str, parts: int, scratch: Scr
                 own = _words_opened(packed)
                 for w in own:
                     if w not in known:
-                        known[w] = words.encode(w.decode())
+                        known[w] = array("I", words.encode(w.decode())).tobytes()
                 ids = [known[w] for w in own]
-                out.append((block, part, _packed(np.fromiter(map(len, ids), np.uint32, len(ids))), _packed(np.fromiter(chain.from_iterable(ids), np.uint32))))
+                out.append((block, part, _packed(np.fromiter(map(len, ids), np.uint32, len(ids)) // np.uint32(4)), _packed(np.frombuffer(b"".join(ids), np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "part", "sizes", "places"])
 
     asked = split.select("block", "part", "words")
@@ -264,13 +276,13 @@ def encode_texts(docs: DataFrame, tokenizer_json: str, digest: bool = False, par
             per_word = np.concatenate([np.zeros(1, np.int64), *(_opened(a) for a, _ in answers)]).cumsum()
             table, rows = np.concatenate([np.zeros(0, np.uint32), *(_opened(b) for _, b in answers)]).astype(np.uint32), _placed(_opened(places))
             order = np.argsort(_opened(part), kind="stable")  # answers come part by part
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
             rows = rank[rows]
             ends = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))])
             a = 0
-            while a < len(docs):  # as many texts at a time as have some million words
-                b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 20), side="right")) - 1)
+            while a < len(docs):  # as many texts at a time as have STEP words
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + STEP, side="right")) - 1)
                 ids, size = gather(per_word, table, rows[ends[a] : ends[b]])
                 at = np.concatenate([[0], np.cumsum(size)])[ends[a : b + 1] - ends[a]]
                 raw, width = words.decode(ids)

@@ -84,3 +84,63 @@ def test_places_round_trip():
 
 def test_empty_table(spark):
     assert bpe.encode_texts(spark.createDataFrame([], "doc_id long, text string"), bpe.tokenizer_file()).collect() == []
+
+
+def test_room_of_each_step(spark, tmp_path, monkeypatch):
+    """A block of 6 MB with 200,000 distinct words: no step holds over 15 times the text, vocabulary included (the last one held 45 times)."""
+    real, at = bpe.map_batches, str(tmp_path)
+
+    def measured(df, fn, schema):
+        step = len(list(tmp_path.iterdir()))
+        (tmp_path / f"{step}").mkdir()
+
+        def run(batches):
+            import os
+            import tracemalloc
+
+            tracemalloc.start()
+            yield from fn(batches)
+            with open(f"{at}/{step}/{os.urandom(8).hex()}", "w") as f:
+                f.write(str(tracemalloc.get_traced_memory()[1]))
+            tracemalloc.stop()
+
+        return real(df, run, schema)
+
+    monkeypatch.setattr(bpe, "map_batches", measured)
+    bpe.of_tokenizer.cache_clear()
+    rng = random.Random(8)
+    some = [f"{rng.randrange(1 << 32):x}" for _ in range(200_000)]
+    texts = [" ".join(rng.choices(some, k=1700)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.decoded for r in bpe.encode_texts(docs, bpe.tokenizer_file(), parts=1).collect()} == dict(enumerate(texts))
+    peak = {int(p.name): max(int(f.read_text()) for f in p.iterdir()) for p in tmp_path.iterdir()}
+    assert sorted(peak) == [0, 1, 2] and max(peak.values()) < 15 * sum(map(len, texts)), peak
+
+
+def test_decoding_goes_a_slice_at_a_time(library):
+    import tracemalloc
+
+    words = bpe.of_tokenizer(bpe.tokenizer_file())
+    ids = np.array(library.encode(" international" * 3).ids * (1 << 18), np.uint32)
+    tracemalloc.start()
+    raw, width = words.decode(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert raw.tobytes() == b" international" * (3 << 18) and width.sum() == len(raw)
+    assert peak < 6 * len(raw)
+
+
+def test_slices_of_any_size_give_the_same(spark, library, monkeypatch):
+    rng = random.Random(9)
+    size = np.array([rng.choice([0, 0, 1, 3]) for _ in range(50)])
+    offsets, values = np.concatenate([[0], np.cumsum(size)]), np.arange(size.sum(), dtype=np.uint32)
+    texts = samples(60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for step in (1, 7, 1000):
+        monkeypatch.setattr(bpe, "STEP", step)
+        for n in (0, 1, 7, 14, 90):
+            rows = np.array([rng.randrange(50) for _ in range(n)], np.uint32)
+            got, sizes = bpe.gather(offsets, values, rows)
+            assert got.tolist() == [v for r in rows.tolist() for v in range(offsets[r], offsets[r + 1])] and sizes.tolist() == size[rows].tolist()
+        got = {r.doc_id: (r.ids, r.decoded) for r in bpe.encode_texts(docs, bpe.tokenizer_file()).collect()}
+        assert got == {k: (library.encode(t, add_special_tokens=False).ids, t) for k, t in enumerate(texts)}
