@@ -11,8 +11,9 @@ those bounds often, and more than in proportion to the corpus, so whole sets tra
 a shingle, pass as well: each bit that differs stands for a shingle that only one of the two has. Keys are dealt in
 PASSES parts, and a table is dropped when nothing reads it any more.
 
-A group of n near copies is not compared n * n times: each key first links its sets to one of them, and only sets that
-are still in different components look for each other. A key of more than SHARD sets is cut into salts, each with its
+A group of n near copies is not compared n * n times: each key first links its sets to one of them, a key of many sets to
+PIVOTS of them (near copies of one text may be too far from each other for one), and only sets that are still in
+different components look for each other. A key of more than SHARD sets is cut into salts, each with its
 own tree, and every pair of salts is a shard.
 
 Defined results: as in ``simhash``, texts are compared after lower-casing A-Z; a text under WORDS words is one
@@ -27,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, grouped, map_batches, texts
@@ -37,6 +38,8 @@ from tessera.llm.simhash import SHARD, BKTree, bits, components
 WORDS, NUM, DEN, RADIUS, SAMPLE, COMMON = 5, 4, 5, 28, 4000, 1 << 16
 #: Parts in which keys are dealt (a power of two), and most bits of the map of the documents whose sets are wanted.
 PASSES, MAP_BITS = 4, 25
+#: Keys of over MANY sets first link them to PIVOTS of theirs, others to one: under a fifth of the pairs that their shards look at.
+MANY, PIVOTS = 256, 24
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -143,13 +146,25 @@ def shared(rows: DataFrame) -> DataFrame:
     return map_batches(rows.select("key", "sid", "pos").repartition("key").sortWithinPartitions("key"), run, "key long, sid long, pos int")
 
 
+def _near(z: Column) -> Column:
+    """Whether a set and another one, z, of its key may be similar."""
+    n, m = F.col("n"), z["n"]
+    fits = (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & ((DEN + NUM) * F.least(n - F.col("pos"), m - z["pos"]) >= NUM * (n + m))
+    return (F.col("sid") != z["sid"]) & fits & (F.bit_count(F.col("fp").bitwiseXOR(z["fp"])) <= RADIUS)
+
+
 def to_one(rows: DataFrame) -> DataFrame:
     """(a, b): each set with the least set of its key, where they may be similar."""
     least = rows.groupBy("key").agg(F.min(F.struct("sid", "n", "pos", "fp")).alias("z"))
-    n, m = F.col("n"), F.col("z.n")
-    fits = (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & ((DEN + NUM) * F.least(n - F.col("pos"), m - F.col("z.pos")) >= NUM * (n + m))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("z.fp"))) <= RADIUS
-    return rows.join(least, "key").filter((F.col("z.sid") < F.col("sid")) & fits & near).select(F.col("z.sid").alias("a"), F.col("sid").alias("b")).distinct()
+    return rows.join(least, "key").filter(_near(F.col("z"))).select(F.col("z.sid").alias("a"), F.col("sid").alias("b")).distinct()
+
+
+def to_some(rows: DataFrame, many: int = MANY, pivots: int = PIVOTS) -> DataFrame:
+    """(a, b): each set of a key of over ``many`` with ``pivots`` sets of it, where they may be similar. The least by some hashes: the same sets in many keys."""
+    large = rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > many).select("key"), "key")
+    some = large.groupBy("key").agg(F.array(*[F.min(F.struct(F.xxhash64("sid", F.lit(s)).alias("x"), "sid", "n", "pos", "fp")) for s in range(pivots)]).alias("zs"))
+    met = large.join(some, "key").select("sid", F.explode(F.transform(F.filter("zs", _near), lambda z: z["sid"])).alias("z"))
+    return met.select(F.least("sid", "z").alias("a"), F.greatest("sid", "z").alias("b")).distinct()
 
 
 def in_shards(rows: DataFrame, scratch: Scratch, shard: int = SHARD) -> DataFrame:
@@ -248,7 +263,7 @@ def near_copies(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch.drop(whole)
     rows = scratch.save(reduce(DataFrame.unionAll, parts).join(once.select("sid", "n", "fp"), "sid"))
     scratch.drop(*parts)
-    pairs = scratch.save(to_one(rows))
+    pairs = scratch.save(to_one(rows).union(to_some(rows)).distinct())
     edges = verified(docs, once, pairs, scratch)
     tree = scratch.save(components(edges, scratch))
     labelled = scratch.save(rows.join(tree.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("label", F.coalesce("root", "sid")).drop("root"))

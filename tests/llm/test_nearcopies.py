@@ -139,3 +139,26 @@ def test_whole_sets_travel_for_similar_pairs_only(spark):
     got = {r["doc_id"]: r["component_id"] for r in N.near_copies(df).collect()}
     assert got == {k: k if k < 300 else k - 300 for k in range(320)}
     assert shuffled(spark) - before < 4 * sum(map(len, docs))
+
+
+def test_pivots_join_what_one_set_does_not(spark):
+    """Near copies of one text, most of them too far from each other for a link: the pivots leave few sets apart, and all of their pairs may be similar."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    own = [np.unique(np.concatenate([rng.choice(base, 275, replace=False), rng.integers(0, 1 << 63, 10).astype(np.uint64)])) for _ in range(120)]
+    rows = [(key, k, len(s), 0, int(np.uint64(bits(s)).view(np.int64))) for key in (7, 8) for k, s in enumerate(own)] + [(9, 1, 285, 0, 0), (9, 2, 285, 0, 0)]
+    df = spark.createDataFrame(rows, "key long, sid long, n int, pos int, fp long")
+
+    def apart(pairs):
+        up = [*range(120)]
+        for a, b in pairs:
+            if N.similar(own[a], own[b]):
+                x, y = up[a], up[b]
+                up = [min(x, y) if u in (x, y) else u for u in up]
+        return sum(u != v for k, u in enumerate(up) for v in up[:k])
+
+    one = {(r["a"], r["b"]) for r in N.to_one(df).collect()}
+    some = {(r["a"], r["b"]) for r in N.to_some(df, 100, 24).collect()}
+    assert all(a < b for a, b in some) and len(some) <= 24 * 120
+    assert apart(one | some) * 5 < apart(one)
+    assert N.to_some(df, 120).count() == 0
